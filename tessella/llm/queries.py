@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.langid import op1_language_id
 from tessella.llm.mixing import op6_low_discrepancy_mix
+from tessella.llm.packing import op4_pattern_packing
 from tessella.llm.sharding import op10_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_pattern_packing": op4_pattern_packing,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
