@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm import jaccard_join
+from tessella.llm.jaccard_join import op7_ngram_jaccard_join
 from tessella.llm.langid import op1_language_id
 from tessella.llm.mixing import op6_low_discrepancy_mix
 from tessella.llm.packing import op4_pattern_packing
@@ -15,7 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_pattern_packing": op4_pattern_packing,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+}
