@@ -25,8 +25,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Patterns are enumerated over lengths rounded up to multiples of capacity / GRID.
 GRID = 128
-#: Entries of a worker's table of words, about 250 bytes each; a full table is emptied.
-CACHED_WORDS = 800_000
+#: Entries of a worker's table of words, about 250 bytes each; a full table is kept as the older one, and that goes.
+CACHED_WORDS = 500_000
 
 
 class Encoder:
@@ -34,23 +34,29 @@ class Encoder:
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a
     text's ids are those of its space-separated strings, one after another. These are
-    kept in a table. New strings of letters are encoded many at a time: each gives one
-    word, and only its last token is a word's end.
+    kept in a table. New strings of Latin letters are encoded many at a time, by the
+    vocabulary alone, as they need no normalizing but lower case: each gives one word,
+    and only its last token is a word's end.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if chr(c).isalpha()}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.table: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > CACHED_WORDS:
-            self.table = {"": b""}
+            self.older, self.table = self.table, {"": b""}
         get, split, new = self.table.get, [], set()
         for text in texts:
             words = text.replace("\n", " ").split(" ")
@@ -68,12 +74,15 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        table = self.table
+        table, older = self.table, self.older
         plain, made, odd = set(), [], []
         for word in new:
+            if (known := older.get(word)) is not None:
+                table[word] = known
+                continue
             core = word.rstrip(".,")
-            if core.isalpha() and max(core) < "ɐ":  # no marks that could join, one letter for each letter
-                lower = core.lower()
+            lower = core.lower()
+            if lower.isalpha() and max(core) < "ɐ":  # no marks that could join, one letter for each letter
                 if lower not in table:
                     plain.add(lower)
                 if lower != word:
@@ -82,7 +91,8 @@ class Encoder:
                 odd.append(word)
         todo = list(plain)
         parts = [todo[i : i + 256] for i in range(0, len(todo), 256)]
-        for part, found in zip(parts, self._ids([" ".join(x) for x in parts]), strict=True):
+        lines = [" ".join(x).translate(self.letters) for x in parts]
+        for part, found in zip(parts, self._ids(lines, self.words), strict=True):
             ends = ((np.flatnonzero(self.ends[found]) + 1) * 4).tolist()
             data = found.tobytes()
             if len(ends) != len(part):
@@ -93,8 +103,9 @@ class Encoder:
         table.update(zip(odd, (x.tobytes() for x in self._ids(odd)), strict=True))
         table.update((word, table[core] + table[tail]) for word, core, tail in made)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer: object = None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
 
 
 @lru_cache(2)

@@ -1,0 +1,47 @@
+import duckdb
+import numpy as np
+import pytest
+
+from tessella.llm.packing import Encoder, default_tokenizer, plan
+
+TEXTS = [
+    "", " ", "a", "Hello, World. it's 12 3/4 don't...", "straße ÉÈ Ünïcode ñandú", "é combining", "日本語 text", "<|endoftext|> x",
+    "tab\tand\r\nnew\x0bline\x85x y", "ΑΣ Σ ΟΔΥΣΣΕΥΣ.", "İstanbul ǅ", "x" * 5000, "a,b.c.,d ,. ..", "%%%The*** &&&", "ʰx ªº",
+]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return Encoder(default_tokenizer())
+
+
+def test_ids_equal_the_tokenizers_own(encoder):
+    rows = duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    texts = TEXTS + [r[0] for r in rows]
+    for _ in range(2):  # once new, once from the table
+        found = encoder.encode(texts)
+        for text, data in zip(texts, found, strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_plan_places_everything_and_is_close_to_the_least():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(4096, (rng.pareto(1.1, 20_000) * 60 + 1).astype(int))
+    histogram = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    seen: dict[int, int] = {}
+    for n, own in plan(histogram):
+        assert sum(own) <= 4096
+        for x in own:
+            seen[x] = seen.get(x, 0) + n
+    assert seen == histogram
+    assert sum(n for n, _ in plan(histogram)) <= 1.01 * -(-lengths.sum() // 4096) + 1
+
+
+@pytest.mark.parametrize("histogram", [{}, {4096: 3}, {1: 10_000}, {2049: 7}, {1366: 9, 1365: 9}])
+def test_plans_of_few_lengths(histogram):
+    seen: dict[int, int] = {}
+    for n, own in plan(histogram):
+        assert sum(own) <= 4096
+        for x in own:
+            seen[x] = seen.get(x, 0) + n
+    assert seen == histogram
