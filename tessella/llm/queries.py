@@ -12,9 +12,11 @@ from tessella.llm.langid import op1_language_id
 from tessella.llm.mixing import op6_low_discrepancy_mix
 from tessella.llm.packing import op4_pattern_packing
 from tessella.llm.sharding import op10_rendezvous_sharding
+from tessella.llm.winnowing import op3_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_winnowing": op3_winnowing,
     "op4_pattern_packing": op4_pattern_packing,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
