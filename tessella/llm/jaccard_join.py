@@ -1,11 +1,12 @@
 """N-gram Jaccard join by prefix trees: which documents link, and into which components.
 
-The n-gram sets are put in one global order, the most frequent n-grams last. Two sets
-of similarity t share an n-gram among the first n - ceil(t n) + 1 of either; documents
-meet on such prefix n-grams. Those that meet are compared in blocks of bounded size: a
-block's sets stand in a trie in the global order, a set is probed against it node by
-node so that common beginnings are intersected once, and subtrees whose remaining length
-can't bring the overlap needed are left out.
+The n-gram sets are put in one global order, the most frequent n-grams last. Two sets of
+similarity t share at least l n-grams among the first n - ceil(t n) + l of either, for
+any l; with l = 1 + n / 8, documents meet on such prefix n-grams, and those that share
+too few with all others are out of it. Those left are compared in blocks of bounded
+size: a block's sets stand in a trie in the global order, a set is probed against it
+node by node so that common beginnings are intersected once, and subtrees whose
+remaining length can't bring the overlap needed are left out.
 
 Equal sets are one set from the start. Documents that meet are first compared with one
 leader each, which joins most of a group of copies by a link per document; after that
@@ -29,6 +30,8 @@ from tessella.llm.common import documents, ship, stash
 
 #: Most frequent n-grams that the global order puts last; any order gives the same links.
 FREQUENT = 1 << 15
+#: Prefixes are longer than one shared n-gram needs by a set's size over SPARE, so that links have to share that many more.
+SPARE = 8
 #: Documents in one block.
 BLOCK = 128
 #: Documents of a frequent n-gram that one group of a window holds, about.
@@ -257,7 +260,8 @@ def _prefixes(order, n: int, percent: int):
                 ids, codes = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     own = order.value.arrange(ngram_set(text, n))
-                    own = own[: len(own) - (percent * len(own) + 99) // 100 + 1]
+                    size = len(own)
+                    own = own[: size - (percent * size + 99) // 100 + 1 + size // SPARE]
                     ids.append(np.full(len(own), doc, np.int64))
                     codes.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(ids))], ["gram", "id"])
@@ -319,6 +323,12 @@ def components(links: DataFrame) -> DataFrame:
         edges = stash(small, "small-star")
 
 
+def _of_several(own: DataFrame) -> DataFrame:
+    """The rows of n-grams that documents of several components share, with the number k of their documents."""
+    counts = own.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
+    return stash(own.drop("k").join(stash(counts.select("gram", "k"), "several"), "gram"), "of-several")
+
+
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """Per row of `df`: key, n_shingles, component_id.
 
@@ -340,23 +350,26 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     order = spark.sparkContext.broadcast(Order(hashes[ascending], np.arange(len(hashes), dtype=np.uint64)[ascending]))
     pieces = -(-max([r["k"] for r in top], default=1) // PIECE)
 
-    firsts = sets.where("n > 0 and id is not null").groupBy("key_1", "key_2").agg(F.min("id").alias("first"))
+    firsts = sets.where("n > 0 and id is not null").groupBy("key_1", "key_2").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     firsts = stash(firsts, "first-of-set")
-    texts = rows.join(firsts.select(F.col("first").alias("id")).hint("shuffle_hash"), "id", "left_semi")
+    chosen = firsts.select(F.col("first").alias("id"), "n").distinct()
+    texts = rows.join(chosen.select("id").hint("shuffle_hash"), "id", "left_semi")
     grams = texts.mapInArrow(_prefixes(order, n, percent), "gram long, id long")
     # a frequent n-gram's documents are dealt into pieces, so that no group of the window is unbounded
     frequent = F.col("gram") < 0
     grams = grams.withColumn("piece", F.when(frequent, F.pmod(F.xxhash64("id"), F.lit(pieces))).otherwise(0).cast("int"))
-    group = W.partitionBy("gram", "piece")
-    shared = grams.withColumn("k", F.count(F.lit(1)).over(group)).withColumn("leader", F.min("id").over(group))
-    shared = stash(shared.where(frequent | (F.col("k") > 1)).select("gram", "id", "leader"), "shared")
-    whole = shared.where(frequent).groupBy("gram").agg(F.min("leader").alias("top"))  # FREQUENT rows at most
-    shared = shared.join(F.broadcast(whole), "gram", "left").select("gram", "id", F.coalesce("top", "leader").alias("leader"))
+    shared = grams.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("gram", "piece")))
+    shared = stash(shared.where(frequent | (F.col("k") > 1)).select("gram", "id"), "shared")
+
+    # a document links only where it shares at least `asked` prefix n-grams with another
+    asked = (1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)).cast("long").alias("asked")
+    able = stash(shared.groupBy("id").count().join(chosen, "id").select("id", "count", asked).where("count >= asked").drop("count"), "able")
+    shared = stash(shared.join(able, "id"), "able-shared")
 
     # one leader for each document: the one with which it shares most prefix n-grams
-    votes = shared.where("leader < id").groupBy("id", "leader").count()
-    chosen = votes.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    chosen = stash(chosen, "leaders")
+    heads = stash(shared.groupBy("gram").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "heads")
+    votes = shared.join(heads, "gram").where("leader < id").groupBy("id", "leader").count()
+    chosen = stash(votes.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "leaders")
     sizes = chosen.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
     sizes = stash(sizes, "leader-sizes")
     part, leader = F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"), F.col("leader").alias("key")
@@ -366,12 +379,18 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     links = stash(_linked(followers.union(heads), texts, order, n, percent), "leader-links")
     joined = components(links)
 
-    # what shares a prefix n-gram and isn't joined yet
-    own = shared.select("gram", "id").join(joined.withColumnsRenamed({"u": "id", "v": "c"}), "id", "left")
-    own = stash(own.select("gram", "id", F.coalesce("c", "id").alias("c")), "shared-components")
-    digest = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    mixed = own.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), *digest).where("a <> b")
-    mixed = mixed.groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))  # n-grams of the same documents count once
+    # what shares enough n-grams with documents of other components
+    own = shared.join(joined.withColumnsRenamed({"u": "id", "v": "c"}), "id", "left")
+    own = stash(own.select("gram", "id", "asked", F.coalesce("c", "id").alias("c")), "shared-components")
+    for _ in range(2):
+        own = _of_several(own)
+        rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("k"), "gram"))
+        open_ = own.withColumn("all", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("rank", rank).where("all >= asked")
+        # both documents of a link may leave out half of what they have to share, less one: the most frequent
+        own = stash(open_.withColumn("spare", F.col("rank") <= F.floor((F.col("asked") - 1) / 2)).select("gram", "id", "asked", "c", "spare"), "open")
+    own = _of_several(own.where("not spare"))
+    digest = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    mixed = own.groupBy("gram", "k").agg(*digest).groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))  # n-grams of the same documents count once
     mixed = stash(mixed.select("gram", F.ceil(F.col("k") / BLOCK).cast("long").alias("parts")), "mixed")
     mine = own.join(mixed, "gram").withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")))
     mine = mine.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -381,7 +400,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     joined = components(joined.union(rest))
 
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("first")
-    first = sets.join(firsts, ["key_1", "key_2"], "left").select("id", "n", first)
+    first = sets.join(firsts.drop("n"), ["key_1", "key_2"], "left").select("id", "n", first)
     found = first.join(joined.withColumnsRenamed({"u": "first", "v": "c"}), "first", "left")
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "first").alias("component_id"))
 
