@@ -12,6 +12,7 @@ from tessella.llm.langid import op1_language_id
 from tessella.llm.licences import op9_licence_scan
 from tessella.llm.mixing import op6_low_discrepancy_mix
 from tessella.llm.packing import op4_pattern_packing
+from tessella.llm.secrets import op8_secret_scan
 from tessella.llm.sharding import op10_rendezvous_sharding
 from tessella.llm.winnowing import op3_winnowing
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pattern_packing": op4_pattern_packing,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_secret_scan": op8_secret_scan,
     "op9_licence_scan": op9_licence_scan,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
