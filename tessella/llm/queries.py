@@ -10,6 +10,7 @@ from tessella.llm import jaccard_join
 from tessella.llm.jaccard_join import op7_ngram_jaccard_join
 from tessella.llm.langid import op1_language_id
 from tessella.llm.licences import op9_licence_scan
+from tessella.llm.media import op5_interleaved_media
 from tessella.llm.mixing import op6_low_discrepancy_mix
 from tessella.llm.packing import op4_pattern_packing
 from tessella.llm.secrets import op8_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_winnowing": op3_winnowing,
     "op4_pattern_packing": op4_pattern_packing,
+    "op5_interleaved_media": op5_interleaved_media,
     "op6_low_discrepancy_mix": op6_low_discrepancy_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_secret_scan": op8_secret_scan,
