@@ -16,9 +16,11 @@ from tessella.llm.packing import op4_pattern_packing
 from tessella.llm.secrets import op8_secret_scan
 from tessella.llm.sharding import op10_rendezvous_sharding
 from tessella.llm.winnowing import op3_winnowing
+from tessella.llm.wrappers import op2_wrapper_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_wrapper_extraction": op2_wrapper_extraction,
     "op3_winnowing": op3_winnowing,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_interleaved_media": op5_interleaved_media,
