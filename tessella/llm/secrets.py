@@ -64,7 +64,8 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
             F.left(F.get("__between", i + 1), F.lit(NEAR)).alias("right"),
         ),
     )
-    return rows.withColumn("__each", F.explode(each)).select(*[c for c in rows.columns if not c.startswith("__")], "__each.*")
+    others = [c for c in df.columns if c not in (text, "__found")]
+    return rows.withColumn("__each", F.explode(each)).select(*others, "__each.*")
 
 
 def value_of(candidate: Column) -> Column:
