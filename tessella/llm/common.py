@@ -44,7 +44,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stashed = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stashed tables. Only for those whose every reader has been stashed itself."""
+    for df in tables:
+        _remove(df.sparkSession, df._stashed)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.llm.common import documents, ship, stash
+from tessella.llm.common import discard, documents, ship, stash
 
 #: Most frequent n-grams that the global order puts last; any order gives the same links.
 FREQUENT = 1 << 15
@@ -34,6 +34,8 @@ FREQUENT = 1 << 15
 SPARE = 8
 #: Documents in one block.
 BLOCK = 128
+#: Documents in a cluster that is compared as a whole.
+CLUSTER = 4096
 #: Documents of a frequent n-gram that one group of a window holds, about.
 PIECE = 500
 #: N-grams of one task that are counted together.
@@ -317,16 +319,50 @@ def components(links: DataFrame) -> DataFrame:
         least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-star-min")
         large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stash(large, "large-star")
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-min")
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        small = small.where("u > v").distinct()
-        edges = stash(small, "small-star")
+        smallest = stash(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-min")
+        small = large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        small = stash(small.where("u > v").distinct(), "small-star")
+        discard(edges, least, large, smallest)
+        edges = small
 
 
 def _of_several(own: DataFrame) -> DataFrame:
     """The rows of n-grams that documents of several components share, with the number k of their documents."""
     counts = own.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
-    return stash(own.drop("k").join(stash(counts.select("gram", "k"), "several"), "gram"), "of-several")
+    counts = stash(counts.select("gram", "k"), "several")
+    out = stash(own.drop("k").join(counts, "gram"), "of-several")
+    discard(counts)
+    return out
+
+
+def _dealt(rows: DataFrame, size: str) -> DataFrame:
+    """Rows (key, role, id) of groups of `size` documents dealt into pairs of blocks, so that any two meet in one part."""
+    rows = rows.withColumn("parts", F.ceil(F.col(size) / BLOCK).cast("long")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.select("key", (F.least("b", "o") * F.col("parts") + F.greatest("b", "o")).alias("part"), "role", "id")
+
+
+def _blocks(own: DataFrame) -> DataFrame:
+    """Where documents that share an n-gram of `own` (gram, id, c, k) are compared: key, part, role, id.
+
+    Documents that n-grams connect, directly or by others, are a cluster. A cluster of up
+    to CLUSTER documents is compared as a whole; that brings together each two that share
+    an n-gram, and every document once or a few times. In a larger one, which n-grams
+    shared by chance may hold together, only the documents of each n-gram are.
+    """
+    heads = stash(own.groupBy("gram").agg(F.min("id").alias("head")), "cluster-heads")
+    edges = own.join(heads, "gram").select(F.col("id").alias("u"), F.col("head").alias("v"))
+    members = components(edges).withColumnsRenamed({"u": "id", "v": "cluster"})
+    docs = own.select("id", "c").distinct().join(members, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    docs = stash(docs, "cluster-members")
+    sizes = stash(docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
+    small = docs.join(sizes.where(F.col("size") <= CLUSTER), "cluster").select(F.col("cluster").alias("key"), F.col("c").alias("role"), "id", "size")
+    large = stash(docs.join(sizes.where(F.col("size") > CLUSTER), "cluster").select("id"), "large-clusters")
+    grams = own.join(large, "id", "left_semi")
+    digest = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    once = grams.groupBy("gram", "k").agg(*digest).groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))  # of the same documents
+    grams = grams.drop("k").join(stash(once.select("gram", "k"), "grams-of-large"), "gram")
+    return _dealt(small, "size").union(_dealt(grams.select(F.col("gram").alias("key"), F.col("c").alias("role"), "id", "k"), "k"))
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -364,10 +400,13 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     # a document links only where it shares at least `asked` prefix n-grams with another
     asked = (1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)).cast("long").alias("asked")
     able = stash(shared.groupBy("id").count().join(chosen, "id").select("id", "count", asked).where("count >= asked").drop("count"), "able")
+    met = shared
     shared = stash(shared.join(able, "id"), "able-shared")
+    discard(met, able)
 
     # one leader for each document: the one with which it shares most prefix n-grams
-    heads = stash(shared.groupBy("gram").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "heads")
+    heads = shared.groupBy("gram").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k"))
+    heads = stash(heads.where("k > 1").drop("k"), "heads")
     votes = shared.join(heads, "gram").where("leader < id").groupBy("id", "leader").count()
     chosen = stash(votes.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "leaders")
     sizes = chosen.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
@@ -375,27 +414,29 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     part, leader = F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"), F.col("leader").alias("key")
     followers = chosen.join(sizes, "leader").select(leader, part.alias("part"), F.lit(1).cast("long").alias("role"), "id")
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    heads = sizes.select(leader, parts, F.lit(0).cast("long").alias("role"), F.col("leader").alias("id"))
-    links = stash(_linked(followers.union(heads), texts, order, n, percent), "leader-links")
+    led = sizes.select(leader, parts, F.lit(0).cast("long").alias("role"), F.col("leader").alias("id"))
+    links = stash(_linked(followers.union(led), texts, order, n, percent), "leader-links")
     joined = components(links)
 
     # what shares enough n-grams with documents of other components
     own = shared.join(joined.withColumnsRenamed({"u": "id", "v": "c"}), "id", "left")
     own = stash(own.select("gram", "id", "asked", F.coalesce("c", "id").alias("c")), "shared-components")
+    discard(shared, heads)
     for _ in range(2):
-        own = _of_several(own)
+        before = own
+        own = _of_several(before)
+        discard(before)
+        before = own
         rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("k"), "gram"))
         open_ = own.withColumn("all", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("rank", rank).where("all >= asked")
         # both documents of a link may leave out half of what they have to share, less one: the most frequent
-        own = stash(open_.withColumn("spare", F.col("rank") <= F.floor((F.col("asked") - 1) / 2)).select("gram", "id", "asked", "c", "spare"), "open")
-    own = _of_several(own.where("not spare"))
-    digest = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    mixed = own.groupBy("gram", "k").agg(*digest).groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))  # n-grams of the same documents count once
-    mixed = stash(mixed.select("gram", F.ceil(F.col("k") / BLOCK).cast("long").alias("parts")), "mixed")
-    mine = own.join(mixed, "gram").withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")))
-    mine = mine.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pair = (F.least("b", "o") * F.col("parts") + F.greatest("b", "o")).alias("part")
-    blocks = mine.select(F.col("gram").alias("key"), pair, F.col("c").alias("role"), "id")
+        spare = F.col("rank") <= F.floor((F.col("asked") - 1) / 2)
+        own = stash(open_.withColumn("spare", spare).select("gram", "id", "asked", "c", "spare"), "open")
+        discard(before)
+    before = own
+    own = _of_several(before.where("not spare"))
+    discard(before)
+    blocks = _blocks(own)
     rest = stash(_linked(blocks, texts, order, n, percent), "other-links")
     joined = components(joined.union(rest))
 
