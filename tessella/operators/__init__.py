@@ -1,0 +1 @@
+"""Reusable relational and temporal operators on DataFrames."""

@@ -1,0 +1,35 @@
+"""Reading and writing tables in Spark's file formats."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+FORMATS = ("parquet", "orc", "json", "csv")
+
+
+def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None, **options: str) -> DataFrame:
+    """A table of one of FORMATS. Text formats need a schema: inferring one would read the input twice."""
+    if fmt not in FORMATS:
+        raise ValueError(f"{fmt!r} is none of {FORMATS}")
+    if fmt in ("json", "csv") and schema is None:
+        raise ValueError(f"{fmt} is read with a schema only")
+    reader = spark.read.format(fmt).options(**({"header": "true"} | options if fmt == "csv" else options))
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
+def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "error", **options: str) -> None:
+    """Writes a table; with `partition_by`, rows of one partition value go to few files."""
+    if fmt not in FORMATS:
+        raise ValueError(f"{fmt!r} is none of {FORMATS}")
+    if partition_by:
+        df = df.repartition(*partition_by)
+    writer = df.write.format(fmt).mode(mode).options(**({"header": "true"} | options if fmt == "csv" else options))
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+
+
+def write_bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str]) -> None:
+    """A table of the catalog, bucketed and sorted by keys, so that joins on them need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

@@ -1,0 +1,61 @@
+"""Structured Streaming: file sources, event-time operators and keyed state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tessella.sources.scratch import scratch
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
+    """The table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
+    """The stream with `column` as a zoned timestamp, which watermarks need, and a watermark on it."""
+    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """All that the stream gives for what is there now, through a file sink, which writes each row exactly once."""
+    spark = stream.sparkSession
+    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def tumbling_counts(stream: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
+    w = F.window(time, width)
+    return stream.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def sliding_counts(stream: DataFrame, time: str, width: str, step: str) -> DataFrame:
+    return stream.groupBy(F.window(time, width, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def session_counts(stream: DataFrame, time: str, gap: str, key: str) -> DataFrame:
+    grouped = stream.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select(key, F.col("w.start").alias("start"), "n")
+
+
+def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key and batch: the number of events and the sum of values so far, in keyed state."""
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for frame in frames:
+            n, total = n + len(frame), total + float(frame[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
