@@ -1,22 +1,26 @@
-"""Scans, filters, joins, aggregation, set operations and sorts."""
+"""Scans, filters, joins, aggregation, set operations, sorts and subqueries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import as_long
+from tessella.operators.temporal import range_join, salted_sum, top_per_group
 from tessella.plans.registry import query
-from tessella.tables import table
+from tessella.tables import register_views, table
+
+
+def _revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query(
     "pricing_summary",
     """
-    SELECT l_returnflag, l_linestatus,
-           round(sum(l_quantity), 2) AS sum_qty,
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
            round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-           round(avg(l_discount), 6) AS avg_disc,
-           count(*) AS n
+           round(avg(l_discount), 6) AS avg_disc, count(*) AS n
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'
     GROUP BY l_returnflag, l_linestatus
     """,
@@ -29,8 +33,320 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
             F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
+            F.round(F.sum(_revenue()), 2).alias("revenue"),
             F.round(F.avg("l_discount"), 6).alias("avg_disc"),
             F.count(F.lit(1)).alias("n"),
         )
     )
+
+
+@query(
+    "filter_project",
+    """
+    SELECT c_custkey, c_name, c_mktsegment FROM customer
+    WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 5000 AND c_name LIKE '%1%'
+    """,
+)
+def filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IN, BETWEEN and LIKE, pushed to the scan as far as parquet filters go."""
+    c = table(spark, sf_dir, "customer")
+    kept = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & F.col("c_acctbal").between(0, 5000) & F.col("c_name").like("%1%")
+    return c.where(kept).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query(
+    "left_outer_join",
+    "SELECT o_orderkey, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+)
+def left_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the number of their line items, 0 included: line items are counted before the join."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+@query(
+    "full_outer_join",
+    """
+    WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 3000), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 250000)
+    SELECT a.k AS customer, b.k AS buyer FROM a FULL JOIN b ON a.k = b.k
+    """,
+)
+def full_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_acctbal < 3000").select(F.col("c_custkey").alias("customer"))
+    b = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("buyer")).distinct()
+    return a.join(b, F.col("customer") == F.col("buyer"), "full")
+
+
+@query(
+    "semi_join",
+    "SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
+)
+def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_orderkey")
+    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_orderpriority")
+
+
+@query("anti_join", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN over a column without nulls, as the anti join that Spark can shuffle; its null-aware form needs a broadcast."""
+    buyers = table(spark, sf_dir, "orders").where("o_custkey is not null and o_totalprice > 200000").select("o_custkey")
+    return table(spark, sf_dir, "customer").join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query(
+    "inequality_join",
+    """
+    SELECT p.p_partkey, count(*) AS n FROM part p JOIN part q ON p.p_brand = q.p_brand AND p.p_retailprice < q.p_retailprice AND p.p_size > q.p_size
+    GROUP BY p.p_partkey
+    """,
+)
+def inequality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inequalities beside an equality, which spreads the work."""
+    p, q = table(spark, sf_dir, "part").alias("p"), table(spark, sf_dir, "part").alias("q")
+    on = (F.col("p.p_brand") == F.col("q.p_brand")) & (F.col("p.p_retailprice") < F.col("q.p_retailprice")) & (F.col("p.p_size") > F.col("q.p_size"))
+    return p.join(q, on).groupBy("p.p_partkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "price_band_join",
+    """
+    SELECT band, count(*) AS n FROM orders JOIN (SELECT i AS band, i * 25000.0 AS low, (i + 1) * 25000.0 AS high FROM range(0, 20) t(i)) b
+    ON o_totalprice >= low AND o_totalprice < high GROUP BY band
+    """,
+)
+def price_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range join by cells."""
+    bands = spark.range(20).select(F.col("id").alias("band"), (F.col("id") * 25000.0).alias("low"), ((F.col("id") + 1) * 25000.0).alias("high"))
+    return range_join(table(spark, sf_dir, "orders").select("o_totalprice"), bands, "o_totalprice", "low", "high", 25000.0).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of fixed size."""
+    return table(spark, sf_dir, "region").select("r_name").crossJoin(table(spark, sf_dir, "nation").select("n_name"))
+
+
+@query(
+    "lateral_top_orders",
+    """
+    SELECT c_custkey, o_orderkey, o_totalprice FROM customer,
+    LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t
+    """,
+)
+def lateral_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest orders of each customer: top n per group, then the join."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    best = top_per_group(orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
+    return table(spark, sf_dir, "customer").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "six_way_join",
+    """
+    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+    JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey
+    WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY n_name
+    """,
+)
+def six_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two tables of fixed size are broadcast; Spark chooses for the others by their sizes."""
+    t = lambda name: table(spark, sf_dir, name)
+    nations = t("nation").join(F.broadcast(t("region").where(F.col("r_name").isin("ASIA", "EUROPE"))), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = t("customer").join(F.broadcast(nations.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = t("orders").select("o_orderkey", "o_custkey").join(customers.select("c_custkey", "c_nationkey", "n_name"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", _revenue().alias("r")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    met = lines.join(t("supplier"), (F.col("s_suppkey") == F.col("l_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
+    return met.groupBy("n_name").agg(F.round(F.sum("r"), 2).alias("revenue"))
+
+
+@query(
+    "join_strategies",
+    "SELECT o_orderpriority, count(*) AS n_merge, count(*) AS n_hash, count(*) AS n_broadcast FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority",
+)
+def join_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One join by three physical strategies."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey")
+    on = F.col("o_custkey") == F.col("c_custkey")
+    counted = [
+        orders.join(customers.hint(hint), on).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias(name))
+        for hint, name in (("merge", "n_merge"), ("shuffle_hash", "n_hash"), ("broadcast", "n_broadcast"))
+    ]
+    return counted[0].join(counted[1], "o_orderpriority").join(counted[2], "o_orderpriority")
+
+
+@query(
+    "distinct_filter_having",
+    """
+    SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_priorities, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, count(*) AS n
+    FROM orders GROUP BY o_custkey HAVING count(*) > 12
+    """,
+)
+def distinct_filter_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count_distinct("o_orderpriority").alias("n_priorities"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.count(F.lit(1)).alias("n")
+    )
+    return grouped.where("n > 12")
+
+
+@query(
+    "rollup_levels",
+    """
+    SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS g_flag, CAST(grouping(l_linestatus) AS BIGINT) AS g_status, count(*) AS n
+    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
+    """,
+)
+def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(
+        as_long(F.grouping("l_returnflag")).alias("g_flag"), as_long(F.grouping("l_linestatus")).alias("g_status"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("cube_levels", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+_GROUPING_SETS = """
+    SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer
+    GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())
+"""
+
+
+@query("grouping_sets", _GROUPING_SETS)
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(spark, sf_dir, "customer")
+    return spark.sql(_GROUPING_SETS)
+
+
+@query(
+    "exact_percentiles",
+    """
+    SELECT c_mktsegment, round(median(c_acctbal), 4) AS middle, round(quantile_cont(c_acctbal, 0.9), 4) AS upper FROM customer GROUP BY c_mktsegment
+    """,
+)
+def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
+        F.round(F.median("c_acctbal"), 4).alias("middle"), F.round(F.percentile("c_acctbal", F.lit(0.9)), 4).alias("upper")
+    )
+
+
+@query(
+    "spread_and_correlation",
+    """
+    SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS deviation, round(var_pop(l_quantity), 6) AS variance,
+           round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def spread_and_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.round(F.stddev_samp("l_quantity"), 6).alias("deviation"), F.round(F.var_pop("l_quantity"), 6).alias("variance"),
+        F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("correlation"),
+    )
+
+
+@query("largest_order", "SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def largest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"))
+
+
+@query("approximate_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_exact, true AS is_near FROM lineitem GROUP BY l_returnflag")
+def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch's count is within a tenth of the exact one."""
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n_exact"), F.approx_count_distinct("l_partkey", 0.02).alias("n_near"))
+    return grouped.select("l_returnflag", "n_exact", (F.abs(F.col("n_near") - F.col("n_exact")) <= 0.1 * F.col("n_exact")).alias("is_near"))
+
+
+@query(
+    "pivot_status",
+    """
+    SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p
+    FROM orders GROUP BY o_orderpriority
+    """,
+)
+def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count()
+    return wide.select("o_orderpriority", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("F", "O", "P")])
+
+
+@query(
+    "unpivot_part",
+    "SELECT p_partkey, 'p_size' AS name, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part",
+)
+def unpivot_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return rows.unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "amount")
+
+
+@query("skewed_sum", "SELECT event_type, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def skewed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum by few keys in two salted steps."""
+    sums = salted_sum(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["event_type"], "value", 16, "total")
+    return sums.withColumn("total", F.round("total", 2))
+
+
+@query("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@query("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("top_k_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def top_k_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(20)
+
+
+@query("nulls_last_order", "SELECT x FROM (SELECT nullif(n_regionkey, 2) AS x FROM nation) ORDER BY x DESC NULLS LAST LIMIT 12")
+def nulls_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.nullif("n_regionkey", F.lit(2)).alias("x")).orderBy(F.desc_nulls_last("x")).limit(12)
+
+
+@query(
+    "scalar_subquery",
+    "SELECT o_orderkey FROM orders o WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
+)
+def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correlated average, decorrelated into one aggregation and a join."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    mean = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"))
+    return orders.join(mean, "o_custkey").where("o_totalprice > 1.5 * mean").select("o_orderkey")
+
+
+_RECURSIVE = """
+    WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 30)
+    SELECT CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM steps
+"""
+
+
+@query("recursive_cte", _RECURSIVE)
+def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_RECURSIVE)
+
+
+_CASE = """
+    SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS kind, count(*) AS n,
+           count(DISTINCT p_brand) AS n_brands, round(min(p_retailprice), 2) AS least, round(max(p_retailprice), 2) AS most
+    FROM part GROUP BY 1
+"""
+
+
+@query("case_buckets", _CASE)
+def case_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(spark, sf_dir, "part")
+    return spark.sql(_CASE)
