@@ -93,10 +93,10 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query("not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NOT IN over a column without nulls, as the anti join that Spark can shuffle; its null-aware form needs a broadcast."""
-    buyers = table(spark, sf_dir, "orders").where("o_custkey is not null and o_totalprice > 200000").select("o_custkey")
+    buyers = table(spark, sf_dir, "orders").where("o_custkey is not null and o_totalprice > 400000").select("o_custkey")
     return table(spark, sf_dir, "customer").join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
