@@ -45,3 +45,34 @@ def test_plans_of_few_lengths(histogram):
         for x in own:
             seen[x] = seen.get(x, 0) + n
     assert seen == histogram
+
+
+def test_all_pieces_have_places(spark, edge_dir):
+    import zlib
+
+    from tessella.llm.packing import op4_pattern_packing
+    from tests.llm.conftest import edge_rows
+
+    rows = op4_pattern_packing(spark, edge_dir).collect()
+    tokenizer = Encoder(default_tokenizer()).tokenizer
+    want = []
+    for doc, text, *_ in edge_rows():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        want += [(doc, k, k * 4096, len(ids[k * 4096 : (k + 1) * 4096]), zlib.crc32(np.array(ids[k * 4096 : (k + 1) * 4096], "<u4").tobytes())) for k in range(-(-len(ids) // 4096))]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in rows)
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_no_rows(spark, empty_dir):
+    from tessella.llm.packing import op4_pattern_packing
+
+    assert op4_pattern_packing(spark, empty_dir).collect() == []
