@@ -41,10 +41,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it, to the nearest whole time; those without words once."""
     laid, spans = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     sums = mixing.taken(laid, spans).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(1).cast("int").alias("times")
+    times = F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(1).cast("int").alias("__times")
     times = stash(sums.select(F.col("doc_id").alias("__id"), times), "mix-times")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).where("times > 0")
-    return rows.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__times > 0")
+    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
