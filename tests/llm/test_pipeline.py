@@ -1,0 +1,46 @@
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.conftest import SCHEMA, edge_rows
+
+
+def _apply(spark, docs, tmp_path, upto=5):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:upto]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    return docs
+
+
+def test_stages_on_awkward_rows(spark, edge_dir, tmp_path):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    kept = _apply(spark, docs, tmp_path, 3)
+    assert kept.columns == docs.columns
+    got = {r.doc_id: r for r in kept.collect()}
+    assert not {4, 5, 6, 11} & set(got)  # no language
+    assert not {1, 2, 8, 20, 23} & set(got) and {0, 3, 7, 9, 12, 19, 22} <= set(got)  # one of each group
+    assert "24be64439e3e" not in got[15].text and "AKIA" not in got[15].text and got[16].text == dict((i, t) for i, t, *_ in edge_rows())[16]
+    assert got[15].n_chars == len(got[15].text)
+
+
+def test_clean_documents_stay(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert corpus_pipeline.language_id(spark, docs, "").count() == docs.count()
+    once = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert once.count() >= docs.select("text").distinct().count() * 0.8
+    assert corpus_pipeline.secret_scan(spark, docs, "").count() == docs.count()
+
+
+def test_run_and_no_rows(spark, empty_dir):
+    assert corpus_pipeline.run(spark, empty_dir).collect() == []
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.length >= 1 for r in rows)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
+def test_other_columns_stay(spark, stage):
+    names = "score lang_pred size start length idx h n id u v key value rule is_secret path left right times taken gram target".split()
+    docs = spark.createDataFrame(edge_rows(), SCHEMA).withColumns({c: F.lit(f"own {c}") for c in names})
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert out.first()["size"] == "own size" and out.first()["score"] == "own score"
