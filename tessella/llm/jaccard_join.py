@@ -36,6 +36,8 @@ SPARE = 8
 BLOCK = 128
 #: Documents in a cluster that is compared as a whole.
 CLUSTER = 4096
+#: Links that one task joins at once.
+LINKS = 100_000
 #: Documents of a frequent n-gram that one group of a window holds, about.
 PIECE = 500
 #: N-grams of one task that are counted together.
@@ -302,18 +304,43 @@ def _linked(blocks: DataFrame, texts: DataFrame, order, n: int, percent: int) ->
     return rows.mapInArrow(_compare(order, n, percent), "u long, v long")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition's links as a link from each vertex to the smallest that they reach here."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    found = [(x, top(x)) for x in parent]
+    u, v = [x for x, y in found if x != y], [y for x, y in found if x != y]
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every vertex that isn't the smallest of its component, and that smallest one.
 
-    Large-star and small-star steps in turn until nothing changes. Each step is two
-    grouped minimums and joins over written tables, whose skewed parts Spark can split.
+    Each partition first reduces its own LINKS links or so to stars; one partition is
+    done with that. Of several, large-star and small-star steps join the stars, in turn,
+    until nothing changes. Each step is two grouped minimums and joins over written
+    tables, whose skewed parts Spark can split.
     """
-    edges = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
+    ship(links.sparkSession)
+    given = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
+    parts = -(-given.count() // LINKS)
+    edges = stash(given.coalesce(max(1, parts)).mapInArrow(_stars, "u long, v long"), "stars")
+    discard(given)
     seen = None
-    while True:
+    while parts > 1:
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen or now[0] == 0:
-            return edges
+        if now == seen:
+            break
         seen = now
         both = edges.select("u", "v").union(edges.select("v", "u"))
         least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-star-min")
@@ -324,6 +351,7 @@ def components(links: DataFrame) -> DataFrame:
         small = stash(small.where("u > v").distinct(), "small-star")
         discard(edges, least, large, smallest)
         edges = small
+    return edges
 
 
 def _of_several(own: DataFrame) -> DataFrame:
@@ -357,12 +385,15 @@ def _blocks(own: DataFrame) -> DataFrame:
     docs = stash(docs, "cluster-members")
     sizes = stash(docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
     small = docs.join(sizes.where(F.col("size") <= CLUSTER), "cluster").select(F.col("cluster").alias("key"), F.col("c").alias("role"), "id", "size")
+    small = _dealt(small, "size")
+    if sizes.where(F.col("size") > CLUSTER).isEmpty():
+        return small
     large = stash(docs.join(sizes.where(F.col("size") > CLUSTER), "cluster").select("id"), "large-clusters")
     grams = own.join(large, "id", "left_semi")
     digest = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
     once = grams.groupBy("gram", "k").agg(*digest).groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))  # of the same documents
     grams = grams.drop("k").join(stash(once.select("gram", "k"), "grams-of-large"), "gram")
-    return _dealt(small, "size").union(_dealt(grams.select(F.col("gram").alias("key"), F.col("c").alias("role"), "id", "k"), "k"))
+    return small.union(_dealt(grams.select(F.col("gram").alias("key"), F.col("c").alias("role"), "id", "k"), "k"))
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -422,20 +453,15 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     own = shared.join(joined.withColumnsRenamed({"u": "id", "v": "c"}), "id", "left")
     own = stash(own.select("gram", "id", "asked", F.coalesce("c", "id").alias("c")), "shared-components")
     discard(shared, heads)
-    for _ in range(2):
-        before = own
-        own = _of_several(before)
-        discard(before)
-        before = own
-        rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("k"), "gram"))
-        open_ = own.withColumn("all", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("rank", rank).where("all >= asked")
-        # both documents of a link may leave out half of what they have to share, less one: the most frequent
-        spare = F.col("rank") <= F.floor((F.col("asked") - 1) / 2)
-        own = stash(open_.withColumn("spare", spare).select("gram", "id", "asked", "c", "spare"), "open")
-        discard(before)
-    before = own
-    own = _of_several(before.where("not spare"))
-    discard(before)
+    several = _of_several(own)
+    discard(own)
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("k"), "gram"))
+    open_ = several.withColumn("all", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("rank", rank).where("all >= asked")
+    # both documents of a link may leave out half of what they have to share, less one: the most frequent
+    open_ = stash(open_.where(F.col("rank") > F.floor((F.col("asked") - 1) / 2)).select("gram", "id", "c"), "open")
+    discard(several)
+    own = _of_several(open_)
+    discard(open_)
     blocks = _blocks(own)
     rest = stash(_linked(blocks, texts, order, n, percent), "other-links")
     joined = components(joined.union(rest))

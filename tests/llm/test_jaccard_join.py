@@ -63,7 +63,7 @@ def test_components_equal_brute_force(spark, seed):
 
 def test_small_blocks_and_clusters(spark, monkeypatch):
     """The ways for frequent n-grams and large clusters give the same components."""
-    for name, value in (("BLOCK", 4), ("CLUSTER", 8), ("FREQUENT", 64), ("PIECE", 5), ("COUNTED", 1000)):
+    for name, value in (("BLOCK", 4), ("CLUSTER", 8), ("FREQUENT", 64), ("PIECE", 5), ("COUNTED", 1000), ("LINKS", 20)):
         monkeypatch.setattr(jaccard_join, name, value)
     rows = _families(11, 8, 20)
     out = similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
@@ -102,6 +102,8 @@ def test_trie_finds_what_comparing_finds():
     assert {tuple(sorted(x)) for x in links_in_block(sets[:2], [0, 0], 75)} == set()
 
 
-def test_chains_are_one_component(spark):
+@pytest.mark.parametrize("each", [100_000, 40])
+def test_chains_are_one_component(spark, monkeypatch, each):
+    monkeypatch.setattr(jaccard_join, "LINKS", each)
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 900), (900, 1000), (7, 7)], "u long, v long")
     assert {r.u: r.v for r in components(links).collect()} == {**{i: 0 for i in range(1, 301)}, 1000: 900}
