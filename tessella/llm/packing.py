@@ -74,33 +74,28 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        table, older = self.table, self.older
-        plain, made, odd = set(), [], []
-        for word in new:
-            if (known := older.get(word)) is not None:
-                table[word] = known
-                continue
-            core = word.rstrip(".,")
-            lower = core.lower()
-            if lower.isalpha() and max(core) < "ɐ":  # no marks that could join, one letter for each letter
-                if lower not in table:
-                    plain.add(lower)
-                if lower != word:
-                    made.append((word, lower, word[len(core) :]))
-            else:
-                odd.append(word)
-        todo = list(plain)
+        table = self.table
+        known = new & self.older.keys()
+        table.update((word, self.older[word]) for word in known)
+        words = list(new - known)
+        lower = "\n".join(words).lower().split("\n")
+        cores = [x.rstrip(".,") for x in lower]
+        # letters that no mark joins; capitals that make two characters are none of these
+        plain = [x.isalpha() and (x.isascii() or max(x) < "ɐ") for x in cores]
+        todo = list({x for x, p in zip(cores, plain, strict=True) if p}.difference(table))
+        odd = {word for word, p in zip(words, plain, strict=True) if not p}
         parts = [todo[i : i + 256] for i in range(0, len(todo), 256)]
         lines = [" ".join(x).translate(self.letters) for x in parts]
         for part, found in zip(parts, self._ids(lines, self.words), strict=True):
             ends = ((np.flatnonzero(self.ends[found]) + 1) * 4).tolist()
             data = found.tobytes()
             if len(ends) != len(part):
-                odd.extend(part)
+                odd.update(part)
                 continue
             table.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        odd.extend({x[2] for x in made} - table.keys())
-        table.update(zip(odd, (x.tobytes() for x in self._ids(odd)), strict=True))
+        made = [(w, c, x[len(c) :]) for w, x, c, p in zip(words, lower, cores, plain, strict=True) if p and w != c]
+        rest = list((odd | {tail for _, _, tail in made}).difference(table))
+        table.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
         table.update((word, table[core] + table[tail]) for word, core, tail in made)
 
     def _ids(self, texts: list[str], tokenizer: object = None) -> list[np.ndarray]:

@@ -36,9 +36,9 @@ MAIN = frozenset("article main".split())
 VOID = frozenset("area base col embed frame hr input keygen link meta param source track".split())
 #: Words of class and id attributes that mark what isn't the article: fixed values.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disclaimer disqus "
-    "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related "
-    "replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo copyright cookie cookies consent disclaimer disqus "
+    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended recommendations related "
+    "replies reply respond search share sharing sidebar signin signup social sponsor sponsored subscribe toolbar trending widget widgets".split()
 )
 
 _TOKEN = re.compile(
