@@ -77,7 +77,8 @@ class Encoder:
         table = self.table
         known = new & self.older.keys()
         table.update((word, self.older[word]) for word in known)
-        words = list(new - known)
+        if not (words := list(new - known)):
+            return
         lower = "\n".join(words).lower().split("\n")
         cores = [x.rstrip(".,") for x in lower]
         # letters that no mark joins; capitals that make two characters are none of these

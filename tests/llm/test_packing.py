@@ -2,6 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tessella.llm import packing
 from tessella.llm.packing import Encoder, default_tokenizer, plan
 
 TEXTS = [
@@ -24,6 +25,13 @@ def test_ids_equal_the_tokenizers_own(encoder):
             assert np.frombuffer(data, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_full_tables_are_kept_as_the_older_ones(monkeypatch, encoder):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    small = Encoder(default_tokenizer())
+    for texts in (["one Two, three four. five"], ["two three"], ["five One"], ["Two, six"], ["", " "], ["one Two, three four. five"]):
+        assert small.encode(texts) == encoder.encode(texts)
+
+
 def test_plan_places_everything_and_is_close_to_the_least():
     rng = np.random.default_rng(1)
     lengths = np.minimum(4096, (rng.pareto(1.1, 20_000) * 60 + 1).astype(int))
