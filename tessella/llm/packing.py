@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a
-    text's ids are those of its space-separated strings, one after another. These are
+    text's ids are those of its words, one after another. These are
     kept in a table. New strings of Latin letters are encoded many at a time, by the
     vocabulary alone, as they need no normalizing but lower case: each gives one word,
     and only its last token is a word's end.
@@ -54,24 +55,27 @@ class Encoder:
         self.table: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Words are split and numbered by Arrow; each that a batch has is looked up once, and its ids are gathered by place."""
         if len(self.table) > CACHED_WORDS:
             self.older, self.table = self.table, {"": b""}
-        get, split, new = self.table.get, [], set()
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            found = list(map(get, words))
-            missing = [k for k, x in enumerate(found) if x is None] if None in found else []
-            new.update([words[k] for k in missing])
-            split.append((words, found, missing))
-        if new:
-            self._learn(new)
-        out = []
-        for words, found, missing in split:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.table.get, names))
+        if missing := [k for k, x in enumerate(found) if x is None]:
+            self._learn({names[k] for k in missing})
             for k in missing:
-                found[k] = self.table[words[k]]
-            out.append(b"".join(found))
-        return out
+                found[k] = self.table[names[k]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = words.indices.to_numpy()
+        own = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
+        bounds = (ends[split.offsets.to_numpy()] * 4).tolist()
+        return list(map(data.__getitem__, map(slice, bounds[:-1], bounds[1:])))
 
     def _learn(self, new: set[str]) -> None:
         table = self.table
@@ -120,10 +124,10 @@ def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, width = _encoder(path), np.array([END_ID], "<u4").tobytes(), capacity * 4
         for whole in batches:
-            for k in range(0, len(whole), 200):
-                batch = whole.slice(k, 200)
+            for k in range(0, len(whole), 500):
+                batch = whole.slice(k, 500)
                 out = []
-                for doc, data in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                     data = memoryview(data + end)
                     for piece, at in enumerate(range(0, len(data), width)):
                         own = data[at : at + width]
