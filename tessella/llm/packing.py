@@ -27,7 +27,7 @@ END_ID = 1
 #: Patterns are enumerated over lengths rounded up to multiples of capacity / GRID.
 GRID = 128
 #: Entries of a worker's table of words, about 250 bytes each; a full table is kept as the older one, and that goes.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 class Encoder:
@@ -72,7 +72,9 @@ class Encoder:
         at = words.indices.to_numpy()
         own = sizes[at]
         ends = np.concatenate(([0], np.cumsum(own)))
-        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own) + np.arange(ends[-1])
+        kind = np.int32 if ends[-1] < 2**31 else np.int64
+        places = np.repeat(((np.cumsum(sizes) - sizes)[at] - ends[:-1]).astype(kind), own)
+        places += np.arange(ends[-1], dtype=kind)
         data = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
         bounds = (ends[split.offsets.to_numpy()] * 4).tolist()
         return list(map(data.__getitem__, map(slice, bounds[:-1], bounds[1:])))
@@ -124,8 +126,8 @@ def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, width = _encoder(path), np.array([END_ID], "<u4").tobytes(), capacity * 4
         for whole in batches:
-            for k in range(0, len(whole), 500):
-                batch = whole.slice(k, 500)
+            for k in range(0, len(whole), 400):
+                batch = whole.slice(k, 400)
                 out = []
                 for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                     data = memoryview(data + end)
