@@ -1,10 +1,10 @@
 """Licence scan: a positional index of rare licence words. DataFrame functions only.
 
 The templates' words are indexed with their positions and their inverse document
-frequency among the templates. A text looks up the rarest licence words that it has;
-each occurrence votes, for every posting of its word, for a template and the place where
-that template would begin. The place with most votes is the alignment, and its label
-holds if the template's mandatory key phrase stands in the text, too.
+frequency among the templates. A template whose mandatory key phrase stands in a text
+looks up its own rarest words that the text has; each occurrence votes, for every posting
+of its word, for the place where the template would begin. The place with most votes is
+the alignment.
 """
 
 from __future__ import annotations
@@ -115,44 +115,43 @@ def scan(df: DataFrame, text: str = "text", templates: Sequence[Template] = TEMP
 
     Null and empty texts have no words and no places. All columns are made row by row, so
     nothing is shuffled and no text meets another; columns of those names are replaced.
-    Only texts that hold a word of a phrase are split into words. A text looks up its
-    `rarest` rarest licence words; a template matches where at least `least` of its
-    postings of those words agree on a place.
+    Only texts that hold a word of a phrase are split into words. Every template whose key
+    phrase stands in a text is aligned by its own `rarest` rarest words that the text has;
+    it matches where at least `least` of its postings of those words agree on a place.
     """
     index = Index(templates)
-    postings = F.create_map(*[x for w, own in index.postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in own]))])
-    by_rarity = F.array(*map(F.lit, index.rarest_first))
-
-    def voted_for(t: int) -> Callable[[Column], Column]:
-        return lambda v: v["t"] == t
 
     def places(words: Column) -> Column:
         starts = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.struct(i.alias("start"), F.coalesce(*[F.when(phrase_at(words, i, p), F.lit(label)) for p, label in BASE]).alias("label")))
         return F.filter(starts, lambda s: s["label"].isNotNull())
 
     def matches(words: Column) -> Column:
-        rare = F.slice(F.array_intersect(by_rarity, words), 1, rarest)
-        return let(F.struct(words.alias("words"), rare.alias("rare")), votes)
-
-    def votes(own: Column) -> Column:
-        hits = F.filter(F.transform(own["words"], lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(own["rare"], h["w"]))
-        cast = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("d")))))
-        return let(F.struct(own["words"].alias("words"), own["rare"].alias("rare"), cast.alias("votes")), decide)
-
-    def decide(x: Column) -> Column:
-        line = F.concat(F.lit(" "), F.array_join(x["words"], " "), F.lit(" "))
-
-        def verdicts(joined: Column) -> Column:
-            each = []
-            for t, (template, own) in enumerate(zip(index.templates, index.words, strict=True)):
-                mine = F.transform(F.filter(x["votes"], voted_for(t)), lambda v: v["d"])
-                asked = F.size(F.filter(F.array(*map(F.lit, own)), lambda w: F.array_contains(x["rare"], w)))
-                score = best_place(mine) / F.greatest(asked, F.lit(1))
-                phrase = F.lit(f" {' '.join(words_of(template.phrase))} ")
-                each.append(F.when(F.contains(joined, phrase) & (F.size(mine) > 0), F.struct(F.lit(template.label).alias("label"), score.alias("score"))))
-            return F.filter(F.array(*each), lambda m: m["score"] >= least)
-
-        return let(line, verdicts)
+        line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        return let(F.struct(words.alias("words"), line.alias("line")), verdicts)
+
+    def verdicts(x: Column) -> Column:
+        each = []
+        for t, template in enumerate(index.templates):
+            phrase = F.lit(f" {' '.join(words_of(template.phrase))} ")
+            each.append(F.when(F.contains(x["line"], phrase), aligned(x["words"], t)))
+        return F.filter(F.array(*each), lambda m: m["score"] >= least)
+
+    def aligned(words: Column, t: int) -> Column:
+        own = set(index.words[t])
+        by_rarity = F.array(*[F.lit(w) for w in index.rarest_first if w in own])
+        return let(F.slice(F.array_intersect(by_rarity, words), 1, rarest), agreed(words, t))
+
+    def agreed(words: Column, t: int) -> Callable[[Column], Column]:
+        own = index.words[t]
+        postings = F.create_map(*[x for w in dict.fromkeys(own) for x in (F.lit(w), F.array(*[F.lit(p) for u, p in index.postings[w] if u == t]))])
+
+        def share(rare: Column) -> Column:
+            hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
+            votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: h["i"] - p)))
+            asked = F.size(F.filter(F.array(*map(F.lit, own)), lambda w: F.array_contains(rare, w)))
+            return F.struct(F.lit(index.templates[t].label).alias("label"), (best_place(votes) / F.greatest(asked, F.lit(1))).alias("score"))
+
+        return share
 
     whole = F.coalesce(F.col(text), F.lit(""))
     gated = F.when(whole.rlike(index.gate()), F.regexp_extract_all(F.translate(whole, UPPER, LOWER), F.lit(LOWER_WORD), F.lit(0)))

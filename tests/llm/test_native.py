@@ -171,6 +171,15 @@ def test_licences_by_alignment(spark):
     assert got[5][1] == 3 and got[6] == (set(), 0)
 
 
+def test_every_notice_after_a_long_text_of_licence_words(spark):
+    every = sorted({w for t in licences.TEMPLATES for w in licences.words_of(t.text)})
+    filler = " ".join(w for w in every if w != "license" for _ in range(3))
+    rows = [(i, f"{filler} {t.text}.") for i, t in enumerate(licences.TEMPLATES)] + [(99, filler)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {m.label: m.score for m in r.matches} for r in licences.scan(df).collect()}
+    assert all(got[i].get(t.label) == 1.0 for i, t in enumerate(licences.TEMPLATES)) and got[99] == {}
+
+
 def test_licence_scan_replaces_its_columns(spark, clashing):
     out = licences.scan(clashing)
     assert out.count() == clashing.count() and set(out.columns) == set(clashing.columns)
