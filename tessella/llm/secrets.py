@@ -15,11 +15,21 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, stash
 
-_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_.-]{0,20}+\s{0,3}[=:]{1,2}\s{0,3}[\"'`]?[^\s\"'`,;]{6,}+"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_.-]{0,20}+(?:\\?[\"'`])?\s{0,3}(?:=>|[=:]{1,2})\s{0,3}"
+#: Up to the closing quote, whatever stands between; `\"` opens and closes inside a quoted text.
+_QUOTED = r"\"(?:[^\"\\\r\n]++|\\.)++(?=\")|'(?:[^'\\\r\n]++|\\.)++(?=')|`(?:[^`\\\r\n]++|\\.)++(?=`)|\\\"[^\"\\\r\n]++(?=\\\")|\\'[^'\\\r\n]++(?=\\')"
+_BARE = r"[\"'`]{0,3}+(?!\\[\"'`])[^\s\"'`,;]++"
+_HEAD = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: From BEGIN to END; of a key that is cut off, the lines that look like its body.
+_BLOCK = _HEAD + r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?:\s|-{1,5}(?:END[A-Z ]{0,30}+)?)*+\z)?+)"
+_URL_NAME = r"://[^\s/?#:@\"'`<>]{0,128}+:"
+_URL = _URL_NAME + r"[^\s/?#\"'`<>]+(?=@)"
 _OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-#: What may be a secret: a value given to a credential's name, the head of a private key, a long opaque run with a digit.
-CANDIDATE = f"{_ASSIGNED}|{_BLOCK}|{_OPAQUE}"
+_NO_BLOCK = r"(?![\"'`]{0,3}-----BEGIN )"
+#: What may be a secret: a value given to a credential's name, the password of a URL, a whole private key, a long opaque run with a digit.
+CANDIDATE = f"{_NAME}{_NO_BLOCK}(?:{_QUOTED}|{_BARE})|{_BLOCK}|{_URL}|{_OPAQUE}"
+#: The same, values only up to white space: what a quoted value of several words may hold.
+_INNER = f"{_NAME}{_NO_BLOCK}{_BARE}|{_BLOCK}|{_URL}|{_OPAQUE}"
 #: Characters of the neighbourhood that are looked at on each side.
 NEAR = 48
 
@@ -46,11 +56,33 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per candidate: the other columns of `df`, start and length in code points, candidate, left, right.
 
     A text without candidates, empty or null gives no row. What stands between the
-    candidates gives their places and their neighbourhood.
+    candidates gives their places and their neighbourhood. A quoted value of several words
+    is a candidate, and what it holds are candidates, too; their places overlap.
     """
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    rows = df.withColumn("__found", found).where(F.size("__found") > 0).withColumn("__between", F.split(text, CANDIDATE, -1))
-    rows = rows.drop(text)
+    rows = _placed(df.withColumn("__whole", F.col(text)), CANDIDATE, "__each").where(F.size("__each") > 0)
+    others = [c for c in df.columns if c not in (text, "__whole", "__each", "__outer", "__inner")]
+    rows = rows.select(*others, F.explode("__each").alias("__outer")).withColumn("__name", F.regexp_extract("__outer.candidate", f"^{_NAME}", 0))
+    several = (F.length("__name") > 0) & F.expr("substring(__outer.candidate, length(__name) + 1)").rlike(r"\s")
+    rows = _placed(rows.withColumn("__whole", F.when(several, F.col("__outer.candidate"))), _INNER, "__inner")
+    shifted = F.transform(
+        "__inner",
+        lambda x: F.struct(
+            (F.col("__outer.start") + x["start"]).alias("start"),
+            x["length"].alias("length"),
+            x["candidate"].alias("candidate"),
+            F.when(x["start"] > 0, x["left"]).otherwise(F.col("__outer.left")).alias("left"),
+            x["right"].alias("right"),
+        ),
+    )
+    every = F.concat(F.array("__outer"), F.coalesce(shifted, F.array().cast(rows.schema["__inner"].dataType)))
+    return rows.select(*others, F.explode(every).alias("__each")).select(*others, "__each.*")
+
+
+def _placed(rows: DataFrame, pattern: str, into: str) -> DataFrame:
+    """What the pattern finds in __whole, as an array of start, length, candidate, left, right; null for a null text."""
+    rows = rows.withColumn("__found", F.regexp_extract_all("__whole", F.lit(pattern), F.lit(0)))
+    some = F.size("__found") > 0
+    rows = rows.withColumn("__between", F.when(some, F.split("__whole", pattern, -1))).drop("__whole")
     advance = F.zip_with(F.transform("__between", lambda x: F.length(x)), F.transform("__found", lambda x: F.length(x)), lambda a, b: a + F.coalesce(b, F.lit(0)))
     ends = F.aggregate(advance, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
     rows = rows.withColumn("__ends", ends)
@@ -64,13 +96,12 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
             F.left(F.get("__between", i + 1), F.lit(NEAR)).alias("right"),
         ),
     )
-    others = [c for c in df.columns if c not in (text, "__found")]
-    return rows.withColumn("__each", F.explode(each)).select(*others, "__each.*")
+    return rows.withColumn(into, each).drop("__found", "__between", "__ends")
 
 
 def value_of(candidate: Column) -> Column:
     """The value alone, where the candidate names what it is given to."""
-    return F.regexp_replace(candidate, r"^(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_.-]*\s{0,3}[=:]{1,2}\s{0,3}[\"'`]?", "")
+    return F.regexp_replace(candidate, rf"^(?:{_NAME}\\?[\"'`]{{0,3}}|{_URL_NAME})", "")
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -115,7 +146,29 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     words = some(1, "in that section of the", "thereafter the", "as shown below", "and with these", "where it was", "de la que", "und das ist")
     name = some(2, "token", "secret", "api_key", "auth_token", "access_key", "secret_key", "password")
     assign = some(3, ' = "', "=", ": ", ' = "')
+    signs = F.concat(F.substring(mixed, 1, 4), some(14, "!", "$", ",", "#", "%"), F.substring(mixed, 5, 5))
+    passphrase = F.concat(F.substring(mixed, 1, 5), some(15, " ", ", ", "; "), F.substring(mixed, 6, 6))
+    short = F.concat(F.substring(mixed, 1, 3), some(14, "!", "$", ",", "#", "%"), F.substring(mixed, 4, 1))
+    letters = F.regexp_replace(mixed, "[0-9]", "")
+    quoted = some(16, 'password": "', 'api_key": "', "secret': '", 'token" => "', 'access_key": "')
+    head = some(17, "RSA ", "EC ", "OPENSSH ", "")
+    block = F.concat(F.lit("-----BEGIN "), head, F.lit("PRIVATE KEY-----\n"), F.substring(mixed, 1, 64), F.lit("\n"), F.substring(mixed, 9, 50), F.lit("\n"), F.substring(mixed, 3, 7), F.lit("==\n-----END "), head, F.lit("PRIVATE KEY-----"))
+    user = some(18, "://admin:", "://root:", "://app:", "://:", "://deploy:")
+    word = some(19, "the", "that", "of", "is", "none", "true", "null", "string", "required", "value", "user", "5", "0", "12", "optional", "password")
+    prose = F.concat(some(20, "the value of the", "enter your", "this is the", "must not be the", "a string for the"), F.lit(" "), some(21, "name of the user", "default file here", "section in the document", "same as before"))
     kinds = [
+        (1, F.concat(quoted, signs), words),
+        (1, F.concat(quoted, F.substring(letters, 1, 24)), words),
+        (1, F.concat(quoted, passphrase), words),
+        (1, F.concat(some(4, "password", "passwd", "pwd"), assign, short), words),
+        (1, F.concat(user, F.substring(mixed, 1, 10)), some(22, "postgres", "mysql", "https", "amqp", "redis")),
+        (1, block, words),
+        (0, F.concat(name, assign, word), words),
+        (0, F.concat(quoted, some(23, "changeme", "your_token_here", "xxxxxxxxxxxx", "<your-secret>", "string", "", "null", "example-password")), words),
+        (0, F.concat(quoted, prose), words),
+        (0, F.concat(name, some(3, ' = "', '="', ': "', ' = "'), prose), words),
+        (0, F.concat(some(24, "://user:", "://username:", "://example:", "://admin:", "://:"), some(25, "password", "pass", "changeme", "<password>", "${PASSWORD}", "****", "secret", "8080")), some(22, "postgres", "mysql", "https", "amqp", "redis")),
+        (0, F.concat(name, some(3, ' = "', "=", ": ", ' = "'), some(26, "none", "required", "optional", "false", "string,", "the.", "example", "here)")), words),
         (1, F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), words),
         (1, F.concat(name, assign, F.substring(hexes, 1, 40)), words),
         (1, F.concat(some(4, "password", "passwd", "pwd"), some(5, "=", ": "), F.substring(hexes, 1, 18)), words),
@@ -160,14 +213,15 @@ def scan(df: DataFrame, model: RandomForestClassificationModel, text: str = "tex
 
 
 def redact(df: DataFrame, findings: DataFrame, keys: list[str], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with the secrets among `findings` (keys, start, length) replaced by a mark; other rows stay as they are."""
+    """`df` with the secrets among `findings` (keys, start, length) replaced by a mark, overlapping ones by one; other rows stay as they are."""
     spans = findings.where("is_secret").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans"))
     rows = df.join(spans, keys, "left")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.concat(acc["out"], kept, F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at"))
+        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(mark)))
+        return F.struct(out.alias("out"), F.greatest(acc["at"], s["start"] + s["length"]).alias("at"))
 
     cleaned = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
     return rows.withColumn(text, F.when(F.col("__spans").isNotNull(), cleaned).otherwise(F.col(text))).drop("__spans")
