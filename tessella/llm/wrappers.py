@@ -34,6 +34,13 @@ LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd blockquote pre td th tr caption
 OUTSIDE = frozenset("nav header footer aside form head menu dialog button select option fieldset legend".split())
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base col embed frame hr input keygen link meta param source track".split())
+#: What a head may hold, the start tags that end an open p, those that end others, and what these don't reach beyond: fixed values.
+HEAD = frozenset("head title base link meta".split())
+ENDS_P = frozenset(
+    "address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table td th tr ul".split()
+)
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")} | {f"h{i}": tuple(f"h{j}" for j in range(1, 7)) for i in range(1, 7)}
+BOUNDS = frozenset("ul ol menu dir dl table".split())
 #: Words of class and id attributes that mark what isn't the article: fixed values.
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo copyright cookie cookies consent disclaimer disqus "
@@ -89,11 +96,13 @@ def stream(page: str | None) -> list[tuple[str, str, str]]:
     path: the labels of the elements around and at the block. zone: '-' within anything
     outside the article, else '+' within an article or main element, else ''. Inline
     elements and line breaks don't end a block; character references are decoded, white
-    space is one space each.
+    space is one space each. End tags that HTML lets out are implied: a head ends at what
+    it can't hold, p, li, dt, dd, cells and headings at what follows them. An article or
+    main element in a form that wraps it is the article all the same.
     """
     page = page or ""
     out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str]] = []  # open containers and their zones
+    stack: list[tuple[str, str, str]] = []  # open containers, the zones around them, and why they are outside the article
     zone, leaf, text = "", "", []
     at = 0
 
@@ -102,22 +111,44 @@ def stream(page: str | None) -> list[tuple[str, str, str]]:
             block = " ".join(html_lib.unescape("".join(text)).split())
             text.clear()
             if block:
-                path = "/".join([n for n, _ in stack[-4:]] + [leaf])
+                path = "/".join([n for n, _, _ in stack[-4:]] + [leaf])
                 out.append((path, zone, block))
 
+    def close(names: tuple[str, ...], bounds: frozenset[str] = frozenset()) -> None:
+        """Ends the innermost open element of these names, if nothing of `bounds` stands in between."""
+        nonlocal zone
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                zone = stack[k][1]
+                del stack[k:]
+                return
+            if stack[k][0] in bounds:
+                return
+
     for found in _TOKEN.finditer(page):
         if found.start() > at:
-            text.append(page[at : found.start()])
+            piece = page[at : found.start()]
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                close(("head",))
+            text.append(piece)
         at = found.end()
         name = found["name"]
         if name is None:
             continue
         name = name.lower()
+        if not found["end"] and name not in HEAD and stack and stack[-1][0] in HEAD:
+            flush()
+            close(("head",))
         if name in INLINE:
             if name == "br":
                 text.append(" ")
             continue
         flush()
+        if not found["end"] and stack:
+            if name in ENDS_P:
+                close(("p-",))
+            if name in ENDS:
+                close(tuple(n + "-" for n in ENDS[name]), BOUNDS)
         if name in VOID:
             continue
         if name in LEAVES:
@@ -125,27 +156,30 @@ def stream(page: str | None) -> list[tuple[str, str, str]]:
             attrs = found["attrs"]
             if not found["end"] and attrs and _zone(name, attrs, zone) == "-":
                 leaf, name = name, name + "-"
-                stack.append((name, zone))
+                stack.append((name, zone, "leaf"))
                 zone = "-"
-            elif found["end"] and any(n == name + "-" for n, _ in stack):
-                while stack:
-                    n, zone = stack.pop()
-                    if n == name + "-":
-                        break
+            elif found["end"]:
+                close((name + "-",))
             continue
         if found["end"]:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, zone = stack.pop()
-                    if n == name:
-                        break
+            close((name,))
             leaf = ""
         elif not found["attrs"].endswith("/"):
             leaf = ""
-            stack.append((name, zone))
-            own = _zone(name, found["attrs"], zone)
+            own, why = _zone(name, found["attrs"], zone), ""
+            if own == "-":
+                why = "hidden" if _HIDDEN.search(found["attrs"]) else name if name in OUTSIDE else "word"
+            elif zone == "-" and name in MAIN:  # a form may hold a whole page, and so may an element named like a part
+                wraps = {"", "form", "word"} if name == "main" else {"", "form"}
+                if all(w in wraps for _, _, w in stack):
+                    stack.append((name, zone, ""))
+                    zone = own
+                    continue
+            stack.append((name, zone, why))
             zone = "-" if zone == "-" or own == "-" else "+" if own == "+" else zone
     if at < len(page):
+        if stack and stack[-1][0] == "head" and not page[at:].isspace():
+            close(("head",))
         text.append(page[at:])
     flush()
     return out

@@ -58,3 +58,23 @@ def test_query(spark, tmp_path, empty_dir):
             assert r.text == want[r.page_id]
         assert r.n_chars == len(r.text)
     assert op2_wrapper_extraction(spark, empty_dir).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><article><p>x</article>", "x"),
+        ("<head><title>T</title><article><p>x</p></article>", "x"),
+        ("<head><title>T</title>only text", "only text"),
+        ("<head><title>T</title></head><form id=f><nav>m</nav><article><p>x</p><aside>no</aside></article></form>", "x"),
+        ("<div class=login-page><main><p>x</p></main></div>", "x"),
+        ("<div hidden><main><p>x</p></main></div>", ""),
+        ("<main><p>x</p><div class=related><article><p>no</p></article></div></main>", "x"),
+        ("<article><p>a<p class=notice>no<p>b<p>c</p></article>", "a\nb\nc"),
+        ("<article><p class=notice>no<div>b</div><p>c</article>", "b\nc"),
+        ("<article><ul><li class=share>no<li>b<li>c</ul><dl><dt class=ad>no<dd>d</dl></article>", "b\nc\nd"),
+        ("<article><ul><li class=share>no<ul><li>no</ul><p>no<li>b</ul></article>", "b"),
+    ],
+)
+def test_omitted_end_tags_and_wrapping_forms(html, text):
+    assert main_text(html, None) == text
