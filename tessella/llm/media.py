@@ -153,18 +153,27 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 class _Items(HTMLParser):
-    """Ordered texts and media references of a page; a figure's caption goes to its media, else the alt text."""
+    """Ordered texts and media references of a page; a figure's caption goes to its media, else the alt text.
+
+    A caption without media in its figure is a text. References other than `sha256:...`
+    are kept, as they are, with `every`.
+    """
 
     BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
     MEDIA = frozenset("img audio video source embed".split())
-    SILENT = frozenset("script style template head".split())
+    SILENT = frozenset("script style template".split())
+    HEAD = frozenset("title base link meta script style noscript template".split())
+    #: Their end tags also end a figure that began inside them.
+    AROUND = frozenset("article aside body dd div dl footer form header li main nav ol section table td th tr ul".split())
 
-    def __init__(self) -> None:
+    def __init__(self, every: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.every = every
         self.items: list[dict] = []
         self.text: list[str] = []
         self.silent = 0
-        self.figure: list[dict] | None = None
+        self.head = self.title = False
+        self.figures: list[dict] = []  # open ones: media, parts of the caption and where it stood, blocks opened inside
         self.in_caption = False
 
     def flush(self) -> None:
@@ -172,56 +181,98 @@ class _Items(HTMLParser):
         self.text = []
         if not text:
             return
-        if self.in_caption and self.figure is not None:
-            for item in self.figure:
-                item["caption"] = text
+        if self.in_caption and self.figures:
+            self.figures[-1]["caption"].append(text)
             return
         self.items.append({"kind": "text", "text": text, "media": None, "caption": None})
 
+    def end_figure(self) -> None:
+        self.flush()
+        figure = self.figures.pop()
+        self.in_caption = bool(self.figures) and self.figures[-1]["within"]
+        caption = " ".join(figure["caption"])
+        if caption and figure["media"]:
+            for item in figure["media"]:
+                item["caption"] = caption
+        elif caption:
+            self.items.insert(figure["at"], {"kind": "text", "text": caption, "media": None, "caption": None})
+        elif self.figures:
+            self.figures[-1]["media"].extend(figure["media"])
+
+    def finish(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.flush()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.head and tag not in self.HEAD:
+            self.head = False
         if tag in self.SILENT:
             self.silent += 1
+        elif tag == "head":
+            self.head = True
+        elif tag == "title":
+            self.title = True
         elif tag in self.MEDIA:
             own = dict(attrs)
-            if (source := own.get("src") or "").startswith("sha256:"):
+            source = (own.get("src") or "").strip()
+            if source.startswith("sha256:") or (self.every and source):
                 self.flush()
-                item = {"kind": "media", "text": None, "media": source[7:], "caption": own.get("alt") or None}
+                item = {"kind": "media", "text": None, "media": source.removeprefix("sha256:"), "caption": own.get("alt") or None}
                 self.items.append(item)
-                if self.figure is not None:
-                    self.figure.append(item)
+                if self.figures:
+                    self.figures[-1]["media"].append(item)
         elif tag in self.BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
-            self.in_caption = tag == "figcaption"
+                self.figures.append({"media": [], "caption": [], "at": 0, "inside": [], "within": False})
+                self.in_caption = False
+            elif self.figures:
+                self.figures[-1]["inside"].append(tag)
+                if tag == "figcaption":
+                    if not self.figures[-1]["caption"]:
+                        self.figures[-1]["at"] = len(self.items)
+                    self.in_caption = self.figures[-1]["within"] = True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
+        elif tag == "head":
+            self.head = False
+        elif tag == "title":
+            self.title = False
         elif tag in self.BLOCKS:
             self.flush()
-            if tag == "figcaption":
-                self.in_caption = False
-            elif tag == "figure":
-                self.figure = None
+            if tag == "figure":
+                if self.figures:
+                    self.end_figure()
+                return
+            while self.figures and tag in self.AROUND and tag not in self.figures[-1]["inside"]:
+                self.end_figure()
+            if self.figures and tag in (inside := self.figures[-1]["inside"]):
+                while inside.pop() != tag:
+                    pass
+                self.in_caption = self.figures[-1]["within"] = "figcaption" in inside
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if self.head and not self.title and not self.silent and data.strip():
+            self.head = False
+        if not self.silent and not self.head:
             self.text.append(data)
 
 
-def page_items(html: str | None) -> list[dict]:
-    parser = _Items()
+def page_items(html: str | None, every: bool = False) -> list[dict]:
+    parser = _Items(every)
     parser.feed(html or "")
     parser.close()
-    parser.flush()
+    parser.finish()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
 
 def interleaved(pages: DataFrame, html: str = "html") -> DataFrame:
-    """`pages` with `items` in place of the HTML: texts and references `sha256:...`, in page order, numbered from 0.
+    """`pages` with `items` in place of the HTML: texts and media references, in page order, numbered from 0.
 
-    Null and empty pages have no items; a column named items is replaced.
+    A reference `sha256:...` is given as its digest, every other `src` as it is. Null and empty pages have no items; a column named items is replaced.
     """
     ship(pages.sparkSession)
     pages = pages.drop("items")
@@ -230,7 +281,7 @@ def interleaved(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = pa.array([page_items(x) for x in batch.column(len(others)).to_pylist()], kind)
+            items = pa.array([page_items(x, every=True) for x in batch.column(len(others)).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], items], [*others, "items"])
 
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others), f"items {ITEMS}"])

@@ -71,3 +71,27 @@ def test_other_columns_stay(spark, clashing):
     out = interleaved(clashing.withColumn("html", F.lit("<p>x</p>")))
     assert set(out.columns) == {*clashing.columns, "html", "items"} - {"html"}
     assert out.first()["size"] == "own size"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<img src=http://z/q.png alt=q>a<video src=v.mp4></video><img src='data:image/png;base64,AA'>", [("http://z/q.png", "q"), "a", ("v.mp4", None), ("data:image/png;base64,AA", None)]),
+        ("<figure><figcaption>first <p>two</p> three</figcaption><img src=sha256:aa alt=x></figure>b", [("aa", "first two three"), "b"]),
+        ("<figure><figcaption>alone</figcaption><p>c</figure>d", ["alone", "c", "d"]),
+        ("<div><figure><img src=a.png><figcaption>cap</div><p>after", [("a.png", "cap"), "after"]),
+        ("<figure><figure><img src=a.png></figure><img src=b.png><figcaption>both</figure>", [("a.png", "both"), ("b.png", "both")]),
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>x<img src=a.png>", ["x", ("a.png", None)]),
+        ("<head><title>T</title><style>s</style></head><p>x", ["x"]),
+    ],
+)
+def test_every_reference_and_caption(html, want):
+    got = [x["text"] if x["kind"] == "text" else (x["media"], x["caption"]) for x in page_items(html, every=True)]
+    assert got == want
+
+
+def test_operator_keeps_every_reference(spark, tmp_path):
+    spark.createDataFrame([("aa", 5)], "digest string, n int").write.parquet(f"{tmp_path}/m")
+    pages = spark.createDataFrame([(1, "<img src=http://z/q.png alt=q><img src=sha256:aa>")], "page long, html string")
+    (row,) = resolve(interleaved(pages), spark.read.parquet(f"{tmp_path}/m")).collect()
+    assert [(x.media, x.caption, x.payload and x.payload.n) for x in row["items"]] == [("http://z/q.png", "q", None), ("aa", None, 5)]
