@@ -213,9 +213,11 @@ def scan(df: DataFrame, model: RandomForestClassificationModel, text: str = "tex
 
 
 def redact(df: DataFrame, findings: DataFrame, keys: list[str], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with the secrets among `findings` (keys, start, length) replaced by a mark, overlapping ones by one; other rows stay as they are."""
+    """`df` with the secrets among `findings` (keys, start, length) replaced by a mark, overlapping ones by one; other rows stay as they are. Null keys meet null keys."""
     spans = findings.where("is_secret").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans"))
-    rows = df.join(spans, keys, "left")
+    spans = spans.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    rows = df.join(spans, same, "left").drop(*[f"__of_{k}" for k in keys])
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
