@@ -1,17 +1,19 @@
 """Main text of pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a stream of tags and text slots. Repeated groups are folded, then streams of
-one host are aligned one after another: where they agree, a node stays; where one has
-tokens that the other lacks, they become optional; where a group stands once or more
-often, it is a repetition; where texts differ, the text becomes a slot. The result is
-the host's wrapper, e.g. `nav ( ul ( li )+ )? article ( h1 # ( p # )+ ) footer # `.
-The wrapper says which of its texts are the article: a page's texts are taken or left
-by the nodes that they fall on.
-
-Wrappers merge like the streams that they come from. So every task infers wrappers from
-its own pages, whatever their host, and those of a host are then merged: no page is
-moved for it, and a host with a third of all pages has as many wrappers to merge as
-there were tasks.
+A page is a stream of tags and texts. Repetitions in it are folded: like siblings that
+follow one another, and stretches in which siblings recur. Then the streams of one host
+are aligned one after another: where they agree, a part stays; what one lacks becomes
+optional; where texts differ, the text becomes a slot. The result is the host's wrapper,
+e.g. `nav- div ( # ) div ( h1 ( # ) ( p ( # ) )+ ) footer-`.
+
+The wrapper says where the article is: the element that holds most of what fills slots,
+repetitions first and links left out, summed over all pages of the host. Names of
+elements and classes weigh in on that choice, and mark what within the article isn't of it.
+
+Wrappers merge like the streams that they come from, and keep no text that varies. So
+every task infers wrappers from its own pages, whatever their host; those of a host are
+then merged in two steps: no page is moved for it, and a host with a third of all pages
+has no more to merge in one task than others have.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import html as html_lib
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import ship, stash
 
@@ -61,10 +64,32 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 _BESIDE = re.compile(r"\b(?:with|has|no|without)[-_][a-z]+", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\shidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
-#: A stream's text node has the label `#`; every node is [label, zone, text or None if it varies, least, most].
-LABEL, ZONE, TEXT, LEAST, MANY = range(5)
-MAX_NODES = 400
-HELD_HOSTS = 20_000
+#: Elements that only hold others; all other blocks are content, of which a repetition may have any mixture.
+HOLDERS = frozenset("page html body div section article main nav header footer aside form center details dialog fieldset".split())
+#: What holds all of a page.
+WHOLE = frozenset("page html body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements nested deeper than this are taken as parts of the one that deep, as browsers take them; their text stays.
+DEPTH = 100
+#: Hosts of which a task holds wrappers at once.
+HELD_HOSTS = 5_000
+#: First merges of a host's wrappers, each in a task of its own.
+SALTS = 32
+#: Share of what fills an element's slots that another inside must have to be taken in its place.
+DOMINANT = 0.6
+#: By how much an article's name weighs more, and a word that marks something else weighs less.
+NAMED = 8.0
+#: Pages that must agree before they overrule such a word, or before constant texts around all slots count as the host's.
+AGREED = 3
+
+#: A node of a stream or a wrapper: its label (`#` for text, `*` for a repeated mixture of its parts), whether it
+#: must stand, whether it repeats, a constant text, characters and those in links, its parts, and a page's blocks.
+LABEL, LEAST, MANY, TEXT, CHARS, LINKS, PARTS, BLOCKS = range(8)
+Node = list
+
+
+def _node(label: str) -> Node:
+    return [label, 1, False, None, 0, 0, [], None]
 
 
 def host_of(url):
@@ -90,291 +115,566 @@ def _zone(name: str, attrs: str, around: str) -> str:
     return "+" if name in MAIN else ""
 
 
-def stream(page: str | None) -> list[tuple[str, str, str]]:
-    """The text blocks of a page in order: (path, zone, text).
+def stream(page: str | None) -> tuple[Node, list[str]]:
+    """The page's tags as nested nodes, not yet folded, and its text blocks in order.
 
-    path: the labels of the elements around and at the block. zone: '-' within anything
-    outside the article, else '+' within an article or main element, else ''. Inline
-    elements and line breaks don't end a block; character references are decoded, white
-    space is one space each. End tags that HTML lets out are implied: a head ends at what
-    it can't hold, p, li, dt, dd, cells and headings at what follows them. An article or
+    Inline elements and line breaks don't end a block; character references are decoded,
+    white space is one space each. End tags that HTML lets out are implied: a head ends at
+    what it can't hold, p, li, dt, dd, cells and headings at what follows them. A label has
+    `-` after what an element's name or an attribute puts outside the article, `~` after
+    what only a word of its class or id does, `+` after the article's own. An article or
     main element in a form that wraps it is the article all the same.
     """
     page = page or ""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = []  # open containers, the zones around them, and why they are outside the article
-    zone, leaf, text = "", "", []
+    root = _node("page")
+    blocks: list[str] = []
+    stack: list[tuple[str, Node, str, str]] = []  # open elements: name, node, the zone around, why it is outside the article
+    open_: dict[str, int] = {}
+    here, zone, text, links, in_link = root, "", [], 0, False
     at = 0
 
     def flush() -> None:
+        nonlocal links
         if text:
-            block = " ".join(html_lib.unescape("".join(text)).split())
+            whole = "".join(text)
             text.clear()
+            block = " ".join((html_lib.unescape(whole) if "&" in whole else whole).split())
             if block:
-                path = "/".join([n for n, _, _ in stack[-4:]] + [leaf])
-                out.append((path, zone, block))
+                found = ["#", 1, False, block if len(block) <= 80 else f"{block[:40]}...{xxhash.xxh3_64_hexdigest(block)}", len(block), min(links, len(block)), [], [len(blocks)]]
+                here[PARTS].append(found)
+                blocks.append(block)
+        links = 0
+
+    def leave(k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        nonlocal here, zone
+        for name, *_ in stack[k:]:
+            open_[name] -= 1
+        zone = stack[k][2]
+        del stack[k:]
+        here = stack[-1][1] if stack else root
 
     def close(names: tuple[str, ...], bounds: frozenset[str] = frozenset()) -> None:
         """Ends the innermost open element of these names, if nothing of `bounds` stands in between."""
-        nonlocal zone
+        if not any(open_.get(n) for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
-                zone = stack[k][1]
-                del stack[k:]
-                return
+                return leave(k)
             if stack[k][0] in bounds:
                 return
 
+    def add(piece: str) -> None:
+        nonlocal links
+        if stack and stack[-1][0] == "head" and not piece.isspace():
+            close(("head",))
+        text.append(piece)
+        if in_link:
+            links += len(piece.strip())
+
     for found in _TOKEN.finditer(page):
         if found.start() > at:
-            piece = page[at : found.start()]
-            if stack and stack[-1][0] == "head" and not piece.isspace():
-                close(("head",))
-            text.append(piece)
+            add(page[at : found.start()])
         at = found.end()
         name = found["name"]
         if name is None:
             continue
         name = name.lower()
-        if not found["end"] and name not in HEAD and stack and stack[-1][0] in HEAD:
+        end = bool(found["end"])
+        if not end and name not in HEAD and stack and stack[-1][0] in HEAD:
             flush()
             close(("head",))
         if name in INLINE:
             if name == "br":
                 text.append(" ")
+            elif name == "a":
+                in_link = not end
             continue
         flush()
-        if not found["end"] and stack:
-            if name in ENDS_P:
-                close(("p-",))
-            if name in ENDS:
-                close(tuple(n + "-" for n in ENDS[name]), BOUNDS)
-        if name in VOID:
+        if end:
+            close((name,))
             continue
-        if name in LEAVES:
-            leaf = "" if found["end"] else name
-            attrs = found["attrs"]
-            if not found["end"] and attrs and _zone(name, attrs, zone) == "-":
-                leaf, name = name, name + "-"
-                stack.append((name, zone, "leaf"))
-                zone = "-"
-            elif found["end"]:
-                close((name + "-",))
+        if stack:
+            if name in ENDS_P and stack[-1][0] == "p":
+                leave(len(stack) - 1)
+            if name in ENDS:
+                close(ENDS[name], BOUNDS)
+        if name in VOID or found["attrs"].endswith("/"):
             continue
-        if found["end"]:
-            close((name,))
-            leaf = ""
-        elif not found["attrs"].endswith("/"):
-            leaf = ""
-            own, why = _zone(name, found["attrs"], zone), ""
-            if own == "-":
-                why = "hidden" if _HIDDEN.search(found["attrs"]) else name if name in OUTSIDE else "word"
-            elif zone == "-" and name in MAIN:  # a form may hold a whole page, and so may an element named like a part
-                wraps = {"", "form", "word"} if name == "main" else {"", "form"}
-                if all(w in wraps for _, _, w in stack):
-                    stack.append((name, zone, ""))
-                    zone = own
-                    continue
-            stack.append((name, zone, why))
-            zone = "-" if zone == "-" or own == "-" else "+" if own == "+" else zone
+        attrs, why = found["attrs"], ""
+        own = _zone(name, attrs, zone) if name not in LEAVES or attrs else ""
+        if own == "-":
+            why = "hidden" if _HIDDEN.search(attrs) else name if name in OUTSIDE else "word"
+        elif own == "+" and zone == "-" and name in MAIN:  # a form may hold a whole page, and so may an element named like a part
+            wraps = {"", "form", "word"} if name == "main" else {"", "form"}
+            if all(w in wraps for _, _, _, w in stack):
+                for _, node, _, _ in stack:
+                    node[LABEL] = node[LABEL].rstrip("-~")
+                zone = ""
+        mark = "~" if why == "word" else own if name not in LEAVES or own == "-" else ""
+        if len(stack) < DEPTH or own == "-":
+            node = _node(name + mark)
+            here[PARTS].append(node)
+        else:
+            node = here
+        stack.append((name, node, zone, why))
+        open_[name] = open_.get(name, 0) + 1
+        here = node
+        zone = "-" if zone == "-" or own == "-" else "+" if own == "+" else zone
     if at < len(page):
-        if stack and stack[-1][0] == "head" and not page[at:].isspace():
-            close(("head",))
-        text.append(page[at:])
+        add(page[at:])
     flush()
-    return out
+    return root, blocks
+
 
+# -- folding and alignment ---------------------------------------------------------------------------------------------
 
-def folded(blocks: list[tuple[str, str, str]]) -> tuple[list[list], list[int]]:
-    """The stream as nodes, repeated groups folded into one, and the node of each block.
 
-    Successive blocks of one path are one repetition; so are groups of two or three
-    nodes that follow one another.
+def _holds(label: str) -> bool:
+    return label.rstrip("+-~") in HOLDERS
+
+
+def _labels(node: Node) -> set[str]:
+    """What stands directly in a node, mixtures opened."""
+    found = set()
+    for part in node[PARTS]:
+        if part[LABEL] == "*":
+            found.update(x[LABEL] for x in part[PARTS])
+        else:
+            found.add(part[LABEL])
+    return found
+
+
+def _alike(x: Node, y: Node) -> float:
+    """How well two nodes can be one: 0 to 1; elements that only hold others need half of what they hold in common."""
+    a, b = x[LABEL], y[LABEL]
+    if a == "*" or b == "*":
+        return 1.0 if not {p[LABEL] for p in (x[PARTS] if a == "*" else [x])}.isdisjoint(p[LABEL] for p in (y[PARTS] if b == "*" else [y])) else 0.0
+    if a != b:
+        return 0.0
+    if not x[PARTS] or not y[PARTS] or a[-1] == "+" or not _holds(a) or a in WHOLE:
+        return 1.0
+    p, q = _labels(x), _labels(y)
+    share = len(p & q) / min(len(p), len(q))
+    return 0.5 + share / 2 if share >= 0.5 else 0.0
+
+
+def _same_kind(x: Node, y: Node) -> bool:
+    """Whether siblings are rounds of one repetition."""
+    if x[LABEL] != y[LABEL]:
+        return False
+    if not _holds(x[LABEL]) or x[LABEL][-1] in "+-":
+        return True
+    p, q = _labels(x), _labels(y)
+    return 5 * len(p & q) >= 4 * len(p | q)
+
+
+def _take_in(x: Node, y: Node) -> None:
+    """y becomes a part of x."""
+    if x[TEXT] != y[TEXT]:
+        x[TEXT] = None
+    x[CHARS] += y[CHARS]
+    x[LINKS] += y[LINKS]
+    if y[BLOCKS]:
+        x[BLOCKS] = (x[BLOCKS] or []) + y[BLOCKS]
+    if x[PARTS] or y[PARTS]:
+        x[PARTS] = aligned(x[PARTS], y[PARTS])
+
+
+def _again(x: Node, y: Node) -> None:
+    """y is one more round of x."""
+    x[LEAST], x[MANY] = max(x[LEAST], y[LEAST]), True
+    _take_in(x, y)
+
+
+def _mixture(nodes: list[Node]) -> Node:
+    """A repetition of all these, each at most once among its parts."""
+    parts: dict[str, Node] = {}
+    for node in nodes:
+        for part in node[PARTS] if node[LABEL] == "*" else [node]:
+            if part[LABEL] in parts:
+                _again(parts[part[LABEL]], part)
+            else:
+                parts[part[LABEL]] = part
+            parts[part[LABEL]][LEAST] = 0
+    mixed = _node("*")
+    mixed[LEAST], mixed[MANY], mixed[PARTS] = max(n[LEAST] for n in nodes), True, list(parts.values())
+    return mixed
+
+
+def folded(nodes: list[Node]) -> list[Node]:
+    """Siblings with repetitions folded; their parts are folded already.
+
+    Like ones side by side become one that repeats. Where content recurs with nothing but
+    content in between, or an element that only holds others for the third time, the
+    stretch becomes a repeated mixture. An optional one of those that is like an earlier optional one is a
+    round of it, wherever it stands: so a list has no more parts than kinds of parts.
     """
-    nodes: list[list] = []
-    of: list[int] = []
-    for path, zone, text in blocks:
-        if nodes and nodes[-1][LABEL] == path and nodes[-1][ZONE] == zone:
-            node = nodes[-1]
-            node[MANY] = True
-            if node[TEXT] != text:
-                node[TEXT] = None
-        elif len(nodes) >= 4 and _follows(nodes, path, zone, 2):
-            of.append(_again(nodes, of, 2, text))
+    out: list[Node] = []
+    for x in nodes:
+        label = x[LABEL]
+        if out and label != "*" and _same_kind(out[-1], x):
+            _again(out[-1], x)
             continue
+        names = {p[LABEL] for p in x[PARTS]} if label == "*" else {label}
+        holder = label != "*" and _holds(label)
+        found, before = -1, 0
+        for j in range(len(out) - 1, -1, -1):
+            y = out[j]
+            if y[LABEL] == "*":
+                if holder:
+                    if any(_same_kind(p, x) for p in y[PARTS]):
+                        found = j
+                elif not names.isdisjoint(p[LABEL] for p in y[PARTS]):
+                    found = j
+            elif _holds(y[LABEL]):
+                if not holder or not _same_kind(y, x):
+                    break
+                before += 1
+                if before == 2:
+                    found = j
+                    break
+            elif y[LABEL] in names:
+                found = j
+        if found >= 0:
+            out[found:] = [_mixture([*out[found:], x])]
+        elif holder and not x[LEAST] and (like := next((y for y in out if not y[LEAST] and y[LABEL] == label and _alike(x, y)), None)) is not None:
+            _again(like, x)
+            like[LEAST] = 0
         else:
-            nodes.append([path, zone, text, 1, False])
-        of.append(len(nodes) - 1)
-    return nodes, of
-
-
-def _follows(nodes: list[list], path: str, zone: str, width: int) -> bool:
-    """Whether a block begins one more of the groups of `width` nodes that stand at the end twice."""
-    a, b = nodes[-2 * width : -width], nodes[-width:]
-    return b[0][LABEL] == path and b[0][ZONE] == zone and all(x[LABEL] == y[LABEL] and x[ZONE] == y[ZONE] for x, y in zip(a, b, strict=True))
+            out.append(x)
+    return out
 
 
-def _again(nodes: list[list], of: list[int], width: int, text: str) -> int:
-    """Folds the last group into the one before; the block falls on that one's first node."""
-    n = len(nodes)
-    for k in range(width):
-        a, b = nodes[n - 2 * width + k], nodes[n - width + k]
-        a[MANY] = True
-        if a[TEXT] != b[TEXT]:
-            a[TEXT] = None
-    del nodes[n - width :]
-    for i, x in enumerate(of):
-        if x >= n - width:
-            of[i] = x - width
-    first = nodes[n - 2 * width]
-    if first[TEXT] != text:
-        first[TEXT] = None
-    return n - 2 * width
+def _matches(p: list[Node], q: list[Node]) -> list[tuple[int, int]]:
+    """The pairs of two lists that are one in the best alignment that keeps their orders."""
+    n, m = len(p), len(q)
+    first = 0
+    while first < min(n, m) and p[first][LABEL] == q[first][LABEL] and _alike(p[first], q[first]) == 1.0:
+        first += 1
+    pairs = [(k, k) for k in range(first)]
+    if first == n or first == m:
+        return pairs
+    best = [[0.0] * (m - first + 1) for _ in range(n - first + 1)]
+    worth = [[_alike(p[i], q[j]) for j in range(first, m)] for i in range(first, n)]
+    for i in range(n - first - 1, -1, -1):
+        row, below, own = best[i], best[i + 1], worth[i]
+        for j in range(m - first - 1, -1, -1):
+            w = own[j]
+            top = below[j] if below[j] >= row[j + 1] else row[j + 1]
+            row[j] = w + below[j + 1] if w and w + below[j + 1] > top else top
+    i = j = 0
+    while i < n - first and j < m - first:
+        w = worth[i][j]
+        if w and best[i][j] == w + best[i + 1][j + 1]:
+            pairs.append((first + i, first + j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+def _one(x: Node, y: Node) -> Node:
+    """The node of which both are instances."""
+    if x[LABEL] != y[LABEL] or x[LABEL] == "*":
+        least = min(x[LEAST], y[LEAST])
+        x = _mixture([x, y])
+        x[LEAST] = least
+        return x
+    x[LEAST], x[MANY] = min(x[LEAST], y[LEAST]), x[MANY] or y[MANY]
+    _take_in(x, y)
+    return x
+
+
+def aligned(p: list[Node], q: list[Node]) -> list[Node]:
+    """The expression of both lists of siblings; what only one has is optional. Reuses the nodes of both."""
+    out, i, j = [], 0, 0
+    for a, b in [*_matches(p, q), (len(p), len(q))]:
+        for lone in (*p[i:a], *q[j:b]):
+            lone[LEAST] = 0
+            out.append(lone)
+        if a < len(p):
+            out.append(_one(p[a], q[b]))
+        i, j = a + 1, b + 1
+    if len(out) == len(p) == len(q):
+        return out
+    return folded(out)
+
+
+def _fold(node: Node) -> Node:
+    label = node[LABEL]
+    if label[-1] == "-":
+        node[PARTS] = []
+    else:
+        node[PARTS] = folded([_fold(x) if x[LABEL] != "#" else x for x in node[PARTS]])
+    return node
 
 
-def _key(node: list) -> tuple[str, str]:
-    return node[LABEL], node[ZONE]
+def wrapper_of(page: str | None) -> tuple[dict, list[str]]:
+    """One page's wrapper, and its text blocks."""
+    root, blocks = stream(page)
+    return {"pages": 1, "root": _fold(root)}, blocks
 
 
 def merge(a: dict | None, b: dict) -> dict:
-    """The wrapper of both: {"pages": n, "nodes": [...]}."""
+    """The wrapper of both. Uses up a and b."""
     if a is None:
         return b
-    p, q = a["nodes"], b["nodes"]
-    pages = a["pages"] + b["pages"]
-    if [_key(x) for x in p] == [_key(x) for x in q]:
-        matched = [(0, 0, len(p))]
-    else:
-        matched = SequenceMatcher(None, [_key(x) for x in p], [_key(x) for x in q], autojunk=False).get_matching_blocks()
-    nodes: list[list] = []
-    i = j = 0
-    for x, y, n in [*matched, (len(p), len(q), 0)]:
-        nodes.extend([*node[:LEAST], 0, node[MANY]] for node in [*p[i:x], *q[j:y]])  # in one only: optional
-        for u, v in zip(p[x : x + n], q[y : y + n], strict=True):
-            nodes.append([u[LABEL], u[ZONE], u[TEXT] if u[TEXT] == v[TEXT] else None, min(u[LEAST], v[LEAST]), u[MANY] or v[MANY]])
-        i, j = x + n, y + n
-    tight: list[list] = []
-    for node in nodes:  # an optional node beside its like is a repetition
-        if tight and _key(tight[-1]) == _key(node):
-            last = tight[-1]
-            last[TEXT] = last[TEXT] if last[TEXT] == node[TEXT] else None
-            last[LEAST], last[MANY] = max(last[LEAST], node[LEAST]), True
-        else:
-            tight.append(node)
-    if len(tight) > MAX_NODES:  # pages of a host with no common form: the nodes of all, once each
-        once: dict[tuple[str, str], list] = {}
-        for node in tight:
-            own = once.setdefault(_key(node), [*node[:LEAST], 0, True])
-            own[TEXT] = own[TEXT] if own[TEXT] == node[TEXT] else None
-        tight = list(once.values())
-    return {"pages": pages, "nodes": tight}
+    return {"pages": a["pages"] + b["pages"], "root": _one(a["root"], b["root"])}
 
 
-def expression(wrapper: dict) -> str:
-    """The wrapper as a union-free regular expression over paths; `#` is a slot, quoted texts are constant."""
-    parts = []
-    for node in wrapper["nodes"]:
-        own = f"{node[LABEL]} {'#' if node[TEXT] is None else json.dumps(node[TEXT], ensure_ascii=False)}"
-        suffix = ("+" if node[LEAST] else "*") if node[MANY] else ("" if node[LEAST] else "?")
-        parts.append(f"({own}){suffix}" if suffix else own)
-    return " ".join(parts)
+def _bare(node: Node) -> Node:
+    """Without the blocks of the page that it comes from."""
+    node[BLOCKS] = None
+    for part in node[PARTS]:
+        _bare(part)
+    return node
 
 
-def article_nodes(wrapper: dict) -> set[tuple[str, str]]:
-    """Which nodes are the article.
+def expression(wrapper: dict) -> str:
+    """The wrapper as a union-free regular expression; `#` is a slot, quoted texts are constant."""
 
-    Those of an article or main element, if the wrapper has any. Else the slots that are
-    not outside the article: constant texts are the host's template, unless there are no
-    slots or there was one page only.
-    """
-    inside = {_key(n) for n in wrapper["nodes"] if n[ZONE] == "+"}
-    if inside:
-        return inside
-    slots = {_key(n) for n in wrapper["nodes"] if n[ZONE] != "-" and (n[TEXT] is None or wrapper["pages"] == 1)}
-    return slots or {_key(n) for n in wrapper["nodes"] if n[ZONE] != "-"}
+    def of(node: Node) -> str:
+        own = "" if node[LABEL] == "*" else node[LABEL] if node[LABEL] != "#" else "#" if node[TEXT] is None else json.dumps(node[TEXT], ensure_ascii=False)
+        if node[PARTS]:
+            inside = " ".join(map(of, node[PARTS]))
+            own = inside if not own else f"{own} ( {inside} )"
+        suffix = ("+" if node[LEAST] else "*") if node[MANY] else ("" if node[LEAST] else "?")
+        return f"( {own} ){suffix}" if suffix and (node[PARTS] or " " in own) else own + suffix
+
+    return " ".join(map(of, wrapper["root"][PARTS]))
+
+
+# -- where the article is ----------------------------------------------------------------------------------------------
+
+
+class Article:
+    """Which nodes of a wrapper are the article: `taken`, reached by way of `path`; `left` are the host's own texts around it."""
+
+    def __init__(self, wrapper: dict):
+        self.pages, self.root = wrapper["pages"], wrapper["root"]
+        self.filled: dict[int, float] = {}
+        self._fill(self.root, False)
+        ways = self._descend()
+        self.region = ways[-1]
+        self.path, self.taken, self.left = {id(x) for x in ways}, {id(self.region)}, set()
+        if len(ways) > 1:
+            self.taken.update(id(x) for x in _opened(ways[-2][PARTS]) if x[LABEL][-1] == "+" and self.region[LABEL][-1] == "+")
+        marked = self.region[LABEL][-1] == "+"
+        headed = self._has_heading(self.region)
+        for around, inner in zip(ways, ways[1:], strict=False):
+            if not headed:
+                self._headings(around, inner)
+            if not marked and around[LABEL] not in WHOLE:  # content beside the inner element, within an outer one
+                self.taken.update(id(x) for x in _opened(around[PARTS]) if not _holds(x[LABEL]) and self.filled[id(x)] > 0 and (self.pages == 1 or self._varies(x)))
+        if self.region[LABEL] in WHOLE and self.pages >= AGREED:
+            self._edges()
+
+    def _weight(self, node: Node) -> float:
+        mark = node[LABEL][-1]
+        if mark == "~":
+            return 1 / NAMED if self.pages >= AGREED else 0.0
+        return 0.0 if mark == "-" else NAMED if mark == "+" else 1.0
+
+    def _fill(self, node: Node, repeated: bool) -> float:
+        """Characters outside links that fill slots, weighed; constant texts count a little, so that equal pages have an article."""
+        if node[LABEL] == "#":
+            own = (node[CHARS] - node[LINKS]) * (1.0 if node[TEXT] is None or self.pages == 1 else 0.1) * (1.0 if repeated else 0.5)
+        else:
+            inside = repeated or node[MANY] or node[LABEL] in HEADINGS
+            own = sum(self._weight(x) * self._fill(x, inside) for x in node[PARTS])
+        self.filled[id(node)] = own
+        return own
+
+    def _descend(self) -> list[Node]:
+        """From the page to the innermost element that has most of what fills its slots, or to the first article."""
+        ways = [self.root]
+        while ways[-1][LABEL][-1] != "+":
+            inside = [(self._weight(x) * self.filled[id(x)], x) for x in _opened(ways[-1][PARTS]) if _holds(x[LABEL])]
+            if not inside:
+                break
+            most, best = max(inside, key=lambda x: x[0])
+            if not most or most < DOMINANT * self.filled[id(ways[-1])]:
+                break
+            ways.append(best)
+        return ways
+
+    def _has_heading(self, node: Node) -> bool:
+        return any(x[LABEL] in HEADINGS or (x[LABEL][-1] not in "-~" and self._has_heading(x)) for x in _opened(node[PARTS]))
+
+    def _headings(self, around: Node, inner: Node) -> None:
+        """Headings before an article without one of its own, alone or as all that an element holds, are its title."""
+        for x in _opened(around[PARTS]):
+            if x is inner:
+                break
+            if self._only_headings(x, self.pages > 1):
+                self.taken.add(id(x))
+
+    def _only_headings(self, node: Node, slots: bool) -> bool:
+        if node[LABEL] in HEADINGS:
+            return not slots or any(x[TEXT] is None for x in node[PARTS] if x[LABEL] == "#")
+        return bool(node[PARTS]) and node[LABEL][-1] not in "-~" and all(self._only_headings(x, slots) for x in _opened(node[PARTS]))
+
+    def _varies(self, node: Node) -> bool:
+        return (node[LABEL] == "#" and node[TEXT] is None) or any(self._varies(x) for x in node[PARTS])
+
+    def _edges(self) -> None:
+        """Where no element holds the article, constant texts before the first and after the last slot are the host's, headings aside."""
+        parts = _opened(self.region[PARTS])
+        at = [i for i, x in enumerate(parts) if self._varies(x)]
+        if at:
+            self.left = {id(x) for x in [*parts[: at[0]], *parts[at[-1] + 1 :]] if x[LABEL] not in HEADINGS}
+
+    def blocks(self, page: Node) -> list[int]:
+        """The page's blocks that fall on the article, in order."""
+        out: list[int] = []
+        if id(self.root) in self.taken:
+            self._collect_region(page, self.root, out)
+        else:
+            self._walk(page, self.root, out)
+        return sorted(out)
+
+    def _walk(self, page: Node, node: Node, out: list[int]) -> None:
+        for x, y in _placed(_opened(page[PARTS]), _opened(node[PARTS])):
+            if y is None:
+                continue
+            if id(y) in self.taken:
+                if y is self.region and self.left:
+                    self._collect_region(x, y, out)
+                else:
+                    self._collect(x, out)
+            elif id(y) in self.path:
+                self._walk(x, y, out)
+
+    def _collect_region(self, page: Node, node: Node, out: list[int]) -> None:
+        for x, y in _placed(_opened(page[PARTS]), _opened(node[PARTS])):
+            if (y is None or id(y) not in self.left) and x[LABEL][-1] not in "-~":
+                self._collect(x, out)
+
+    def _collect(self, page: Node, out: list[int]) -> None:
+        if page[BLOCKS]:
+            out.extend(page[BLOCKS])
+        for x in page[PARTS]:
+            if x[LABEL][-1] not in "-~":
+                self._collect(x, out)
+
+
+def _opened(nodes: list[Node]) -> list[Node]:
+    """Siblings, with the parts of mixtures in their place."""
+    if not any(x[LABEL] == "*" for x in nodes):
+        return nodes
+    return [y for x in nodes for y in (x[PARTS] if x[LABEL] == "*" else (x,))]
+
+
+def _placed(own: list[Node], nodes: list[Node]) -> Iterator[tuple[Node, Node | None]]:
+    """Each of a page's siblings with the wrapper's node that it falls on: by alignment, else the first like it."""
+    found = dict(_matches(own, nodes))
+    for i, x in enumerate(own):
+        yield x, nodes[found[i]] if i in found else next((y for y in nodes if _alike(x, y)), None)
+
+
+def _marked(node: Node) -> set[int]:
+    """The blocks within the page's own article and main elements."""
+    out: set[int] = set()
+
+    def walk(x: Node, inside: bool) -> None:
+        if inside and x[BLOCKS]:
+            out.update(x[BLOCKS])
+        for y in x[PARTS]:
+            if y[LABEL][-1] not in "-~":
+                walk(y, inside or y[LABEL][-1] == "+")
+
+    walk(node, False)
+    return out
 
 
-def main_text(page: str | None, wrapper: dict | None) -> str:
+def main_text(page: str | None, article: Article | None) -> str:
     """The page's article by its host's wrapper, one line per block.
 
-    A page whose texts all fall beside the wrapper's article nodes is its own wrapper.
+    A page of which nothing falls on the wrapper's article, or nothing of what it marks as
+    its article itself, is its own wrapper; so is one without a host.
     """
-    blocks = stream(page)
+    own, blocks = wrapper_of(page)
     if not blocks:
         return ""
-    nodes, of = folded([*blocks])
-    own = {"pages": 1, "nodes": nodes}
-    for found in (wrapper, own):
-        if found is None:
-            continue
-        wanted = article_nodes(found)
-        if any(zone == "+" for _, zone, _ in blocks) and not any(zone == "+" for _, zone in wanted):
-            continue
-        lines = [text for (_, _, text), i in zip(blocks, of, strict=True) if _key(nodes[i]) in wanted]
-        if lines:
-            return "\n".join(lines)
-    return ""
+    if article is not None:
+        found = article.blocks(own["root"])
+        if found and (not (marked := _marked(own["root"])) or not marked.isdisjoint(found)):
+            return "\n".join(blocks[i] for i in found)
+    return "\n".join(blocks[i] for i in Article(own).blocks(own["root"]))
+
+
+# -- Spark -------------------------------------------------------------------------------------------------------------
+
+
+def _rows(found: dict[str, dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
+
+
+def _of_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper per host, of rows that come host by host."""
+    name, held = None, None
+    for batch in batches:
+        for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if own != name and held is not None:
+                yield _rows({name: held})
+                held = None
+            name, held = own, merge(held, json.loads(text))
+    if held is not None:
+        yield _rows({name: held})
 
 
 def infer(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON): one wrapper per host, from all of its pages."""
+    """host, wrapper (JSON): one wrapper per host, from all of its pages. Pages without a host have none."""
     ship(pages.sparkSession)
 
-    def rows(found: dict[str, dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array((json.dumps(w) for w in found.values()), pa.string())], ["host", "wrapper"])
-
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict] = {}
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes, _ = folded(stream(page))
-                held[name] = merge(held.get(name), {"pages": 1, "nodes": nodes})
+                own, _ = wrapper_of(page)
+                _bare(own["root"])
+                held[name] = merge(held.get(name), own)
             if len(held) > HELD_HOSTS:
-                yield rows(held)
+                yield _rows(held)
                 held = {}
-        yield rows(held)
-
-    def of_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, None
-        for batch in batches:
-            for host_name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if host_name != name and held is not None:
-                    yield rows({name: held})
-                    held = None
-                name, held = host_name, merge(held, json.loads(text))
-        if held is not None:
-            yield rows({name: held})
+        yield _rows(held)
 
-    parts = pages.select(host, html).mapInArrow(of_pages, "host string, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(of_wrappers, "host string, wrapper string")
+    schema = "host string, wrapper string"
+    parts = pages.where(F.col(host) != "").select(host, html).mapInArrow(of_pages, schema)
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    some = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInArrow(_of_wrappers, schema)
+    return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_of_wrappers, schema)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """`pages` with `text`, the main text of the whole HTML, in place of the HTML.
 
-    Null and empty pages have the text ''. Pages of a null or odd URL share one host. A
-    page and its wrapper meet by a join on the host, whose frequent hosts Spark can
-    split. Columns named host, wrapper or text are replaced.
+    Null and empty pages have the text ''. A page of a null or odd URL has no host and is
+    its own wrapper. Repeated pages count as often as they stand, and have equal texts. A
+    page and its wrapper meet by a join on the host, whose frequent hosts Spark can split.
+    All other columns stay; one named text is replaced. An empty table gives an empty one.
     """
-    pages = pages.drop("host", "wrapper", "text").withColumn("host", host_of(F.col(url)))
-    wrappers = stash(infer(pages, "host", html), "wrappers")
-    others = [c for c in pages.columns if c not in (html, "host")]
-    rows = pages.join(wrappers, "host", "left").select(*others, "host", "wrapper", html)
-    fields = [pages.schema[c] for c in others]
+    pages = pages.drop(*({"text"} - {html, url})).withColumn("__host", host_of(F.col(url)))
+    wrappers = stash(infer(pages, "__host", html), "wrappers").withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"})
+    others = [c for c in pages.columns if c not in (html, "__host")]
+    rows = pages.join(wrappers, "__host", "left").select(*others, "__host", "__wrapper", html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, Article] = {}
         for batch in batches:
             texts = []
             for name, text, page in zip(*[batch.column(len(others) + i).to_pylist() for i in range(3)], strict=True):
                 if text is not None and name not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[name] = json.loads(text)
-                texts.append(main_text(page, known.get(name) if text is not None else None))
+                    known[name] = Article(json.loads(text))
+                texts.append(main_text(page, known[name] if text is not None else None))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string())], [*others, "text"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string"])
+    schema = T.StructType([*(pages.schema[c] for c in others), T.StructField("text", T.StringType())])
     return rows.mapInArrow(run, schema)
 
 
