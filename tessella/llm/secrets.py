@@ -1,30 +1,38 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-The forest (pyspark.ml, in the JVM) sees a candidate's length, character transitions,
-dictionary coverage, the path of its file and the neighbouring words. It is trained from
-labelled findings.
+The forest (pyspark.ml, in the JVM) sees a candidate's length, how likely its character
+transitions are in ordinary text, its coverage by a dictionary, the path of its file and
+the neighbouring words. It is trained from labelled findings: any table of them, or ones
+made by rule and set into excerpts of the documents at hand.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella.llm.common import documents, stash
+from tessella.llm.winnowing import let
 
-_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_.-]{0,20}+(?:\\?[\"'`])?\s{0,3}(?:=>|[=:]{1,2})\s{0,3}"
+_WORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
+#: A credential's word, the last of its kind in a name, the rest of the name and what gives it a value.
+_NAME = _WORD + r"(?:(?!" + _WORD + r")[A-Za-z0-9_.-])*+(?:\\?[\"'`])?\s*+(?:=>|[=:]{1,2})\s*+"
 #: Up to the closing quote, whatever stands between; `\"` opens and closes inside a quoted text.
 _QUOTED = r"\"(?:[^\"\\\r\n]++|\\.)++(?=\")|'(?:[^'\\\r\n]++|\\.)++(?=')|`(?:[^`\\\r\n]++|\\.)++(?=`)|\\\"[^\"\\\r\n]++(?=\\\")|\\'[^'\\\r\n]++(?=\\')"
 _BARE = r"[\"'`]{0,3}+(?!\\[\"'`])[^\s\"'`,;]++"
-_HEAD = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_HEAD = r"-----BEGIN [A-Z ]*?PRIVATE KEY(?: BLOCK)?-----"
 #: From BEGIN to END; of a key that is cut off, the lines that look like its body.
-_BLOCK = _HEAD + r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?:\s|-{1,5}(?:END[A-Z ]{0,30}+)?)*+\z)?+)"
-_URL_NAME = r"://[^\s/?#:@\"'`<>]{0,128}+:"
+_BLOCK = _HEAD + r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*?PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?:\s|-{1,5}(?:END[A-Z ]*+)?)*+\z)?+)"
+_URL_NAME = r"://[^\s/?#:@\"'`<>]*+:"
 _URL = _URL_NAME + r"[^\s/?#\"'`<>]+(?=@)"
-_OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+_OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 _NO_BLOCK = r"(?![\"'`]{0,3}-----BEGIN )"
 #: What may be a secret: a value given to a credential's name, the password of a URL, a whole private key, a long opaque run with a digit.
 CANDIDATE = f"{_NAME}{_NO_BLOCK}(?:{_QUOTED}|{_BARE})|{_BLOCK}|{_URL}|{_OPAQUE}"
@@ -33,34 +41,54 @@ _INNER = f"{_NAME}{_NO_BLOCK}{_BARE}|{_BLOCK}|{_URL}|{_OPAQUE}"
 #: Characters of the neighbourhood that are looked at on each side.
 NEAR = 48
 
-#: Prefixes by which issued keys are known, common letter pairs and common or stand-in words: fixed values.
-KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xox[abp]-|AIza|-----BEGIN)"
-PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|hi|ri|ro|ic|ne|ea|ra|ce"
-DICTIONARY = (
-    "example", "sample", "placeholder", "changeme", "change", "dummy", "default", "password", "passwd", "secret", "token", "test",
-    "your", "here", "none", "null", "true", "false", "user", "admin", "value", "string", "file", "path", "version", "section",
-    "page", "image", "data", "index", "home", "html", "http", "https", "www", "com", "the", "and", "for", "with", "from", "key",
-    "name", "chapter", "table", "figure", "release", "build", "model", "report", "annual", "document", "article", "xxxx", "1234",
-)
-CREDENTIAL_WORDS = r"(?i)\b(?:password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|login|private)"
-HASH_WORDS = r"(?i)\b(?:commit|sha-?\d*|md5|checksum|digest|hash|revision|etag|integrity|uuid|guid|build|isbn|serial|order|invoice|card|phone|tel)\b"
-PLAIN_PATH = r"(?i)test|example|fixture|mock|sample|doc"
+#: Characters on each side in which words of credentials and of checksums are looked for.
+BESIDE = 24
+#: Words of the dictionary that the labelled findings' neighbourhoods give, the most frequent ones.
+WORDS = 2000
+#: Excerpts of documents, of so many characters, that labelled findings are set into.
+EXCERPTS, EXCERPT = 1000, 200
+
+#: Prefixes by which issued keys are known, common stand-in words, words about credentials, checksums and measures, parts of paths: fixed values.
+KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xox[abp]-|AIza|eyJ|-----BEGIN)"
+STAND_INS = (
+    "example sample placeholder changeme change dummy default password passwd secret token test your here none null true false user admin "
+    "value string file path version section page image data index home html http https www com the and for with from key name required optional"
+).split()
+#: Common English words, part of every dictionary: fixed values.
+COMMON = (
+    "the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who its did yes she may use "
+    "that with have this will your from they know want been good much some time very when come here just like long make many more only over such take "
+    "than them well were what about after again other their there these things think which would could should people between before through where while "
+    "because under never every found still place small large great right world house water number first second third last next same each most both own "
+    "work life hand part year week word line side head home form show move read open close start stop find give tell ask team name user field letter group"
+).split()
+CREDENTIAL_WORDS = r"(?i)\b(?:password|passwd|pwd|secret|token|api.?key|access.?key|auth|authorization|bearer|credential|login|private)"
+HASH_WORDS = r"(?i)\b(?:commit|sha-?\d*|md5|checksum|digest|hash|revision|etag|integrity|uuid|guid|build|isbn|serial|order|invoice|card|phone|tel|base64)\b"
+MEASURES = r"(?i)tokens|tokeni[sz]|count|max|min|num|len|size|type|limit|expir|ttl|path|file|url|field|header|policy|hint|reset"
+PLAIN_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|fixtures?|mocks?|samples?|docs?)(?:[/_.-]|$)"
 
 FEATURES = (
-    "length", "assigned", "known_prefix", "digits", "uppers", "hexadecimal", "numeric", "uuid", "runs", "pairs",
-    "coverage", "distinct", "stand_in", "near_credential", "near_hash", "plain_path",
+    "length", "assigned", "in_url", "known_prefix", "digits", "uppers", "marks", "hexadecimal", "numeric", "uuid", "runs", "transitions",
+    "coverage", "segment", "distinct", "stand_in", "code", "near_credential", "near_hash", "measure", "plain_path",
 )
 
 
+@dataclass(frozen=True)
+class Model:
+    forest: RandomForestClassificationModel
+    transitions: tuple[float, ...]  # log-probability of a letter after another, row by row; the 27th stands for all else
+    dictionary: tuple[str, ...]
+
+
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per candidate: the other columns of `df`, start and length in code points, candidate, left, right.
+    """One row per candidate: the other columns of `df`, and __at, a struct of start and length in code points, candidate, left, right.
 
     A text without candidates, empty or null gives no row. What stands between the
     candidates gives their places and their neighbourhood. A quoted value of several words
     is a candidate, and what it holds are candidates, too; their places overlap.
     """
     rows = _placed(df.withColumn("__whole", F.col(text)), CANDIDATE, "__each").where(F.size("__each") > 0)
-    others = [c for c in df.columns if c not in (text, "__whole", "__each", "__outer", "__inner")]
+    others = [c for c in df.columns if c != text]
     rows = rows.select(*others, F.explode("__each").alias("__outer")).withColumn("__name", F.regexp_extract("__outer.candidate", f"^{_NAME}", 0))
     several = (F.length("__name") > 0) & F.expr("substring(__outer.candidate, length(__name) + 1)").rlike(r"\s")
     rows = _placed(rows.withColumn("__whole", F.when(several, F.col("__outer.candidate"))), _INNER, "__inner")
@@ -75,7 +103,7 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     every = F.concat(F.array("__outer"), F.coalesce(shifted, F.array().cast(rows.schema["__inner"].dataType)))
-    return rows.select(*others, F.explode(every).alias("__each")).select(*others, "__each.*")
+    return rows.select(*others, F.explode(every).alias("__at"))
 
 
 def _placed(rows: DataFrame, pattern: str, into: str) -> DataFrame:
@@ -104,112 +132,219 @@ def value_of(candidate: Column) -> Column:
     return F.regexp_replace(candidate, rf"^(?:{_NAME}\\?[\"'`]{{0,3}}|{_URL_NAME})", "")
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """Adds the features of rows with candidate, left, right and path; nulls count as empty."""
-    full, left, right, path = (F.coalesce(c, F.lit("")) for c in ("candidate", "left", "right", "path"))
-    rows = rows.withColumn("__value", value_of(full)).withColumn("__name", F.expr("left(candidate, length(candidate) - length(__value))"))
+def _transitions(value: Column, table: tuple[float, ...]) -> Column:
+    """The mean log-probability of the value's successive characters as ordinary text; 0 for a single one."""
+    lookup = F.split(F.lit(" ".join(f"{x:.6f}" for x in table)), " ").cast("array<double>")
+    codes = F.transform(F.split(F.lower(value), ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).otherwise(26))
+    pairs = let(codes, lambda own: F.zip_with(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.get(lookup, a * 27 + b)))
+    return let(pairs, lambda own: F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x) / F.size(own)).otherwise(0.0))
+
+
+def with_features(rows: DataFrame, transitions: tuple[float, ...], dictionary: tuple[str, ...]) -> DataFrame:
+    """Adds the features of rows with __at (candidate, left, right) and __path; nulls count as empty."""
+    full, left, right, path = (F.coalesce(F.col(c), F.lit("")) for c in ("__at.candidate", "__at.left", "__at.right", "__path"))
+    rows = rows.withColumn("__value", value_of(full)).withColumn("__name", F.expr("left(__at.candidate, length(__at.candidate) - length(__value))"))
     value, size = F.col("__value"), F.greatest(F.length("__value"), F.lit(1))
-    lower = F.lower(value)
+    lower, name = F.lower(value), F.col("__name")
+    known = F.split(F.lit(" ".join(dictionary)), " ")
+    parts = F.filter(F.regexp_extract_all(value, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & F.array_contains(known, F.lower(w)))
     flag = lambda c: c.cast("double")
+    around = F.concat(F.right(left, F.lit(BESIDE)), F.lit(" "), name)
     made = {
-        "length": F.length(value).cast("double"),
-        "assigned": flag(F.length("__name") > 0),
+        "length": F.log(F.lit(1) + F.length(value)),
+        "assigned": flag((F.length(name) > 0) & ~name.startswith("://")),
+        "in_url": flag(name.startswith("://")),
         "known_prefix": flag(value.rlike(KNOWN)),
         "digits": F.regexp_count(value, F.lit("[0-9]")) / size,
         "uppers": F.regexp_count(value, F.lit("[A-Z]")) / size,
+        "marks": F.regexp_count(value, F.lit("[!-/:-@\\[-`{-~]")) / size,
         "hexadecimal": flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "numeric": flag(value.rlike("^[0-9+/_-]+$")),
         "uuid": flag(value.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         "runs": F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) / size,
-        "pairs": F.regexp_count(lower, F.lit(PAIRS)) / size,
-        "coverage": (F.length(value) - F.length(F.regexp_replace(lower, "|".join(DICTIONARY), ""))) / size,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(size, F.lit(64)),
-        "stand_in": flag(value.rlike(r"[<>${}*]|\.\.\.|x{5}|X{5}")),
-        "near_credential": flag(F.concat(F.right(left, F.lit(24)), F.lit(" "), F.col("__name")).rlike(CREDENTIAL_WORDS)),
-        "near_hash": flag(F.concat(F.right(left, F.lit(24)), F.lit(" "), F.left(right, F.lit(12))).rlike(HASH_WORDS)),
+        "transitions": _transitions(value, transitions),
+        "coverage": F.aggregate(parts, F.lit(0), lambda acc, w: acc + F.length(w)) / size,
+        "segment": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.length(w))), F.lit(0)) / size,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / size,
+        "stand_in": flag(lower.rlike(r"[<>${}*]|\.\.\.|x{5}|(?:^|[^a-z])(?:" + "|".join(STAND_INS) + ")(?:[^a-z]|$)")),
+        "code": flag(value.rlike(r"[(\[]|^[A-Za-z_]++(?:\.[A-Za-z_]++)+$|^(?:str|int|bool|None|True|False|null|nil|self|this)\b")),
+        "near_credential": flag(around.rlike(CREDENTIAL_WORDS)),
+        "near_hash": flag(F.concat(around, F.lit(" "), F.left(right, F.lit(BESIDE // 2))).rlike(HASH_WORDS)),
+        "measure": flag(F.concat(F.regexp_extract(left, "[A-Za-z0-9_.-]*$", 0), name).rlike(MEASURES)),
         "plain_path": flag(path.rlike(PLAIN_PATH)),
     }
     rows = rows.withColumns({f"__{k}": F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
     return VectorAssembler(inputCols=[f"__{k}" for k in FEATURES], outputCol="__features").transform(rows)
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Findings with labels (candidate, left, right, path, label), made by rule from a counter: the same ones every time.
+def excerpts(docs: DataFrame, text: str = "text", path: str = "source", n: int = EXCERPTS) -> DataFrame:
+    """k (from 0), left, right, path: neighbourhoods for labelled findings, each from a place in a text of `docs`.
+
+    The `n` texts with the smallest hashes are taken, the bounded sample that the forest is
+    fitted on. Equal texts give equal excerpts; null and empty ones none.
+    """
+    place = F.pmod(F.xxhash64(text, F.lit(1)), F.length(text)).cast("int")
+    some = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.substring(F.col(text), place + 1, F.lit(EXCERPT)).alias("x"), F.col(path).cast("string").alias("path"))
+    some = some.orderBy("h", "path").limit(n)
+    half = F.floor(F.length("x") / 2).cast("int")
+    return some.select((F.row_number().over(W.orderBy("h", "path")) - 1).cast("long").alias("k"), F.left("x", half).alias("left"), F.substring(F.col("x"), half + 1, F.lit(EXCERPT)).alias("right"), "path")
+
+
+def labelled_findings(spark: SparkSession, around: DataFrame | None = None, n: int = 12_000, first: int = 0) -> DataFrame:
+    """`n` findings with labels (candidate, left, right, path, label), made from counters `first`, ...: the same ones every time.
 
     Half are keys, tokens and passwords as they are issued or set; half are what scanners
-    report by mistake: checksums, commit ids, UUIDs, numbers, stand-ins, ordinary words.
+    report by mistake: checksums, commit ids, UUIDs, numbers, stand-ins, code, settings that
+    are no credentials, names and slugs made of the neighbourhood's own words. All kinds
+    stand in the same neighbourhoods and paths: those of `around` (see excerpts), else a few
+    fixed ones. So only what a kind itself brings along can tell them apart.
     """
+    row = lambda salt: F.xxhash64("id", F.lit(salt))
+    upto = lambda salt, k: F.pmod(row(salt), F.lit(k)).cast("int")
+    some = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), upto(salt, len(xs)) + 1)
     hexes = F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 512)
-    mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "")
-    digits = F.regexp_replace(F.conv(F.substring(hexes, 1, 15), 16, 10), "^0*", "")
-    some = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
-    words = some(1, "in that section of the", "thereafter the", "as shown below", "and with these", "where it was", "de la que", "und das ist")
-    name = some(2, "token", "secret", "api_key", "auth_token", "access_key", "secret_key", "password")
-    assign = some(3, ' = "', "=", ": ", ' = "')
-    signs = F.concat(F.substring(mixed, 1, 4), some(14, "!", "$", ",", "#", "%"), F.substring(mixed, 5, 5))
-    passphrase = F.concat(F.substring(mixed, 1, 5), some(15, " ", ", ", "; "), F.substring(mixed, 6, 6))
-    short = F.concat(F.substring(mixed, 1, 3), some(14, "!", "$", ",", "#", "%"), F.substring(mixed, 4, 1))
+    b64 = F.base64(F.unhex(F.concat(hexes, F.sha2(hexes, 512))))
+    mixed = F.regexp_replace(b64, "[+/=\r\n]", "")
+    raw = F.regexp_replace(b64, "[=\r\n]", "")
+    digits = F.regexp_replace(hexes, "[a-f]", "")
     letters = F.regexp_replace(mixed, "[0-9]", "")
-    quoted = some(16, 'password": "', 'api_key": "', "secret': '", 'token" => "', 'access_key": "')
-    head = some(17, "RSA ", "EC ", "OPENSSH ", "")
-    block = F.concat(F.lit("-----BEGIN "), head, F.lit("PRIVATE KEY-----\n"), F.substring(mixed, 1, 64), F.lit("\n"), F.substring(mixed, 9, 50), F.lit("\n"), F.substring(mixed, 3, 7), F.lit("==\n-----END "), head, F.lit("PRIVATE KEY-----"))
-    user = some(18, "://admin:", "://root:", "://app:", "://:", "://deploy:")
-    word = some(19, "the", "that", "of", "is", "none", "true", "null", "string", "required", "value", "user", "5", "0", "12", "optional", "password")
-    prose = F.concat(some(20, "the value of the", "enter your", "this is the", "must not be the", "a string for the"), F.lit(" "), some(21, "name of the user", "default file here", "section in the document", "same as before"))
-    kinds = [
-        (1, F.concat(quoted, signs), words),
-        (1, F.concat(quoted, F.substring(letters, 1, 24)), words),
-        (1, F.concat(quoted, passphrase), words),
-        (1, F.concat(some(4, "password", "passwd", "pwd"), assign, short), words),
-        (1, F.concat(user, F.substring(mixed, 1, 10)), some(22, "postgres", "mysql", "https", "amqp", "redis")),
-        (1, block, words),
-        (0, F.concat(name, assign, word), words),
-        (0, F.concat(quoted, some(23, "changeme", "your_token_here", "xxxxxxxxxxxx", "<your-secret>", "string", "", "null", "example-password")), words),
-        (0, F.concat(quoted, prose), words),
-        (0, F.concat(name, some(3, ' = "', '="', ': "', ' = "'), prose), words),
-        (0, F.concat(some(24, "://user:", "://username:", "://example:", "://admin:", "://:"), some(25, "password", "pass", "changeme", "<password>", "${PASSWORD}", "****", "secret", "8080")), some(22, "postgres", "mysql", "https", "amqp", "redis")),
-        (0, F.concat(name, some(3, ' = "', "=", ": ", ' = "'), some(26, "none", "required", "optional", "false", "string,", "the.", "example", "here)")), words),
-        (1, F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), words),
-        (1, F.concat(name, assign, F.substring(hexes, 1, 40)), words),
-        (1, F.concat(some(4, "password", "passwd", "pwd"), some(5, "=", ": "), F.substring(hexes, 1, 18)), words),
-        (1, F.concat(name, assign, F.substring(mixed, 1, 40)), words),
-        (1, F.concat(some(6, "sk-", "ghp_", "xoxb-", "AIza"), F.substring(mixed, 1, 36)), words),
-        (1, F.concat(some(4, "password", "passwd", "pwd"), some(5, "=", ": "), F.substring(mixed, 1, 12)), words),
-        (0, F.substring(hexes, 1, 40), some(7, "commit", "at revision", "merged as", "parent commit", "tree")),
-        (0, F.concat(F.substring(hexes, 1, 8), F.lit("-"), F.substring(hexes, 9, 4), F.lit("-"), F.substring(hexes, 13, 4), F.lit("-"), F.substring(hexes, 17, 4), F.lit("-"), F.substring(hexes, 21, 12)), words),
-        (0, F.lpad(digits, 16, "4"), words),
-        (0, F.substring(hexes, 1, 64), some(8, "sha256", "checksum", "digest", "integrity", "md5")),
-        (0, F.concat(name, assign, some(9, "changeme", "your_token_here", "xxxxxxxxxxxx", "<your-secret>", "${SECRET_KEY}", "example-password", "********")), words),
-        (0, F.concat(some(10, "annual-report-of-", "section-", "figure-and-table-", "version-"), F.pmod("id", F.lit(900)).cast("string"), some(11, "-of-the-document", "-with-images", "-release-build", "-index")), words),
+    cut = lambda c, salt, *sizes: F.left(c, some(salt, *sizes))
+    long = (16, 20, 24, 32, 40, 48, 64, 80)
+
+    fixed = some(1, "in that section of the", "thereafter the", "as shown below", "and with these", "where it was", "de la que", "und das ist")
+    rows = spark.range(first, first + n).select("id")
+    if around is None:
+        rows = rows.select("id", fixed.alias("left"), fixed.alias("right"), some(2, "src0", "config/app.env", "deploy/settings.py", "docs/guide.md", "tests/data.py").alias("path"))
+    else:
+        kept = stash(around, "excerpts")
+        m = max(kept.count(), 1)
+        rows = rows.withColumn("k", F.pmod(row(3), F.lit(m))).join(F.broadcast(kept), "k", "left")  # EXCERPTS rows at most
+        rows = rows.select("id", F.coalesce("left", fixed).alias("left"), F.coalesce("right", fixed).alias("right"), "path")
+    words = F.filter(F.regexp_extract_all(F.concat_ws(" ", "left", "right"), F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) < 12)
+    rows = rows.withColumn("w", F.when(F.size(words) > 3, F.slice(words, 1, 4)).otherwise(F.array(*map(F.lit, ("some", "plain", "word", "list")))))
+    word = lambda k: F.get("w", F.lit(k))
+
+    name = some(4, "token", "secret", "api_key", "auth_token", "access_key", "SECRET_KEY", "password", "client-secret", "db.password", "credentials")
+    lock = some(5, "password", "passwd", "pwd", "DB_PASSWORD", "user.password", "root_pwd")
+    assign = some(6, ' = "', "=", ": ", ' = "', ": '", " := ", "      = ", '="')
+    quoted = some(7, '"password": "', '"api_key": "', "'secret': '", '"token" => "', '\\"access_key\\": \\"')
+    sign = some(8, "!", "$", ",", "#", "%", "@", "&", ";", "_", "-")
+    human = F.concat(F.initcap(word(0)), some(9, "", "_", "."), F.left(digits, upto(10, 4) + 1), F.when(upto(11, 3) > 0, sign).otherwise(""))
+    signs = F.concat(F.left(mixed, F.lit(4)), sign, F.substring(mixed, 5, 5))
+    phrase = F.concat(F.substring(mixed, 1, 5), some(12, " ", ", ", "; "), F.substring(mixed, 6, 6))
+    scheme, user = some(13, "postgres", "mysql", "https", "amqp", "redis"), some(14, "admin", "root", "app", "", "deploy", "user")
+    head = some(15, "RSA ", "EC ", "OPENSSH ", "")
+    block = F.concat(F.lit("-----BEGIN "), head, F.lit("PRIVATE KEY-----\n"), F.substring(raw, 1, 64), F.lit("\n"), F.substring(raw, 9, 50), F.lit("\n"), F.substring(mixed, 3, 7), F.lit("==\n-----END "), head, F.lit("PRIVATE KEY-----"))
+    issued = F.concat(some(16, "AKIA", "ASIA"), F.upper(F.left(mixed, F.lit(16))))
+    prefixed = F.concat(some(17, "sk-", "ghp_", "xoxb-", "AIza", "glpat-", "sk_live_", "eyJhbGciOiJIUzI1NiJ9"), cut(mixed, 18, 20, 24, 36, 48))
+    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    stand_in = some(19, "changeme", "your_token_here", "xxxxxxxxxxxx", "<your-secret>", "${SECRET_KEY}", "example-password", "********", "%(password)s", "{{ token }}", "REPLACE_ME_WITH_KEY", "dummy-secret-1", "null", "none")
+    code = F.concat(some(20, "get_", "load_", "self.", "os.environ.", "config.", "request.", "new ", "str", "tokenizer."), F.lower(word(1)), some(21, "()", "(x)", '["', ".value", "_name", "[0]", ","))
+    plain = some(22, "the", "that", "is", "true", "false", "string", "required", "value", "optional", "none,", "string,", "user", "enabled", "here)", "bearer", "basic")
+    prose = F.concat_ws(" ", some(23, "the value of the", "enter your", "this is the", "must not be the", "a string for the"), "w")
+    setting = F.concat(some(24, "max_tokens", "tokens", "token_count", "password_min_length", "secret_path", "token_type", "api_key_header", "password_file", "credential-limit", "token_expires", "pwd_policy"), some(6, ' = "', "=", ": ", ' = "', ": '", " := ", "      = ", '="'))
+    measured = some(25, "4096", "12", "3600", "/etc/app/secret.txt", "Bearer", "X-Api-Key", "strict", "64", "128000", "30d", "sha256")
+    slug = F.concat_ws("-", F.lower(word(0)), F.lower(word(1)), F.lower(word(2)), F.lower(word(3)), F.left(digits, upto(27, 4) + 1))
+    slug = F.replace(slug, F.lit("-"), some(26, "-", "_", "/"))
+    camel = F.concat(F.lower(word(0)), F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.left(digits, F.lit(1)), some(28, "Handler", "Impl", "Test", ""))
+    stamp = F.concat(some(29, "IMG_", "backup-", "log_", "release-", "v"), F.lit("20"), F.left(digits, F.lit(6)), some(30, "_", "T", "-"), F.substring(digits, 7, 6), F.when(upto(31, 2) == 0, F.concat(F.lit("_"), word(0))).otherwise("_00001"))
+    common = lambda salt: some(salt, *COMMON[::3])
+    dated = F.concat(some(59, "org/", "com/", "blog/", ""), F.lit("20"), F.left(digits, F.lit(2)), F.lit("/0"), F.left(digits, F.lit(1)), F.lit("/"), F.concat_ws("-", common(60), F.lower(word(0)), common(61), F.lower(word(1)), common(62)), F.when(upto(63, 2) == 0, F.concat(F.lit("-"), F.left(digits, F.lit(5)))).otherwise(""))
+    file = F.concat(some(64, "src/main/", "lib/", "usr/share/", "app/"), F.concat_ws("/", F.lower(word(2)), common(65), F.lower(word(3))), F.lit("/"), F.initcap(common(66)), F.initcap(word(0)), some(67, "Handler", "Factory", "Test", "Impl", "_v"), F.left(digits, F.lit(1)), some(68, "", "Test", "Spec"))
+    checks = some(32, "sha256", "checksum", "digest", "integrity", "md5", "sha512-", "etag", "hash:")
+    revision = some(33, "commit", "at revision", "merged as commit", "commit id", "revision", "build")
+    holder = some(34, "authorization: bearer", "the api key is", "login with", "its secret:", "use token", "private key")
+
+    beside = F.lit("")
+    kinds = [  # label, candidate, what stands before it
+        (1, F.concat(name, assign, cut(hexes, 40, *long)), beside),
+        (1, F.concat(name, assign, cut(mixed, 41, 12, *long)), beside),
+        (1, F.concat(name, assign, cut(raw, 42, *long)), beside),
+        (1, F.concat(quoted, signs), beside),
+        (1, F.concat(quoted, F.left(letters, F.lit(24))), beside),
+        (1, F.concat(quoted, phrase), beside),
+        (1, F.concat(lock, assign, human), beside),
+        (1, F.concat(lock, assign, F.left(mixed, F.lit(3)), sign, F.substring(mixed, 4, 1)), beside),
+        (1, F.concat(lock, assign, cut(mixed, 43, 8, 10, 12, 18)), beside),
+        (1, F.concat(lock, assign, cut(hexes, 44, 12, 18, 24)), beside),
+        (1, F.concat(F.lit("://"), user, F.lit(":"), cut(mixed, 45, 8, 10, 16, 24)), scheme),
+        (1, F.concat(F.lit("://"), user, F.lit(":"), F.initcap(word(0)), F.left(digits, F.lit(3)), some(46, "!", "$", ",", "%", "&", ";", "_", "-")), scheme),
+        (1, block, beside),
+        (1, issued, beside),
+        (1, prefixed, beside),
+        (1, cut(mixed, 47, *long), holder),
+        (0, F.concat(name, assign, stand_in), beside),
+        (0, F.concat(quoted, stand_in), beside),
+        (0, F.concat(name, some(48, " = ", "=", ": "), code), beside),
+        (0, F.concat(name, assign, plain), beside),
+        (0, F.concat(quoted, prose), beside),
+        (0, F.concat(name, some(49, ' = "', '="', ': "'), prose), beside),
+        (0, F.concat(name, some(50, ": ", " = ", "="), F.lower(word(0))), beside),
+        (0, F.concat(setting, measured), beside),
+        (0, F.concat(F.lit("://"), some(51, "user", "username", "example", "admin", ""), F.lit(":"), some(52, "password", "pass", "changeme", "<password>", "${PASSWORD}", "****", "secret", "8080")), scheme),
+        (0, F.left(hexes, some(53, 40, 40, 32, 64)), revision),
+        (0, F.left(hexes, some(54, 32, 40, 64, 64)), checks),
+        (0, cut(raw, 55, 44, 64, 88), checks),
+        (0, uuid, beside),
+        (0, F.concat(some(56, "4", "5", "+49-", "978-", ""), F.left(digits, some(57, 15, 16, 19, 24))), beside),
+        (0, slug, beside),
+        (0, camel, beside),
+        (0, stamp, beside),
+        (0, dated, some(69, "https://example.com/", "see", "../")),
+        (0, file, beside),
+        (0, F.concat(F.lit("iVBORw0KGgo"), cut(raw, 58, 40, 64, 100)), F.lit("data:image/png;base64")),
     ]
     kind = F.pmod("id", F.lit(len(kinds))).cast("int")
-    pick = F.element_at(F.array(*[F.struct(F.lit(label).cast("double").alias("label"), c.alias("candidate"), left.alias("left")) for label, c, left in kinds]), kind + 1)
-    path = F.when(F.col("label") == 1, some(12, "src0", "config/app.env", "deploy/settings.py", "notes.txt")).otherwise(some(13, "src1", "docs/guide.md", "tests/data.py", "examples/run.sh"))
-    rows = spark.range(n).select("id", pick.alias("x")).select("id", "x.*")
-    return rows.select("candidate", F.concat("left", F.lit(" ")).alias("left"), F.concat(F.lit(" "), words).alias("right"), F.when(F.pmod("id", F.lit(3)) == 0, "src2").otherwise(path).alias("path"), "label")
+    pick = F.element_at(F.array(*[F.struct(F.lit(label).cast("double").alias("label"), c.alias("candidate"), before.alias("before")) for label, c, before in kinds]), kind + 1)
+    rows = rows.select("left", "right", "path", pick.alias("x"))
+    gap = F.when(F.col("x.candidate").startswith("://"), "").otherwise(" ")
+    return rows.select("x.candidate", F.concat("left", F.lit(" "), "x.before", gap).alias("left"), F.concat(F.lit(" "), "right").alias("right"), "path", "x.label")
 
 
-def train(labelled: DataFrame, trees: int = 30, depth: int = 8, seed: int = 8) -> RandomForestClassificationModel:
-    """A forest over labelled findings (candidate, left, right, path, label 0.0 or 1.0)."""
-    rows = stash(with_features(labelled).select("__features", "label"), "labelled")
+def _language(labelled: DataFrame) -> tuple[tuple[float, ...], tuple[str, ...]]:
+    """Letter transitions and the most frequent words of the findings' neighbourhoods, a bounded sample of ordinary text."""
+    near = labelled.select(F.lower(F.concat_ws(" ", "left", "right")).alias("t")).distinct()
+    chars = near.select(F.transform(F.split("t", ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).otherwise(26)).alias("c")).where(F.size("c") > 1)
+    pairs = chars.select(F.explode(F.zip_with(F.expr("slice(c, 1, size(c) - 1)"), F.expr("slice(c, 2, size(c) - 1)"), lambda a, b: a * 27 + b)).alias("p"))
+    seen = {r["p"]: r["count"] for r in pairs.groupBy("p").count().collect()}  # 729 at most
+    table = []
+    for a in range(27):
+        own = [seen.get(a * 27 + b, 0) + 1 for b in range(27)]
+        table.extend(math.log(x / sum(own)) for x in own)
+    words = near.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).groupBy("w").count().where("count > 2")
+    found = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(WORDS).collect()]
+    return tuple(table), tuple(dict.fromkeys([*STAND_INS, *COMMON, *found]))
+
+
+def train(labelled: DataFrame, trees: int = 40, depth: int = 10, seed: int = 8) -> Model:
+    """A forest over labelled findings (candidate, left, right, path, label 0.0 or 1.0), any table of them.
+
+    Letter transitions and the dictionary come from the findings' neighbourhoods.
+    """
+    kept = stash(labelled.select("candidate", "left", "right", "path", "label"), "labelled-findings")
+    transitions, dictionary = _language(kept)
+    rows = kept.select(F.struct("candidate", "left", "right").alias("__at"), F.col("path").alias("__path"), "label")
+    rows = stash(with_features(rows, transitions, dictionary).select("__features", "label"), "labelled")
     forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
-    return forest.fit(rows)
+    forest = forest.setPredictionCol("__prediction").setProbabilityCol("__probability").setRawPredictionCol("__raw")
+    return Model(forest.fit(rows), transitions, dictionary)
 
 
-def scan(df: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
+def scan(df: DataFrame, model: Model, text: str = "text", path: str = "source", least: float = 0.5) -> DataFrame:
     """One row per candidate of every whole text: other columns of `df`, start, length, value, rule, score, is_secret.
 
-    The place is that of the value, without the name that it is given to. Nothing is shuffled; a null path counts as empty. Columns of `df` with those names
-    are replaced.
+    The place is that of the value, without the name that it is given to. Nothing is
+    shuffled; a null path counts as empty; null and empty texts give no rows, equal texts
+    equal ones. Columns of `df` with the names of the six results are replaced, all others stay.
     """
-    df = df.drop("start", "length", "candidate", "left", "right", "value", "rule", "score", "is_secret")
-    rows = candidates(df.withColumn("path", F.col(path)), text)
-    scored = model.transform(with_features(rows))
-    rule = F.when(F.col("__assigned") == 1, "assigned value").when(F.col("__known_prefix") == 1, "known prefix").otherwise("opaque run")
-    scored = scored.withColumn("score", vector_to_array("probability")[1]).withColumn("rule", rule).withColumn("is_secret", F.col("score") >= least)
+    df = df.drop(*({"start", "length", "value", "rule", "score", "is_secret"} - {text, path}))
+    rows = candidates(df.withColumn("__path", F.col(path).cast("string")), text)
+    scored = model.forest.transform(with_features(rows, model.transitions, model.dictionary))
+    rule = F.when(F.col("__in_url") == 1, "password of a URL").when(F.col("__assigned") == 1, "assigned value").when(F.col("__known_prefix") == 1, "known prefix").otherwise("opaque run")
+    score = vector_to_array("__probability")[1]
+    start, length = F.col("__at.start") + F.length("__name"), F.length("__value").cast("long")
     others = [c for c in df.columns if c != text]
-    start, length = F.col("start") + F.length("__name"), F.length("__value").cast("long")
-    return scored.select(*others, start.alias("start"), length.alias("length"), F.col("__value").alias("value"), "rule", "score", "is_secret")
+    return scored.select(*others, start.alias("start"), length.alias("length"), F.col("__value").alias("value"), rule.alias("rule"), score.alias("score"), (score >= least).alias("is_secret"))
 
 
 def redact(df: DataFrame, findings: DataFrame, keys: list[str], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -231,6 +366,6 @@ def redact(df: DataFrame, findings: DataFrame, keys: list[str], text: str = "tex
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidate secrets of all documents, with the forest's verdict; values only as digests."""
-    model = train(labelled_findings(spark))
-    found = scan(documents(spark, sf_dir).select("doc_id", "source", "text"), model)
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    found = scan(docs, train(labelled_findings(spark, excerpts(docs))))
     return found.select("doc_id", "start", "length", "rule", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
