@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix (buckets x languages, a few MB) is broadcast; texts are
-scored in Arrow batches with numpy.
+The log-probability matrix (buckets x languages, a few MB) is broadcast. The n-grams of a
+batch of texts are made together, as the rows of one sparse matrix, and scored by one
+gather from the broadcast matrix and one sum by rows.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import documents, ship
+from tessella.llm.common import documents, ship, stash
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Texts are worked through in stretches of so many characters, so that very long ones need little memory.
-STRETCH = 1 << 19
-#: More label values than this are refused: the matrix grows with them.
-MAX_LANGUAGES = 1000
+#: Characters whose n-grams are made at once; longer texts are worked through in stretches.
+CHUNK = 1 << 18
+#: Languages of one block of the matrix, which is 128 KB a language.
+LANGUAGES = 500
+#: Numbers taken from the matrix at once, and languages whose counts a task holds at once.
+GATHERED, HELD = 1 << 21, 200
 #: N-grams of one text overlap and are far from independent: the evidence of a long text counts as that of so many.
 EVIDENCE = 300
 
@@ -35,116 +38,192 @@ def _letters() -> np.ndarray:
     return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
-def _grams(stretch: str) -> np.ndarray:
-    """Buckets of the n-grams of a stretch: lower case, anything but letters as one space."""
-    codes = np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), "<u4")
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows and pieces of a batch's texts, some CHUNK characters at a time; long texts come in stretches that share n - 1 characters with the one before."""
+    back = max(ORDERS) - 1
+    rows, pieces, held = [], [], 0
+    for row, text in enumerate(texts):
+        for k in range(0, len(text or ""), CHUNK):
+            pieces.append(f" {text[max(0, k - back) : k + CHUNK].lower()} ")
+            rows.append(row)
+            held += len(pieces[-1])
+            if held >= CHUNK:
+                yield rows, pieces
+                rows, pieces, held = [], [], 0
+    if pieces:
+        yield rows, pieces
+
+
+def _grams(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the buckets of the pieces' n-grams, piece by piece, and how many each has.
+
+    Lower case, anything but letters as one space. No n-gram reaches from one piece into the next.
+    """
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
     codes = np.where(_letters()[codes], codes, 32)
+    owner = np.repeat(np.arange(len(pieces)), sizes)
     blank = codes == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    codes = codes[keep].astype(np.uint32)
-    found = []
+    keep[np.cumsum(sizes) - sizes] = True
+    codes, owner = codes[keep].astype(np.uint32), owner[keep]
     h = np.zeros(len(codes), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(codes) < n:
             break
         h = h[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(1)
         if n in ORDERS:
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
-            found.append(mixed >> np.uint32(32 - BUCKETS.bit_length() + 1))
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+            own = owner[: len(h)]
+            inside = own == owner[n - 1 :]
+            mixed = (h[inside] ^ (h[inside] >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
+            yield mixed >> np.uint32(32 - BUCKETS.bit_length() + 1), np.bincount(own[inside], minlength=len(pieces))
 
 
-def _stretches(text: str) -> Iterator[str]:
-    """The text in lower case, in stretches that share n - 1 characters with the one before."""
-    back = max(ORDERS) - 1
-    for k in range(0, len(text), STRETCH):
-        yield f" {text[max(0, k - back) : k + STRETCH].lower()} "
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
-class Model:
+class Block:
+    """Some languages' part of the matrix."""
+
     languages: list[str]
     log_p: np.ndarray  # buckets x languages
     log_prior: np.ndarray
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The most probable language and its posterior probability; ties go to the first by name."""
-        if not self.languages or not text or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for stretch in _stretches(text):
-            grams = _grams(stretch)
-            total += np.bincount(grams, minlength=BUCKETS) @ self.log_p if len(grams) > 8 * BUCKETS else self.log_p[grams].sum(0, dtype=np.float64)
-            n += len(grams)
-        logits = self.log_prior + total * min(1.0, EVIDENCE / n)
-        best = int(np.argmax(logits))
-        return self.languages[best], float(1 / np.exp(logits - logits[best]).sum())
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """texts x languages: prior and evidence of a batch, its n-grams taken together as one sparse matrix by rows."""
+        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        step = max(1, GATHERED // max(1, len(self.languages)))
+        for rows, pieces in _pieces(texts):
+            rows = np.array(rows)
+            for grams, counts in _grams(pieces):
+                np.add.at(n, rows, counts)
+                bounds = np.concatenate(([0], np.cumsum(counts)))
+                for k in range(0, len(grams), step):  # so many rows of the matrix at once
+                    end = min(k + step, len(grams))
+                    first, last = np.searchsorted(bounds, k, "right") - 1, np.searchsorted(bounds, end, "left")
+                    own = np.flatnonzero(counts[first:last]) + first
+                    sums = np.add.reduceat(self.log_p[grams[k:end]], np.maximum(bounds[own], k) - k, axis=0, dtype=np.float64)
+                    np.add.at(total, rows[own], sums)
+        return self.log_prior + total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+
+
+@dataclass
+class Model:
+    counts: DataFrame | None  # lang, bucket, n: written once
+    languages: list[str]
+    texts: np.ndarray  # of each language
+    alpha: float
+
+    def blocks(self) -> Iterator[Block]:
+        """The matrix, LANGUAGES languages at a time: so neither the driver nor a task holds more, however many there are."""
+        for k in range(0, len(self.languages), LANGUAGES):
+            own = self.languages[k : k + LANGUAGES]
+            rows = self.counts.where((F.col("lang") >= own[0]) & (F.col("lang") <= own[-1]) & (F.col("bucket") >= 0)).toArrow()
+            names = rows.column("lang").combine_chunks().dictionary_encode() if len(rows) else None
+            counts = np.zeros((BUCKETS, len(own)))
+            if names is not None:
+                place = {x: i for i, x in enumerate(own)}
+                col = np.array([place[x] for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+                counts[rows.column("bucket").to_numpy(), col] = rows.column("n").to_numpy()
+            log_p = np.log(counts + self.alpha) - np.log(counts.sum(0) + self.alpha * BUCKETS)
+            yield Block(own, log_p.astype(np.float32), np.log(self.texts[k : k + LANGUAGES] / self.texts.sum()))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts by language of one partition; bucket -1 has the number of texts."""
     counts: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_pydict(
+                {"lang": pa.array([lang] * (len(at) + 1)), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(own[at], texts[lang]), pa.int64())}
+            )
+
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+        langs = batch.column(1).to_pylist()
+        for lang in langs:
             texts[lang] = texts.get(lang, 0) + 1
-            for stretch in _stretches(text):
-                own += np.bincount(_grams(stretch), minlength=BUCKETS)
-    for lang, own in counts.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_pydict(
-            {"lang": pa.array([lang] * (len(at) + 1)), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(own[at], texts[lang]), pa.int64())}
-        )
+            counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+        for own_rows, pieces in _pieces(batch.column(0).to_pylist()):
+            own_langs = [langs[r] for r in own_rows]
+            names = {x: i for i, x in enumerate(dict.fromkeys(own_langs))}
+            which = np.array([names[x] for x in own_langs])
+            for grams, n in _grams(pieces):
+                of = np.repeat(which, n)
+                for lang, i in names.items():
+                    counts[lang] += np.bincount(grams[of == i] if len(names) > 1 else grams, minlength=BUCKETS)
+        if len(counts) > HELD:
+            yield from rows()
+            counts, texts = {}, {}
+    yield from rows()
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.5) -> Model:
     """Counts the n-grams of all rows with a text and a language.
 
-    Each task sums up its own texts, so what is shuffled and what reaches the driver is
-    bounded by buckets x languages (per task, and in all), however many texts there are.
-    No labelled rows give a model that answers `und`.
+    Each task sums up its own texts, so what is shuffled is bounded by buckets x languages
+    per task, however many texts there are; of the counts, the driver reads those of
+    LANGUAGES languages at a time. No labelled rows give a model that answers `und`.
     """
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()
-    languages = sorted(set(found.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are taken")
-    number = {x: i for i, x in enumerate(languages)}
-    counts, texts = np.zeros((BUCKETS, len(languages))), np.ones(len(languages))
-    if languages:
-        col = np.array([number[x] for x in found.column("lang").to_pylist()])
-        bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-        own = bucket >= 0
-        counts[bucket[own], col[own]] = n[own]
-        texts[col[~own]] = n[~own]
-    log_p = np.log(counts + alpha) - np.log(counts.sum(0) + alpha * BUCKETS)
-    return Model(languages, log_p.astype(np.float32), np.log(texts / max(1.0, texts.sum())))
+    sums = stash(sums, "language-counts")
+    found = {r["lang"]: r["n"] for r in sums.where("bucket = -1").select("lang", "n").collect()}  # a row a language
+    languages = sorted(found, key=lambda x: x.encode("utf-8", "surrogatepass"))  # as Spark compares strings
+    return Model(sums, languages, np.array([found[x] for x in languages], float), alpha)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row; columns of those names are replaced.
+    """Adds lang_pred and score to every row; other columns of those names are replaced.
 
     Null texts and texts without a letter get `und` and 0.0. Equal texts get equal
-    answers. Texts of any length are read whole, a stretch at a time.
+    answers; ties go to the first language by name. Texts of any length are read whole, a
+    stretch at a time. With over LANGUAGES languages, rows are scored against so many at a
+    time, written between, and keep the best and the sum of all so far.
     """
-    ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    df = df.drop("lang_pred", "score")
-    at = df.columns.index(text)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            found = [own.score(x) for x in batch.column(at).to_pylist()]
-            lang, p = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, p], [*batch.schema.names, "lang_pred", "score"])
-
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(score, schema)
+    spark = df.sparkSession
+    ship(spark)
+    df = df.drop(*({"lang_pred", "score"} - {text}))
+    others, at = df.columns, df.columns.index(text)
+    fields = [T.StructField("__lang", T.StringType()), T.StructField("__best", T.DoubleType()), T.StructField("__sum", T.DoubleType())]
+    schema = T.StructType([*df.schema.fields, *fields])
+    rows, first = df, True
+
+    def scored(shared, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block: Block = shared.value
+            for batch in batches:
+                texts = [x if has_letter(x) else None for x in batch.column(at).to_pylist()]
+                logits = block.logits(texts)
+                best = np.argmax(logits, axis=1) if len(texts) else np.zeros(0, int)
+                top = logits[np.arange(len(texts)), best]
+                total = top + np.log(np.exp(logits - top[:, None]).sum(1))
+                langs = [None if x is None else block.languages[k] for x, k in zip(texts, best.tolist(), strict=True)]
+                if not first:
+                    old = [batch.column(len(others) + k) for k in range(3)]
+                    best_so_far, sum_so_far = (np.array(x.to_pylist(), float) for x in old[1:])
+                    keep = best_so_far >= top
+                    langs = [o if k else n for o, n, k in zip(old[0].to_pylist(), langs, keep.tolist(), strict=True)]
+                    top, total = np.maximum(top, best_so_far), np.logaddexp(total, sum_so_far)
+                columns = [*batch.columns[: len(others)], pa.array(langs, pa.string()), pa.array(top), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, [*others, "__lang", "__best", "__sum"])
+
+        return run
+
+    for block in model.blocks():
+        if not first:
+            rows = stash(rows, "scored-so-far")
+        rows, first = rows.mapInArrow(scored(spark.sparkContext.broadcast(block), first), schema), False
+    if first:
+        return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
+    lang, score = F.coalesce("__lang", F.lit(UNDETERMINED)), F.when(F.col("__lang").isNull(), 0.0).otherwise(F.exp(F.col("__best") - F.col("__sum")))
+    return rows.select(*others, lang.alias("lang_pred"), score.alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
