@@ -1,8 +1,9 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm.winnowing import K, WINDOW, fingerprint, likeness, op3_winnowing
+from tessella.llm.winnowing import K, WINDOW, fingerprint, likeness, op3_winnowing, rolling, sliding_least, with_next
 from tests.llm.conftest import edge_rows, prose
 
 
@@ -18,15 +19,38 @@ def _brute(grams: list[int]) -> list[int]:
     return out
 
 
+def _rolled(h: list[int]) -> list[int]:
+    """One hash after another: turn, take out the word that leaves, take in the next."""
+    mask = 2**64 - 1
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & mask
+    now, out = 0, []
+    for i, x in enumerate(v & mask for v in h):
+        now = turn(now, 1) ^ x
+        if i >= K:
+            now ^= turn(h[i - K] & mask, K)
+        if i >= K - 1:
+            out.append(now - 2**64 if now >> 63 else now)
+    return out
+
+
 def test_positions_are_those_of_the_definition(spark):
     texts = [prose(i, n) for i, n in enumerate((5, 6, 20, 21, 100, 700))] + [" ".join(["same"] * 60), "a b " * 40]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     h = F.transform(F.split(F.lower(F.trim("text")), " "), lambda w: F.xxhash64(w))
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - K), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(K)]))
-    for r in df.withColumn("h", h).select("text", grams.alias("g"), fingerprint(F.col("text")).alias("f")).collect():
-        want = _brute(r.g)
+    for r in df.withColumn("h", h).select("text", "h", fingerprint(F.col("text")).alias("f")).collect():
+        grams = _rolled(r.h)
+        want = _brute(grams)
         assert [x.position for x in r.f] == want
-        assert [x.hash for x in r.f] == [r.g[i] for i in want]
+        assert [x.hash for x in r.f] == [grams[i] for i in want]
+
+
+@pytest.mark.parametrize(("k", "window"), [(1, 1), (2, 3), (3, 7), (7, 16), (13, 5)])
+def test_any_lengths(spark, k, window):
+    values = [(i * 2654435761) % 1000 - 500 for i in range(40)]
+    df = spark.createDataFrame([(values,)], "v array<bigint>")
+    least, rolled = df.select(sliding_least(F.col("v"), window), rolling(F.col("v"), k)).first()
+    assert least == [min(values[i : i + window]) for i in range(len(values) - window + 1)]
+    assert len(rolled) == len(values) - k + 1
 
 
 def test_shared_runs_share_a_fingerprint(spark):
@@ -67,3 +91,13 @@ def test_many_buckets(spark, tmp_path):
     for k, (i, text) in enumerate(docs):
         half = len(text) // 2
         assert got[i] == hashlib.sha256((text[: len(text) - half] + docs[(k + 1) % len(docs)][1][:half]).encode()).hexdigest()
+
+
+def test_other_columns_and_repeated_keys(spark, clashing):
+    """Successors in the order of (key, hash), each row once, other columns as they were."""
+    out = with_next(clashing.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", lambda d: d, ["text"])
+    assert out.count() == clashing.count() and set(out.columns) == set(clashing.columns) | {"next_text"}
+    assert out.first()["size"] == "own size"
+    same = spark.createDataFrame([(7, f"text {i}") for i in range(1500)], "doc_id long, text string")
+    rows = with_next(same, "doc_id", lambda d: d, ["text"]).collect()
+    assert len(rows) == 1500 and len({r.next_text for r in rows}) == 1500
