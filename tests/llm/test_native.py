@@ -272,6 +272,66 @@ def test_every_notice_after_a_long_text_of_licence_words(spark):
     assert all(got[i].get(t.label) == 1.0 for i, t in enumerate(licences.TEMPLATES)) and got[99] == {}
 
 
+def _votes(words, template, index, rarest=24):
+    """The share of postings that agree, by trying every place."""
+    own = licences.words_of(template.text)
+    rare = [w for w in index.rarest_first if w in own][:rarest]
+    slack, n = max(1, len(own) // 10), len(own)
+    best = 0
+    for shift in {0, slack // 2}:
+        bins = {}
+        for i, w in enumerate(words):
+            if w in rare:
+                for p, v in enumerate(own):
+                    if v == w:
+                        bins.setdefault((i - p + n + shift) // slack, set()).add(p)
+        best = max([best, *map(len, bins.values())])
+    return best / sum(own.count(w) for w in rare)
+
+
+def _licence_texts():
+    """Licence texts with edits, and prose that only holds their key phrases among shuffled licence words."""
+    rnd, rows = random.Random(3), []
+    for k, t in enumerate(licences.BODIES):
+        words = t.text.split()
+        for j in range(4):
+            edited = [w if rnd.random() > 0.06 else rnd.choice(["Acme", "2024", "Jane Doe"]) for w in words]
+            edited[5:5] = ["Copyright", "(c)", "2023"][: j % 4]
+            rows.append((f"{'x ' * (7 * j)}{t.phrase}. {' '.join(edited)} {licences.BODIES[(k + j) % len(licences.BODIES)].text if j == 3 else ''}", {t.label} | ({licences.BODIES[(k + 3) % len(licences.BODIES)].label} if j == 3 else set())))
+            mixed = words[:]
+            rnd.shuffle(mixed)
+            rows.append((f"They discuss {t.phrase} at length. {' '.join(mixed)}", set()))
+    return rows
+
+
+def test_alignment_equals_brute_force_and_beats_the_phrase_alone(spark):
+    rows = _licence_texts()
+    templates = licences.BODIES
+    index = licences.Index(templates)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: {m.label: round(m.score, 9) for m in r.matches} for r in licences.scan(df, templates=templates).collect()}
+    right = wrong = missed = by_phrase = 0
+    for i, (text, labels) in enumerate(rows):
+        words = licences.words_of(text)
+        line = f" {' '.join(words)} "
+        want = {t.label: round(s, 9) for t in templates if f" {' '.join(licences.words_of(t.phrase))} " in line and (s := _votes(words, t, index)) >= 0.6}
+        assert got[i] == want
+        right, wrong, missed = right + len(labels & set(got[i])), wrong + len(set(got[i]) - labels), missed + len(labels - set(got[i]))
+        by_phrase += len({t.label for t in templates if f" {' '.join(licences.words_of(t.phrase))} " in line} - labels)
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95, (right, wrong, missed)
+    assert by_phrase >= 30
+
+
+def test_several_licences_and_their_places(spark):
+    mit, zlib_, bsd = (next(t.text for t in licences.BODIES if t.label == x) for x in ("mit", "zlib", "bsd"))
+    df = spark.createDataFrame([(1, f"{'word ' * 100}{mit}\n{'and ' * 50}{zlib_} {bsd}")], "doc_id long, text string")
+    found = {}
+    for m in licences.scan(df).first().matches:
+        found.setdefault(m.label, []).append(m.start)
+    assert set(found) == {"mit", "zlib", "bsd"}
+    assert any(abs(x - 100) <= 20 for x in found["mit"]) and any(abs(x - 150 - len(licences.words_of(mit))) <= 20 for x in found["zlib"])
+
+
 def test_licence_scan_replaces_its_columns(spark, clashing):
     out = licences.scan(clashing)
     assert out.count() == clashing.count() and set(out.columns) == set(clashing.columns)
