@@ -8,10 +8,12 @@ size: a block's sets stand in a trie in the global order, a set is probed agains
 node by node so that common beginnings are intersected once, and subtrees whose
 remaining length can't bring the overlap needed are left out.
 
-Equal sets are one set from the start. Documents that meet are first compared with one
-leader each, which joins most of a group of copies by a link per document; after that
-only documents of different components are compared, all that share a prefix n-gram.
-So no links between different texts are lost, and no group is expanded into its pairs.
+Equal sets are one set from the start. Documents that meet are first compared in blocks of
+those that share one leader, which joins most of a group of copies by a link per document.
+Of what is left, documents stay that share so much of their whole sets with documents of
+other components as a link asks for, and those that still share a prefix n-gram are
+compared. So no links between different texts are lost, no group is expanded into its
+pairs, and a passage that many documents share brings none of them together.
 """
 
 from __future__ import annotations
@@ -254,18 +256,19 @@ def _summaries(n: int):
     return run
 
 
-def _prefixes(order, n: int, percent: int):
-    """The prefix n-grams of each text."""
+def _prefixes(order, n: int, percent: int, whole: bool = False):
+    """The prefix n-grams of each text, or all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, len(whole), 500):
-                batch = whole.slice(k, 500)
+        for rows in batches:
+            for k in range(0, len(rows), 500):
+                batch = rows.slice(k, 500)
                 ids, codes = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     own = order.value.arrange(ngram_set(text, n))
                     size = len(own)
-                    own = own[: size - (percent * size + 99) // 100 + 1 + size // SPARE]
+                    if not whole:
+                        own = own[: size - (percent * size + 99) // 100 + 1 + size // SPARE]
                     ids.append(np.full(len(own), doc, np.int64))
                     codes.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(ids))], ["gram", "id"])
@@ -363,6 +366,24 @@ def _of_several(own: DataFrame) -> DataFrame:
     return out
 
 
+def _covered(own: DataFrame, rows: DataFrame, sets: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """The rows of `own` (gram, id, c, k) whose documents share `percent` of their whole sets with documents of other components.
+
+    Either document of a link does. Those that have no more in common than a passage,
+    however many they are, drop out here before any text is compared.
+    """
+    ids = stash(own.select("id", "c").distinct(), "candidates")
+    grams = rows.join(ids.select("id"), "id", "left_semi").mapInArrow(_prefixes(order, n, percent, whole=True), "gram long, id long")
+    grams = stash(grams.join(ids, "id"), "candidate-sets")
+    several = _of_several(grams)
+    discard(grams)
+    needed = sets.where("id is not null").groupBy("id").agg(F.min("n").alias("n"))
+    enough = several.groupBy("id").count().join(needed, "id").where(F.col("count") * 100 >= F.col("n") * percent).select("id")
+    left = stash(own.join(stash(enough, "covered"), "id", "left_semi"), "covered-shared")
+    discard(several, own, ids)
+    return _of_several(left)
+
+
 def _dealt(rows: DataFrame, size: str) -> DataFrame:
     """Rows (key, role, id) of groups of `size` documents dealt into pairs of blocks, so that any two meet in one part."""
     rows = rows.withColumn("parts", F.ceil(F.col(size) / BLOCK).cast("long")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")))
@@ -443,9 +464,9 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     sizes = chosen.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
     sizes = stash(sizes, "leader-sizes")
     part, leader = F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"), F.col("leader").alias("key")
-    followers = chosen.join(sizes, "leader").select(leader, part.alias("part"), F.lit(1).cast("long").alias("role"), "id")
+    followers = chosen.join(sizes, "leader").select(leader, part.alias("part"), F.col("id").alias("role"), "id")
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    led = sizes.select(leader, parts, F.lit(0).cast("long").alias("role"), F.col("leader").alias("id"))
+    led = sizes.select(leader, parts, F.col("leader").alias("role"), F.col("leader").alias("id"))
     links = stash(_linked(followers.union(led), texts, order, n, percent), "leader-links")
     joined = components(links)
 
@@ -462,6 +483,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     discard(several)
     own = _of_several(open_)
     discard(open_)
+    own = _covered(own, rows, sets, order, n, percent)
     blocks = _blocks(own)
     rest = stash(_linked(blocks, texts, order, n, percent), "other-links")
     joined = components(joined.union(rest))
