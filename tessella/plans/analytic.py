@@ -125,7 +125,8 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "math_functions",
     """
     SELECT c_custkey, abs(c_acctbal) AS size, CAST(floor(c_acctbal) AS BIGINT) AS low, CAST(ceil(c_acctbal) AS BIGINT) AS high, round(sqrt(abs(c_acctbal)), 6) AS root,
-           round(ln(abs(c_acctbal) + 1), 6) AS log, CAST(sign(c_acctbal) AS DOUBLE) AS sgn, round(c_acctbal, 1) AS tenth, c_custkey % 7 AS remainder
+           round(ln(abs(c_acctbal) + 1), 6) AS log, CAST(sign(c_acctbal) AS DOUBLE) AS sgn, round(c_acctbal, 1) AS tenth, c_custkey % 7 AS remainder,
+           round(power(abs(c_acctbal), 0.75), 4) AS powered
     FROM customer
     """,
 )
@@ -134,6 +135,7 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", a.alias("size"), as_long(F.floor("c_acctbal")).alias("low"), as_long(F.ceil("c_acctbal")).alias("high"), F.round(F.sqrt(a), 6).alias("root"),
         F.round(F.ln(a + 1), 6).alias("log"), F.sign("c_acctbal").alias("sgn"), F.round("c_acctbal", 1).alias("tenth"), (F.col("c_custkey") % 7).alias("remainder"),
+        F.round(F.power(a, F.lit(0.75)), 4).alias("powered"),
     )
 
 
@@ -230,3 +232,15 @@ def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions(table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes", F.count(F.lit(1)).alias("n"))
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("hash_functions", "SELECT p_partkey, md5(p_name) AS md5, sha256(p_name) AS sha256 FROM part")
+def hash_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.md5("p_name").alias("md5"), F.sha2("p_name", 256).alias("sha256"))
+
+
+@query("distinct_by_digest", "SELECT sha256(p_name || p_brand) AS digest, min(p_partkey) AS first_key, count(*) AS n FROM part GROUP BY digest")
+def distinct_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct value by its digest: what is shuffled is 64 characters a task and value, however long the values."""
+    digest = F.sha2(F.concat("p_name", "p_brand"), 256).alias("digest")
+    return table(spark, sf_dir, "part").groupBy(digest).agg(F.min("p_partkey").alias("first_key"), F.count(F.lit(1)).alias("n"))

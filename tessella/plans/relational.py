@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import as_long
-from tessella.operators.temporal import range_join, salted_sum, top_per_group
+from tessella.operators.quantiles import exact_quantiles
+from tessella.operators.temporal import dominance_counts, range_join, salted_sum, top_per_group
 from tessella.plans.registry import query
 from tessella.tables import register_views, table
 
@@ -108,10 +109,8 @@ def not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def inequality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inequalities beside an equality, which spreads the work."""
-    p, q = table(spark, sf_dir, "part").alias("p"), table(spark, sf_dir, "part").alias("q")
-    on = (F.col("p.p_brand") == F.col("q.p_brand")) & (F.col("p.p_retailprice") < F.col("q.p_retailprice")) & (F.col("p.p_size") > F.col("q.p_size"))
-    return p.join(q, on).groupBy("p.p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    """Two inequalities beside an equality, counted without making the pairs."""
+    return dominance_counts(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_retailprice", "p_size", "n")
 
 
 @query(
@@ -233,8 +232,16 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
-        F.round(F.median("c_acctbal"), 4).alias("middle"), F.round(F.percentile("c_acctbal", F.lit(0.9)), 4).alias("upper")
+    """By cells and ranks: the built-in `percentile` would keep all values of a segment in one task."""
+    found = exact_quantiles(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", {"middle": 0.5, "upper": 0.9})
+    return found.select("c_mktsegment", F.round("middle", 4).alias("middle"), F.round("upper", 4).alias("upper"))
+
+
+@query("builtin_percentiles", "SELECT o_custkey, round(median(o_totalprice), 4) AS middle, round(quantile_cont(o_totalprice, 0.9), 4) AS upper FROM orders GROUP BY o_custkey")
+def builtin_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a customer's orders are small: the built-in aggregates do."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.round(F.median("o_totalprice"), 4).alias("middle"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("upper")
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.registry import query
-from tessella.streaming import drained, running_totals, session_counts, sliding_counts, table_stream, tumbling_counts, with_event_time
+from tessella.streaming import drained, replayed, running_totals, session_counts, sliding_counts, table_stream, tumbling_counts, visit_starts, with_event_time
+from tessella.tables import table
 
 #: Windows that end by the watermark, which is the latest event less the delay, are final.
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -82,3 +84,52 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals in keyed state; the last of each key is that of all events."""
     rows = drained(running_totals(table_stream(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value"), "state")
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events before and from the middle of the month on."""
+    events = table(spark, sf_dir, "events")
+    return events.where("ts < timestamp_ntz '2024-01-15 00:00:00'"), events.where("ts >= timestamp_ntz '2024-01-15 00:00:00'")
+
+
+@query(
+    "stream_late_data",
+    f"""
+    SELECT start, n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events
+      WHERE event_type <> 'error' OR ts >= TIMESTAMP '2024-01-15' GROUP BY 1) WHERE start + INTERVAL 6 HOUR <= {_CLOSED}
+    """,
+)
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the first half arrive after all else: their windows are closed by then, so they don't count."""
+    first, second = _halves(spark, sf_dir)
+    stream = replayed([first.where("event_type <> 'error'"), second, first.where("event_type = 'error'")], "late")
+    return _ntz(drained(tumbling_counts(with_event_time(stream, "ts", "1 hour"), "ts", "6 hours"), "late-counts"))
+
+
+@query("stream_distinct_within_watermark", "SELECT event_id, event_type FROM events")
+def stream_distinct_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice, in one batch or in two; ids are held as state until the watermark has passed them."""
+    first, second = _halves(spark, sf_dir)
+    errors = F.col("event_type") == "error"
+    stream = replayed([first.union(first.where(errors)), first.where(~errors).union(second), second], "twice")
+    once = with_event_time(stream, "ts", "40 days").dropDuplicatesWithinWatermark(["event_id"])
+    return drained(once.select("event_id", "event_type"), "once")
+
+
+@query(
+    "stream_visits",
+    """
+    SELECT user_id, ts AS start FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+    WHERE before IS NULL OR ts - before >= INTERVAL 12 HOUR
+    """,
+)
+def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of visits, by keyed state with timers, over several batches."""
+    stream = with_event_time(replayed(list(_halves(spark, sf_dir)), "visits"), "ts", "1 hour").select("user_id", "ts")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    try:
+        return _ntz(drained(visit_starts(stream, "user_id", "ts", pd.Timedelta(hours=12)), "visit-starts"))
+    finally:
+        spark.conf.set(name, before)

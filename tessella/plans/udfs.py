@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.registry import query
-from tessella.sources import read, write
+from tessella.sources import read, write, write_bucketed
 from tessella.sources.scratch import scratch
 from tessella.tables import table
 
@@ -76,3 +79,64 @@ def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "orders-by-status")
     write(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey"), path, partition_by=["o_orderstatus"])
     return spark.read.parquet(path).where("o_orderstatus = 'P'").select("o_orderpriority", "o_orderkey")
+
+
+@query("bucketed_join", "SELECT o_orderpriority, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables bucketed by their key when they are written: the join shuffles neither."""
+    names = []
+    for name, key, columns in (("orders", "o_orderkey", ("o_orderkey", "o_orderpriority")), ("lineitem", "l_orderkey", ("l_orderkey", "l_quantity"))):
+        names.append(f"tessella_{name}_{uuid.uuid4().hex}")
+        write_bucketed(table(spark, sf_dir, name).select(*columns), names[-1], 8, [key])
+        atexit.register(_drop, spark, names[-1])
+    orders, lines = map(spark.table, names)
+    met = orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.groupBy("o_orderpriority").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@query(
+    "udf_longest_rise",
+    """
+    WITH r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_totalprice > lag(o_totalprice) OVER w THEN 0 ELSE 1 END AS fresh FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    g AS (SELECT o_custkey, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS k FROM r)
+    SELECT o_custkey, max(n)::BIGINT AS longest FROM (SELECT o_custkey, k, count(*) AS n FROM g GROUP BY o_custkey, k) GROUP BY o_custkey
+    """,
+)
+def udf_longest_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of rising order prices of each customer, whose orders are a group that fits a task."""
+
+    @F.pandas_udf("long")
+    def longest(order: pd.Series, price: pd.Series) -> int:
+        prices = price.to_numpy()[order.to_numpy().argsort()]
+        best = run = 1
+        for rises in prices[1:] > prices[:-1]:
+            run = run + 1 if rises else 1
+            best = max(best, run)
+        return best
+
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(longest("o_orderkey", "o_totalprice").alias("longest"))
+
+
+@query(
+    "udf_nearest_event",
+    """
+    SELECT e.event_id, min(abs(date_diff('second', e.ts, p.ts)))::BIGINT AS seconds FROM events e JOIN events p ON e.user_id = p.user_id
+    WHERE e.event_type = 'error' AND p.event_type = 'purchase' GROUP BY e.event_id
+    """,
+)
+def udf_nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error the purchase of its user that is nearest in time, before or after: both sides of a user sorted and merged once."""
+
+    def nearest(errors: pd.DataFrame, purchases: pd.DataFrame) -> pd.DataFrame:
+        met = pd.merge_asof(errors.sort_values("ts"), purchases[["ts"]].assign(at=purchases["ts"]).sort_values("ts"), on="ts", direction="nearest").dropna(subset=["at"])
+        seconds = (met["at"].dt.floor("s") - met["ts"].dt.floor("s")).dt.total_seconds().abs()
+        return pd.DataFrame({"event_id": met["event_id"], "seconds": seconds.astype("int64")})
+
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    errors, purchases = (events.where(F.col("event_type") == x).drop("event_type").groupBy("user_id") for x in ("error", "purchase"))
+    return errors.cogroup(purchases).applyInPandas(nearest, "event_id long, seconds long")

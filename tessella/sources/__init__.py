@@ -21,15 +21,25 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructTyp
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "error", **options: str) -> None:
-    """Writes a table; with `partition_by`, rows of one partition value go to few files."""
+    """Writes a table; with `partition_by`, rows of one partition value go to few files.
+
+    Rows are rebalanced by those columns: adaptive execution splits the tasks of values
+    that hold much of the table, and joins those of small ones.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"{fmt!r} is none of {FORMATS}")
     if partition_by:
-        df = df.repartition(*partition_by)
+        df = rebalanced(df, partition_by)
     writer = df.write.format(fmt).mode(mode).options(**({"header": "true"} | options if fmt == "csv" else options))
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def rebalanced(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of equal `by` in as few tasks as their size allows. Only SQL can say this by columns."""
+    names = ", ".join(f"`{c}`" for c in by)
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({names}) */ * FROM {{rows}}", rows=df)
+
+
 def write_bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str]) -> None:
     """A table of the catalog, bucketed and sorted by keys, so that joins on them need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

@@ -9,9 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; where that is unset, in a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new path in the folder named by spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster, whose
+    machines would each write to their own disk, that is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-        base = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        base = context.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessella.sources.scratch import scratch
 
@@ -19,6 +21,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def replayed(parts: Sequence[DataFrame], name: str) -> DataFrame:
+    """A stream that brings the rows of each part in a batch of its own, in this order."""
+    spark, path = parts[0].sparkSession, scratch(parts[0].sparkSession, name)
+    for i, part in enumerate(parts):  # a file source takes files by their time, which may be kept in whole seconds
+        time.sleep(1.1 if i else 0)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
     """The stream with `column` as a zoned timestamp, which watermarks need, and a watermark on it."""
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
@@ -59,3 +70,41 @@ def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+
+
+def visit_starts(stream: DataFrame, by: str, at: str, gap: pd.Timedelta) -> DataFrame:
+    """(by, start): the first event of each visit, which is over when `gap` goes by without another.
+
+    The state of a key is the time of its last event, and goes with a timer when the
+    watermark has passed the end of the visit. Events of one batch may come in any order,
+    batches come in order of time.
+    """
+    kind, stamp = stream.schema[by].dataType.simpleString(), stream.schema[at].dataType.simpleString()
+
+    class Visits(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", f"last {stamp}")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            times = pd.concat([frame[at] for frame in rows]).sort_values()
+            before = self.last.get()[0] if self.last.exists() else None
+            gaps = times.diff()
+            fresh = gaps.isna() | (gaps >= gap)
+            if before is not None and times.iloc[0] - pd.Timestamp(before) < gap:
+                fresh.iloc[0] = False
+            latest = times.iloc[-1] if before is None else max(times.iloc[-1], pd.Timestamp(before))
+            self.last.update((latest.to_pydatetime(),))
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((latest + gap).timestamp() * 1000))
+            yield pd.DataFrame({by: [key[0]] * int(fresh.sum()), "start": times[fresh].tolist()})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            self.last.clear()
+            yield pd.DataFrame({by: pd.Series([], dtype="int64"), "start": pd.Series([], dtype="datetime64[ns]")})
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(by).transformWithStateInPandas(Visits(), f"{by} {kind}, start {stamp}", "append", "EventTime")

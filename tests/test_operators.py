@@ -63,3 +63,67 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("drop table if exists bucketed_a")
         spark.sql("drop table if exists bucketed_b")
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from tessella.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [(None if k == 2 else f"g{k}", float(x)) for k in range(4) for x in (*rng.normal(size=700), *[0.25] * 400)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.a, r.b, r.c) for r in exact_quantiles(df, ["g"], "v", {"a": 0.0, "b": 0.37, "c": 0.5}).collect()}
+    assert set(got) == {r[0] for r in rows} - {"none"}
+    for g, found in got.items():
+        want = np.quantile([v for k, v in rows if k == g], [0.0, 0.37, 0.5])
+        assert np.allclose(found, want)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessella.sources.scratch import scratch
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        scratch(session, "x")
+
+
+def test_bucketed_join_shuffles_neither_side(spark):
+    from tessella.plans.udfs import bucketed_join
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = bucketed_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # that of the sum
+
+
+def test_rebalanced_rows_are_all_there(spark):
+    from tessella.sources import rebalanced
+
+    df = spark.range(1000).selectExpr("id", "if(id < 900, 'hot', cast(id as string)) as k")
+    out = rebalanced(df, ["k"])
+    assert out.count() == 1000 and "REBALANCE" in out._jdf.queryExecution().executedPlan().toString().upper()
+
+
+def test_dominance_counts(spark):
+    import random
+
+    from tessella.operators.temporal import dominance_counts
+
+    rnd = random.Random(2)
+    rows = [(i, "ab"[i % 2], float(rnd.randrange(12)), rnd.randrange(20)) for i in range(300)] + [(900, "a", None, 3), (901, None, 1.0, 0), (902, None, 0.0, 5)]
+    got = {r.k: r.n for r in dominance_counts(spark.createDataFrame(rows, "k long, g string, x double, y int"), ["g"], "k", "x", "y", "n").collect()}
+    want = {}
+    for k, g, x, y in rows:
+        n = sum(h == g and u is not None and x is not None and u > x and v < y for _, h, u, v in rows)
+        if n:
+            want[k] = n
+    assert got == want
