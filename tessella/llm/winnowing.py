@@ -24,6 +24,8 @@ WINDOW = 16
 POSITION = 30
 #: Rows of a bucket in which successors are found, and the most buckets: their starts are a constant of 16 MB then.
 ROWS, BUCKETS = 500, 1 << 20
+#: Bytes of text that one task takes, about.
+TASK_BYTES = 32 << 20
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -115,11 +117,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _bucket(place: Column, starts: list[tuple[int, int]]) -> Column:
-    """The last bucket that starts at or before a place, by a search in two steps."""
-    step = math.isqrt(len(starts) - 1) + 1
-    every, coarse = _places(starts), _places(starts[::step])
-    first = (F.size(F.filter(coarse, lambda b: b <= place)) - 1) * step
-    return let(first, lambda c: c + F.size(F.filter(F.slice(every, c + 1, step), lambda b: b <= place)) - 1)
+    """The last bucket that starts at or before a place, by a search among 16 starts at a time."""
+
+    def among(finer: Column) -> Callable[[Column], Column]:
+        return lambda c: c * 16 + F.size(F.filter(F.slice(finer, c * 16 + 1, F.lit(16)), lambda b: b <= place)) - 1
+
+    stride = 1
+    while 16 * stride < len(starts):
+        stride *= 16
+    at = F.size(F.filter(_places(starts[::stride]), lambda b: b <= place)) - 1
+    while stride > 1:
+        stride //= 16
+        at = let(at, among(_places(starts[::stride])))
+    return at
 
 
 def _places(starts: list[tuple[int, int]]) -> Column:
@@ -140,10 +150,10 @@ def with_next(df: DataFrame, key: str, carried: Callable[[DataFrame], DataFrame]
     """
     place = F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie"))
     keys = df.select(place.alias("p"))
-    n = keys.count()
+    n, n_bytes, first = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min(place)).first()
     parts = min(BUCKETS, -(-n // ROWS))
     drawn = keys.where(F.pmod(F.xxhash64("p.key", "p.tie", F.lit(3)), F.lit(max(1, n // max(1, parts)))) == 0) if parts > 1 else keys.limit(0)
-    starts = sorted({(r["key"], r["tie"]) for r in drawn.unionByName(keys.agg(F.min("p").alias("p"))).select("p.*").distinct().collect() if r["tie"] is not None})
+    starts = sorted({(r["key"], r["tie"]) for r in drawn.select("p.*").distinct().collect()} | ({tuple(first)} if first else set()))
     df = df.withColumn("__place", place)
     rows = df.withColumn("__bucket", _bucket(F.col("__place"), starts) if len(starts) > 1 else F.lit(0))
     starts_here = F.col("__place") == F.get(_places(starts), F.col("__bucket")) if starts else F.lit(True)
@@ -151,7 +161,8 @@ def with_next(df: DataFrame, key: str, carried: Callable[[DataFrame], DataFrame]
     own, guest = F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("guest")), F.struct(before.alias("b"), F.lit(True).alias("guest"))
     rows = rows.withColumn("__in", F.explode(F.when(starts_here, F.array(own, guest)).otherwise(F.array(own))))
     rows = rows.withColumn("__bucket", F.col("__in.b")).withColumn("__guest", F.col("__in.guest")).drop("__in")
-    rows = carried(rows.repartition("__bucket"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_BYTES)
+    rows = carried(rows.repartition(tasks, "__bucket"))
     order = W.partitionBy("__bucket").orderBy("__guest", "__place")
     for name in names:
         rows = rows.withColumn(f"next_{name}", F.lead(name).over(order))
