@@ -214,6 +214,8 @@ class _Items(HTMLParser):
         elif tag == "title":
             self.title = True
         elif tag in self.MEDIA:
+            if self.silent:
+                return
             own = dict(attrs)
             source = (own.get("src") or "").strip()
             if source.startswith("sha256:") or (self.every and source):
@@ -306,15 +308,24 @@ def resolve(rows: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as media, referred to from a page, resolved by digest and read back."""
+    """Every document's bytes as media, referred to from a page, resolved by digest and read back.
+
+    The page of a document has texts before, between and after two media: the stored
+    payload in a figure, and one that the store doesn't have, whose payload stays null.
+    Null texts count as empty; equal texts share one stored payload, read back once.
+    """
     store = stash(stored(documents(spark, sf_dir), "doc_id", "text"), "media")
     features = stash(media_features(store), "media-features")
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     page = F.concat(
-        F.lit("<article><p>Document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit('</p><figure><img src="sha256:'), F.col("digest"),
-        F.lit('" alt=""><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"),
-    )
-    resolved = resolve(interleaved(store.select("doc_id", "n_bytes", page.alias("html"))), features)
-    rows = resolved.select("doc_id", "n_bytes", F.filter("items", lambda x: x["kind"] == "media")[0].alias("m"))
+        F.lit("<html><head><title>store</title><body><article><h1>Document "), number, F.lit('</h1><p>What is stored:<figure><img src="sha256:'), F.col("digest"),
+        F.lit('" alt="payload"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(' bytes</figcaption></figure><p>What is not: <img src="sha256:'),
+        F.sha2(F.concat(F.lit("absent "), number), 256), F.lit('" alt="absent"> and the end.</article>'),
+    )
+    resolved = resolve(interleaved(store.select("doc_id", "n_bytes", "digest", page.alias("html"))), features)
+    media = F.filter("items", lambda x: x["kind"] == "media")
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: F.concat(x["position"].cast("string"), F.lit(":"), x["text"]))
+    rows = resolved.select("doc_id", "n_bytes", F.filter(media, lambda x: x["media"] == F.col("digest"))[0].alias("m"), F.filter(media, lambda x: x["media"] != F.col("digest"))[0].alias("other"), texts.alias("texts"))
     return rows.select(
         "doc_id",
         "n_bytes",
@@ -326,4 +337,8 @@ def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "m.payload.feature",
         F.col("m.position").alias("position"),
         F.col("m.caption").alias("caption"),
+        F.col("other.position").alias("absent_position"),
+        F.col("other.caption").alias("absent_caption"),
+        F.col("other.payload").isNull().alias("absent_unresolved"),
+        F.array_join("texts", "|").alias("texts"),
     )

@@ -63,7 +63,11 @@ def test_exact_round_trip_of_documents(spark, edge_dir, empty_dir):
         payload = padded(data)
         want.append((str(i), len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(to_png(payload)), hashlib.sha256(to_png(payload)).hexdigest()))
     assert sorted(want) == sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in rows)
-    assert all(r.feature.startswith("mean=") and r.position == 1 and r.caption == f"{r.n_bytes} bytes" for r in rows)
+    for r in rows:
+        assert r.feature.startswith("mean=") and r.position == 2 and r.caption == f"{r.n_bytes} bytes"
+        assert (r.absent_position, r.absent_caption, r.absent_unresolved) == (4, "absent", True)
+        number = "" if r.doc_id is None else f" {r.doc_id}"
+        assert r.texts == f"0:Document{number}|1:What is stored:|3:What is not:|5:and the end."
     assert op5_interleaved_media(spark, empty_dir).collect() == []
 
 
@@ -83,6 +87,7 @@ def test_other_columns_stay(spark, clashing):
         ("<figure><figure><img src=a.png></figure><img src=b.png><figcaption>both</figure>", [("a.png", "both"), ("b.png", "both")]),
         ("<html><head><title>T</title><meta charset=utf-8><body><p>x<img src=a.png>", ["x", ("a.png", None)]),
         ("<head><title>T</title><style>s</style></head><p>x", ["x"]),
+        ("<p>x<template><img src=a.png>t</template>y", ["xy"]),
     ],
 )
 def test_every_reference_and_caption(html, want):
@@ -95,3 +100,20 @@ def test_operator_keeps_every_reference(spark, tmp_path):
     pages = spark.createDataFrame([(1, "<img src=http://z/q.png alt=q><img src=sha256:aa>")], "page long, html string")
     (row,) = resolve(interleaved(pages), spark.read.parquet(f"{tmp_path}/m")).collect()
     assert [(x.media, x.caption, x.payload and x.payload.n) for x in row["items"]] == [("http://z/q.png", "q", None), ("aa", None, 5)]
+
+
+def test_payload_bytes_can_be_resolved_too(spark, tmp_path):
+    """Any columns of the store go along, its bytes included; items stay in order."""
+    data = to_png(padded(b"some bytes"))
+    digest = hashlib.sha256(data).hexdigest()
+    spark.createDataFrame([(digest, bytearray(data))], "digest string, media binary").write.parquet(f"{tmp_path}/m")
+    pages = spark.createDataFrame([(i, f"a{i}<img src=sha256:{digest}>b<img src=sha256:{digest}>c") for i in range(20)], "page long, html string")
+    for r in resolve(interleaved(pages), spark.read.parquet(f"{tmp_path}/m")).collect():
+        assert [x.text or from_png(bytes(x.payload.media)).rstrip(b"\0").decode() for x in r["items"]] == [f"a{r.page}", "some bytes", "b", "some bytes", "c"]
+
+
+def test_items_of_given_pages(spark):
+    """Texts of whole pages, in order, without scripts and styles."""
+    for r in interleaved(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect():
+        assert [x.position for x in r["items"]] == list(range(len(r["items"]))) and len(r["items"]) > 5
+        assert not any("track(" in x.text or "margin:0" in x.text for x in r["items"] if x.text)
