@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,29 +25,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-        named = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        named = context.getCheckpointDir()
     return named
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+#: Tables stashed within each open `scope`, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed inside are deleted at its end: whatever is read later has to be stashed by then with `keep`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran, never the
-    steps before, and steps that read the table twice see the same rows. The files go
+    steps before, and steps that read the table twice see the same rows. The files go at
+    the end of the `scope` that it stands in (with `keep`, of the one around that), else
     when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed = path
+    inside = _scopes[:-1] if keep else _scopes
+    if inside:
+        inside[-1].append(back)
+    else:
+        atexit.register(_remove, spark, path)
     return back
 
 
@@ -90,7 +112,24 @@ def number_rows(df: DataFrame, group: list[str], chunk: Column, order: list[Colu
     )
 
 
-def chunks_for(n_rows: int, rows_per_chunk: int = 4000, least: int = 16, most: int = 4096) -> int:
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], rows_per_chunk: int = 50_000) -> DataFrame:
+    """Adds to every row the sums over all rows before it in `order`, without bringing the table together.
+
+    The table is written in ranges of the order; only the ranges' own sums are added up in
+    one place. `order` has to tell rows apart; an empty table stays empty.
+    """
+    chunk, n = "__chunk", df.count()
+    ranged = stash(df.repartitionByRange(chunks_for(n, rows_per_chunk, 1), *order).withColumn(chunk, F.spark_partition_id()), "in-order")
+    before = W.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    zero = F.lit(0)
+    base = ranged.groupBy(chunk).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    base = base.select(chunk, *[F.coalesce(F.sum(k).over(before), zero).alias(f"__base_{k}") for k in sums])
+    inside = W.partitionBy(chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = ranged.join(base, chunk).withColumns({k: F.coalesce(F.sum(c).over(inside), zero) + F.col(f"__base_{k}") for k, c in sums.items()})
+    return rows.drop(chunk, *[f"__base_{k}" for k in sums])
+
+
+def chunks_for(n_rows: int, rows_per_chunk: int = 4000, least: int = 16, most: int = 1 << 20) -> int:
     """So many chunks that one holds a few thousand rows; the bound keeps the table of chunks small."""
     return max(least, min(most, -(-n_rows // rows_per_chunk)))
 

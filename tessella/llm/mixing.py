@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.llm.common import chunks_for, documents, n_words, number_rows, stash
+from tessella.llm.common import chunks_for, documents, n_words, number_rows, running_sums, stash
 
 #: The fractional part of the golden ratio, and that of its multiple by 2**20, which keeps points exact for large slots.
 GOLDEN = 0.6180339887498949
@@ -31,26 +31,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     take `weights` in turn. Together they get `share` times all sizes by weight; none
     gets over `most` times its own size, and what is over goes to the others by weight.
     That is a level L with target = min(most * size, weight * L), which sorting by
-    most * size / weight and two running sums give in one pass. The table has a row per
-    source, so these windows stay small however many documents there are.
+    most * size / weight and running sums give in one pass. The sums are taken in ranges of
+    the order, so that a table with a source per host doesn't meet in one task.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ranked = sizes.withColumn("idx", (F.row_number().over(by_name) - 1).cast("long"))
+    ranked = running_sums(sizes, [F.col("source").asc_nulls_last()], {"idx": F.lit(1).cast("long")})
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", turn).withColumn("cap", most * F.col("source_size").cast("double"))
-    earlier = W.orderBy(F.col("cap") / F.col("weight"), "idx").rowsBetween(W.unboundedPreceding, -1)
-    ranked = (
-        ranked.withColumn("goal", share * F.sum("source_size").over(everything).cast("double"))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-    )
-    full = F.col("cap_before") + F.col("cap") / F.col("weight") * (F.col("all_weight") - F.col("weight_before")) <= F.col("goal")
+    ranked = running_sums(ranked, [F.col("cap") / F.col("weight"), F.col("idx")], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    ranked = stash(ranked, "ranked-sources")
+    all_size, all_weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    goal = share * all_size
+    full = F.col("cap_before") + F.col("cap") / F.col("weight") * (F.lit(all_weight) - F.col("weight_before")) <= goal
     ranked = ranked.withColumn("full", full)
-    left = F.col("goal") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)
-    open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(everything)
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * left / open_weight)
+    used = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0))
+    filled, open_weight = ranked.agg(F.coalesce(used, F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))), F.lit(0.0))).first()
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * (goal - filled) / max(open_weight, 1e-300))
     return ranked.select("source", "idx", "weight", "source_size", F.least(target, F.col("cap")).alias("target"))
 
 
@@ -114,7 +109,8 @@ def mix(
     h = F.xxhash64("doc_id", F.lit(seed))
     chunk = (F.shiftright(h, 64 - n_chunks.bit_length() + 1) if n_chunks > 1 else F.lit(0)).cast("int")
     named = sources.select(F.col("source").alias("named"), "idx", "source_size", "target", "blocks", "base", "extra")
-    if sources.count() <= FEW_SOURCES:
+    n_sources = sources.count()
+    if n_sources <= FEW_SOURCES:
         named = F.broadcast(named)
     keyed = rows.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named")
     keyed = keyed.withColumn("h", h).withColumn("chunk", chunk)
@@ -127,10 +123,10 @@ def mix(
 
     # the schedule
     total = sources.agg(F.coalesce(F.sum("needs"), F.lit(0))).first()[0]
-    cells = 4096
-    up_to = W.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    high, all_slots = F.sum("needs").over(up_to), F.lit(float(max(1, total)))
-    shares = sources.where("needs > 0").select("idx", ((high - F.col("needs")) / all_slots).alias("low"), (high / all_slots).alias("high"))
+    cells = 1 << max(12, n_sources.bit_length())  # about one source's share each
+    all_slots = F.lit(float(max(1, total)))
+    shares = running_sums(sources.where("needs > 0").select("idx", "needs"), [F.col("idx")], {"below": F.col("needs")})
+    shares = shares.select("idx", (F.col("below") / all_slots).alias("low"), ((F.col("below") + F.col("needs")) / all_slots).alias("high"))
     first, last = F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1).cast("long"))
     shares = shares.withColumn("cell", F.explode(F.sequence(first, last)))
     points = spark.range(total).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))

@@ -115,8 +115,8 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every row's tokens: key, piece, start, length, ids_crc32.
+def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """The pieces of every row's tokens: key, piece, start, length, ids_crc32, and the ids themselves if asked for.
 
     A row's tokens are those of its whole text (null: empty), then the end id; rows of
     more than `capacity` tokens are cut, so every row gives at least one piece.
@@ -128,17 +128,23 @@ def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         for whole in batches:
             for k in range(0, len(whole), 400):
                 batch = whole.slice(k, 400)
-                out = []
+                out, ids = [], []
                 for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                     data = memoryview(data + end)
                     for piece, at in enumerate(range(0, len(data), width)):
                         own = data[at : at + width]
                         out.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
-
-    names, types = [key, "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(cut, f"{key} long, piece int, start long, length long, ids_crc32 long")
+                        if with_ids:
+                            ids.append(np.frombuffer(own, "<i4"))
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+                if with_ids:
+                    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names, types = [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    schema = f"{key} long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(cut, schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:

@@ -42,7 +42,7 @@ def shard(
     """Adds `shard`, `slot` (gapless from 0 in each shard) and, if `grown` weights are given, `grown_shard`.
 
     Only the columns of `df` are shuffled, once, to number the slots: keep payloads out.
-    Repeated keys share a shard and get slots of their own; an empty table stays empty.
+    Repeated keys share a shard and get slots of their own, in chunks by key and `order`; an empty table stays empty.
     Columns of `df` named shard, slot or grown_shard are replaced.
     """
     df = df.drop("shard", "slot", "grown_shard")
@@ -51,7 +51,7 @@ def shard(
         df = df.withColumn("grown_shard", rendezvous(F.col(key), grown))
     n = chunks_for(df.count())
     order_by = [F.col(c).asc_nulls_first() for c in (key, *order)]
-    return number_rows(df, ["shard"], salted(n, F.col(key)), order_by, "slot")
+    return number_rows(df, ["shard"], salted(n, F.col(key), *map(F.col, order)), order_by, "slot")
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

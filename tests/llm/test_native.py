@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import licences, mixing, secrets, sharding
+from tessella.llm.common import running_sums
 from tests.llm.conftest import edge_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -336,3 +337,33 @@ def test_licence_scan_replaces_its_columns(spark, clashing):
     out = licences.scan(clashing)
     assert out.count() == clashing.count() and set(out.columns) == set(clashing.columns)
     assert out.first()["size"] == "own size"
+
+
+def test_running_sums(spark):
+    """Over ranges of the order, equal to one pass over all rows."""
+    rows = [(i * 7919 % 1000, i % 13) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = {r.k: (r.a, r.n) for r in running_sums(df, [F.col("k")], {"a": F.col("v"), "n": F.lit(1)}, rows_per_chunk=60).collect()}
+    total = 0
+    for n, (k, v) in enumerate(sorted(rows)):
+        assert got[k] == (total, n)
+        total += v
+    assert running_sums(df.limit(0), [F.col("k")], {"a": F.col("v")}).collect() == []
+
+
+def test_many_sources(spark):
+    """A source per document: targets as by resharing, sizes never over twice."""
+    rows = [(i, f"s{i:04d}", 1 + i % 9) for i in range(700)]
+    laid, spans = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), slots=100)
+    want = _targets({s: n for _, s, n in rows})
+    for r in mixing.taken(laid, spans).collect():
+        assert abs(r.target - want[r.source]) < 1e-6 and abs(r.taken - r.target) <= 1 and r.taken <= 2 * r["size"]
+
+
+def test_hot_keys_are_split_when_sharding(spark):
+    df = spark.createDataFrame([(None if i % 3 else i, i) for i in range(3000)], "k long, v long")
+    out = sharding.shard(df, "k", order=("v",)).collect()
+    hot = [r for r in out if r.k is None]
+    assert len(out) == 3000 and len({r.shard for r in hot}) == 1
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))

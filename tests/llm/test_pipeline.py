@@ -1,8 +1,14 @@
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.conftest import SCHEMA, edge_rows
+from tessella.llm.common import shared_dir
+from tests.llm.conftest import SCHEMA, edge_rows, prose
 
 
 def _apply(spark, docs, tmp_path, upto=5):
@@ -33,8 +39,12 @@ def test_clean_documents_stay(spark, tmp_path):
 
 def test_run_and_no_rows(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).collect() == []
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and all(r.length >= 1 for r in rows)
+    assert rows and all(r.length == len(r.ids) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    new = [p.name for p in set(folder.iterdir()) - before]  # what was written on the way is gone
+    assert len(new) == 1 and new[0].startswith("stage-packing")
 
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
@@ -51,3 +61,27 @@ def test_secrets_of_rows_without_id(spark):
     rows = [(None, f"a key {secret} here", "en", "s1", 0), (None, "no key", "en", "s1", 0), (1, f"its {secret} too", "en", None, 0)]
     out = corpus_pipeline.secret_scan(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r.text for r in out) == ["a key [SECRET] here", "its [SECRET] too", "no key"]
+
+
+def test_packing_keeps_no_other_columns_and_runs_beside_them(spark):
+    docs = spark.createDataFrame(edge_rows(), SCHEMA).withColumns({c: F.lit(f"own {c}") for c in ("piece", "length", "start", "offset", "sequence_id", "ids", "idx")})
+    out = corpus_pipeline.packed(spark, docs, "").collect()
+    sizes = {}
+    for r in out:
+        sizes.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert {r.doc_id for r in out} == {i for i, *_ in edge_rows()}
+    for own in sizes.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    text, other = prose(40, 60), prose(41, 60)
+    near = text.replace(text.split()[30], "changed", 1)
+    rows = [(3, text), (3, text), (5, near), (None, text), (7, other), (7, near), (None, prose(42, 60)), (None, prose(42, 60)), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s1", None) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(3, text), (7, other), (None, prose(42, 60)), (9, None), (10, "")])
