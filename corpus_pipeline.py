@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join, langid, mixing, packing, secrets
-from tessella.llm.common import documents, n_words, stash
+from tessella.llm.common import discard, documents, n_words, scope, stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near duplicates."""
-    found = jaccard_join.similar_components(docs)
-    others = stash(found.where("component_id <> doc_id").select("doc_id"), "near-duplicates")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document of every group of near duplicates: that of the smallest id, null ids last.
+
+    Rows that repeat id and text are one document, of which one row stays; rows of one id
+    and different texts are documents of their own. Texts without words are nobody's
+    duplicates.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.similar_components(keyed.select("__key", "text"), key="__key").select("__key", "component_id")
+    found = stash(found.distinct(), "components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    keepers = keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(F.min_by("__key", order).alias("__key"))
+    others = stash(found.join(keepers, "__key", "left_anti").select("__key"), "near-duplicates")
+    again = stash(keyed.groupBy("__key").count().where("count > 1").select("__key"), "repeated-rows")
+    kept = keyed.join(others, "__key", "left_anti")
+    once = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return once.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret."""
+    """All documents, with a mark in place of every secret; null and empty texts and null ids as they are."""
     model = secrets.train(secrets.labelled_findings(spark, secrets.excerpts(docs)))
     rows = docs.withColumn("__text", F.xxhash64("text"))
     found = secrets.scan(rows.select("doc_id", "__text", "source", "text"), model)
@@ -48,9 +60,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of 4096 tokens."""
-    pieces = stash(packing.token_pieces(docs, packing.default_tokenizer()), "pieces")
-    return packing.pack(pieces, ["doc_id", "piece"])
+    """The pieces of all documents with their token ids, in sequences of 4096 tokens; null and empty texts are an end id.
+
+    Places are found without the ids, which are joined to them at the end.
+    """
+    pieces = packing.token_pieces(docs, packing.default_tokenizer(), with_ids=True)
+    pieces = stash(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    placed = packing.pack(pieces.drop("ids"), ["doc_id", "piece", "__row"])
+    return placed.join(pieces.select("__row", "ids"), "__row").drop("__row")
 
 
 STAGES = [
@@ -66,8 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents, each written and read again; what a stage wrote on its way goes when it is done, its own rows when the next is."""
+    docs, before = documents(spark, sf_dir), []
+    for name, stage in STAGES:
+        with scope(spark):
+            docs = stash(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        discard(*before)
+        before = [docs]
+    return docs
