@@ -115,13 +115,16 @@ def number_rows(df: DataFrame, group: list[str], chunk: Column, order: list[Colu
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], rows_per_chunk: int = 50_000) -> DataFrame:
     """Adds to every row the sums over all rows before it in `order`, without bringing the table together.
 
-    The table is written in ranges of the order; only the ranges' own sums are added up in
-    one place. `order` has to tell rows apart; an empty table stays empty.
+    The table is written in ranges of the order, of `rows_per_chunk` rows or so; only the
+    ranges' own sums are added up in one place. One range is one window. `order` has to
+    tell rows apart; an empty table stays empty.
     """
-    chunk, n = "__chunk", df.count()
-    ranged = stash(df.repartitionByRange(chunks_for(n, rows_per_chunk, 1), *order).withColumn(chunk, F.spark_partition_id()), "in-order")
+    chunk, zero, parts = "__chunk", F.lit(0), chunks_for(df.count(), rows_per_chunk, 1)
+    if parts == 1:
+        all_before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumns({k: F.coalesce(F.sum(c).over(all_before), zero) for k, c in sums.items()})
+    ranged = stash(df.repartitionByRange(parts, *order).withColumn(chunk, F.spark_partition_id()), "in-order")
     before = W.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)  # a row a range
-    zero = F.lit(0)
     base = ranged.groupBy(chunk).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     base = base.select(chunk, *[F.coalesce(F.sum(k).over(before), zero).alias(f"__base_{k}") for k in sums])
     inside = W.partitionBy(chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

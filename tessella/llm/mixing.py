@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     most * size / weight and running sums give in one pass. The sums are taken in ranges of
     the order, so that a table with a source per host doesn't meet in one task.
     """
-    ranked = running_sums(sizes, [F.col("source").asc_nulls_last()], {"idx": F.lit(1).cast("long")})
+    ranked = running_sums(stash(sizes, "source-sizes"), [F.col("source").asc_nulls_last()], {"idx": F.lit(1).cast("long")})
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", turn).withColumn("cap", most * F.col("source_size").cast("double"))
     ranked = running_sums(ranked, [F.col("cap") / F.col("weight"), F.col("idx")], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
