@@ -35,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = stash(found.join(keepers, "__key", "left_anti").select("__key"), "near-duplicates")
     again = stash(keyed.groupBy("__key").count().where("count > 1").select("__key"), "repeated-rows")
     kept = keyed.join(others, "__key", "left_anti")
-    once = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
-    return once.select(*docs.columns)
+    if not again.isEmpty():  # only rows that are repeated meet to be one
+        kept = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
