@@ -319,13 +319,13 @@ def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     page = F.concat(
         F.lit("<html><head><title>store</title><body><article><h1>Document "), number, F.lit('</h1><p>What is stored:<figure><img src="sha256:'), F.col("digest"),
-        F.lit('" alt="payload"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(' bytes</figcaption></figure><p>What is not: <img src="sha256:'),
-        F.sha2(F.concat(F.lit("absent "), number), 256), F.lit('" alt="absent"> and the end.</article>'),
+        F.lit('" alt="payload"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(' bytes</figcaption></figure><p>What is not: <img src="absent-'),
+        number, F.lit('.png" alt="absent"> and the end.</article>'),
     )
-    resolved = resolve(interleaved(store.select("doc_id", "n_bytes", "digest", page.alias("html"))), features)
+    resolved = resolve(interleaved(store.select("doc_id", "n_bytes", page.alias("html"))), features)
     media = F.filter("items", lambda x: x["kind"] == "media")
     texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: F.concat(x["position"].cast("string"), F.lit(":"), x["text"]))
-    rows = resolved.select("doc_id", "n_bytes", F.filter(media, lambda x: x["media"] == F.col("digest"))[0].alias("m"), F.filter(media, lambda x: x["media"] != F.col("digest"))[0].alias("other"), texts.alias("texts"))
+    rows = resolved.select("doc_id", "n_bytes", media[0].alias("m"), media[1].alias("other"), texts.alias("texts"))
     return rows.select(
         "doc_id",
         "n_bytes",
