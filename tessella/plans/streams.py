@@ -100,9 +100,16 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """,
 )
 def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the first half arrive after all else: their windows are closed by then, so they don't count."""
+    """Errors of the first half arrive after all else: their windows are closed by then, so they don't count.
+
+    What is late in a batch is told by the watermark that held when the batch before it
+    began, which knows the events up to the batch before that one. So the second half comes
+    in two batches: the first of them moves the watermark past all windows of the first
+    half, and the second lets the errors' batch know.
+    """
     first, second = _halves(spark, sf_dir)
-    stream = replayed([first.where("event_type <> 'error'"), second, first.where("event_type = 'error'")], "late")
+    day, rest = second.where("ts < timestamp_ntz '2024-01-16 00:00:00'"), second.where("ts >= timestamp_ntz '2024-01-16 00:00:00'")
+    stream = replayed([first.where("event_type <> 'error'"), day, rest, first.where("event_type = 'error'")], "late")
     return _ntz(drained(tumbling_counts(with_event_time(stream, "ts", "1 hour"), "ts", "6 hours"), "late-counts"))
 
 
