@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators.ordered import ROWS, running
 
-def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, values: Sequence[str], prefix: str = "as_of_") -> DataFrame:
+
+def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, values: Sequence[str], prefix: str = "as_of_", rows: int = ROWS) -> DataFrame:
     """Every row of `left` with the latest row of `right` of the same key at or before its time.
 
-    Both sides go once through one shuffle on the key, and a running window carries the
-    last values: nothing is joined pair by pair. Of several right rows of one time, that
-    of the greatest values counts. Rows without an earlier match get nulls.
+    Both sides stand in one order of key and time, which is cut into ranges; the last row
+    of `right` is carried on within a range and from range to range. Nothing is joined pair
+    by pair, and a key of any size costs no more than its rows. Of several right rows of
+    one time, that of the greatest values counts. Rows without an earlier match get nulls,
+    and so do rows with a null in the key or time: like in any join, null equals nothing.
     """
-    side, packed = "__side", "__packed"
     names = [time, *values]
-    a = left.withColumn(side, F.lit(1)).withColumn(packed, F.lit(None).cast(right.select(F.struct(*names).alias("x")).schema["x"].dataType))
-    b = right.select(*by, time, F.lit(0).alias(side), F.struct(*names).alias(packed))
-    order = W.partitionBy(*by).orderBy(F.col(time).asc(), F.col(side).asc(), F.col(packed).asc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(packed, F.last(packed, ignorenulls=True).over(order))
-    found = [F.col(f"{packed}.{c}").alias(f"{prefix}{c}") for c in names]
-    return both.where(F.col(side) == 1).select(*left.columns, *found)
+    keyed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*by, time)])
+    held = right.where(keyed).select(*by, time, F.lit(0).alias("__side"), F.struct(*names).alias("__packed"))
+    nothing = F.lit(None).cast(held.schema["__packed"].dataType)
+    asks = left.withColumn("__side", F.lit(1)).withColumn("__packed", nothing)
+    both = asks.where(keyed).unionByName(held, allowMissingColumns=True)
+    met = running(both, by, [time, "__side", "__packed"], lasts={"__found": F.col("__packed")}, rows=rows).where("__side = 1")
+    met = met.unionByName(asks.where(~keyed).withColumn("__found", nothing))
+    return met.select(*left.columns, *[F.col(f"__found.{c}").alias(f"{prefix}{c}") for c in names])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
@@ -40,25 +46,26 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, cell).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(cell)
 
 
-def dominance_counts(df: DataFrame, by: Sequence[str], key: str, greater: str, less: str, out: str) -> DataFrame:
+def dominance_counts(df: DataFrame, by: Sequence[str], key: str, greater: str, less: str, out: str, rows: int = ROWS) -> DataFrame:
     """(key, out): for each row, how many of its `by` have a greater `greater` and a lesser `less`, a whole number from 0 up.
 
     The join on both inequalities, counted without its pairs: every row stands in a node
     of each level of a binary tree over `less`, asks the few nodes that make up all lesser
-    values, and one ordered pass per node counts what is greater. So n rows cost n times
-    the bits of `less`, not n squared. Keys are unique; rows with nulls and rows that
-    count nothing are left out.
+    values, and a running sum in falling order of `greater` counts what stands above, in
+    ranges where a node is large. So n rows cost n times the bits of `less`, not n squared.
+    Keys are unique; rows with nulls in `by`, `greater` or `less` and rows that count
+    nothing are left out.
     """
-    top = df.agg(F.max(less)).first()[0]
+    top = df.agg(F.max(less)).first()[0]  # one number: the depth of the tree
     bits = max(1, int(top or 0).bit_length())
-    rows = df.select(*by, key, F.col(greater).alias("__x"), F.col(less).cast("long").alias("__y")).where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    points = df.select(*by, key, F.col(greater).alias("__x"), F.col(less).cast("long").alias("__y"))
+    points = points.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*by, "__x", "__y")]))
     node = lambda level: F.shiftright("__y", level)
-    stands = rows.select(*by, "__x", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), node(i).alias("node")) for i in range(bits)])).alias("at"), F.lit(1).alias("__one"), F.lit(None).cast(df.schema[key].dataType).alias(key))
+    stands = points.select(*by, "__x", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), node(i).alias("node")) for i in range(bits)])).alias("at"), F.lit(1).alias("__one"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     lesser = F.array_compact(F.array(*[F.when(node(i).bitwiseAND(F.lit(1)) == 1, F.struct(F.lit(i).alias("level"), (node(i) - 1).alias("node"))) for i in range(bits)]))
-    asks = rows.select(*by, "__x", F.explode(lesser).alias("at"), F.lit(0).alias("__one"), key)
-    order = W.partitionBy(*by, "at").orderBy(F.desc("__x"), "__one").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = stands.unionByName(asks).withColumn("__n", F.sum("__one").over(order)).where(F.col("__one") == 0)
-    return seen.groupBy(key).agg(F.sum("__n").alias(out)).where(F.col(out) > 0)
+    asks = points.select(*by, "__x", F.explode(lesser).alias("at"), F.lit(0).alias("__one"), key)
+    seen = running(stands.unionByName(asks), [*by, "at"], ["__x desc", "__one"], sums={"__n": F.col("__one")}, rows=rows)
+    return seen.where("__one = 0").groupBy(key).agg(F.sum("__n").alias(out)).where(F.col(out) > 0)
 
 
 def sessions(df: DataFrame, by: str, time: str, gap: str, *aggregates: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.functions import as_long, cosine, weekday_from_sunday
+from tessella.operators.ordered import ranks
 from tessella.operators.temporal import as_of_join, sessions, top_per_group
 from tessella.plans.registry import query
 from tessella.tables import table
@@ -21,10 +22,26 @@ from tessella.tables import table
     """,
 )
 def rank_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    s = W.partitionBy("c_nationkey").orderBy("c_mktsegment")
-    ranks = {"rn": F.row_number().over(w), "rk": F.rank().over(s), "dr": F.dense_rank().over(s), "quarter": F.ntile(4).over(w)}
-    return table(spark, sf_dir, "customer").select("c_custkey", *[as_long(v).alias(k) for k, v in ranks.items()])
+    """Ranks by nation, of whatever size: no window holds a nation."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    rows = ranks(customers, ["c_nationkey"], ["c_acctbal", "c_custkey"], {"rn": "row_number", "quarter": ("ntile", 4)}, unique=True)
+    return ranks(rows, ["c_nationkey"], ["c_mktsegment"], {"rk": "rank", "dr": "dense_rank"}).select("c_custkey", "rn", "rk", "dr", "quarter")
+
+
+@query(
+    "global_ranks",
+    """
+    SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr,
+           round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, ntile(100) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS percentile
+    FROM orders WINDOW w AS (ORDER BY o_orderdate DESC)
+    """,
+)
+def global_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks over the whole table as one key: by price, without ties, and by day, with many."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    rows = ranks(orders, [], ["o_totalprice desc", "o_orderkey"], {"rn": "row_number", "percentile": ("ntile", 100)}, unique=True)
+    rows = ranks(rows, [], ["o_orderdate desc"], {"rk": "rank", "dr": "dense_rank", "pr": "percent_rank", "cd": "cume_dist"})
+    return rows.select("o_orderkey", "rn", "rk", "dr", F.round("pr", 9).alias("pr"), F.round("cd", 9).alias("cd"), "percentile")
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -22,3 +24,24 @@ def scratch(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         base = context.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read back: it is computed once, whoever reads it and however often.
+
+    A lost executor then costs the tasks that it ran and none of the steps before. The
+    files go when the driver's Python ends, as lazy results may read them until then.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder; without a live session nothing happens, and the folder's owner cleans up."""
+    if spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Exception):  # the JVM may have gone before Python
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -10,12 +10,22 @@ from tessella.sources import read, write, write_bucketed
 def test_as_of_join_takes_the_latest_at_or_before(spark):
     t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     left = spark.createDataFrame([(1, "a", t(5)), (2, "a", t(1)), (3, "b", t(9)), (4, None, t(3))], "id int, k string, ts timestamp")
-    right = spark.createDataFrame([("a", t(5), 1), ("a", t(5), 7), ("a", t(3), 3), ("b", t(10), 4)], "k string, ts timestamp, v int")
+    right = spark.createDataFrame([("a", t(5), 1), ("a", t(5), 7), ("a", t(3), 3), ("b", t(10), 4), (None, t(1), 9), ("a", None, 8)], "k string, ts timestamp, v int")
     rows = as_of_join(left, right, ["k"], "ts", ["v"])
     assert sorted((r.id, r.as_of_v) for r in rows.collect()) == [(1, 7), (2, None), (3, None), (4, None)]
     assert rows.columns == ["id", "k", "ts", "as_of_ts", "as_of_v"]
 
 
+def test_as_of_join_of_a_hot_key(spark):
+    """Nine tenths of both sides have one key, whose rows stand in many ranges."""
+    side = lambda n, m: spark.range(n).select((F.col("id") * m % 997).cast("int").alias("t"), F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(7).alias("k"), F.col("id").alias("v"))
+    left, right = side(900, 7), side(300, 31)
+    got = as_of_join(left, right, ["k"], "t", ["v"], rows=50)
+    best = left.alias("a").join(right.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("b.t") <= F.col("a.t")), "left")
+    want = best.groupBy("a.t", "a.k", "a.v").agg(F.max(F.struct("b.t", "b.v")).alias("m")).select("t", "k", "v", "m.t", "m.v")
+    assert sorted(map(str, got.collect())) == sorted(str(r).replace("t=", "as_of_t=").replace("v=", "as_of_v=").replace("as_of_t=", "t=", 1).replace("as_of_v=", "v=", 1) for r in want.collect())
+
+
 def test_range_join_equals_comparing_all(spark):
     points = spark.range(200).select((F.col("id") * 1.7 - 50).alias("x"))
     ranges = spark.range(40).select(F.col("id").alias("r"), (F.col("id") * 9.0 - 60).alias("a"), (F.col("id") * 9.0 - 60 + F.col("id") % 7 * 5).alias("b"))
@@ -123,7 +133,7 @@ def test_dominance_counts(spark):
     got = {r.k: r.n for r in dominance_counts(spark.createDataFrame(rows, "k long, g string, x double, y int"), ["g"], "k", "x", "y", "n").collect()}
     want = {}
     for k, g, x, y in rows:
-        n = sum(h == g and u is not None and x is not None and u > x and v < y for _, h, u, v in rows)
+        n = sum(h == g and g is not None and u is not None and x is not None and u > x and v < y for _, h, u, v in rows)
         if n:
             want[k] = n
     assert got == want
