@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import jaccard_join
+from tessella.llm import jaccard_join, linededup
 from tessella.llm.jaccard_join import op7_ngram_jaccard_join
 from tessella.llm.langid import op1_language_id
+from tessella.llm.linededup import op13_cuckoo_line_dedup
 from tessella.llm.licences import op9_licence_scan
 from tessella.llm.media import op5_interleaved_media
 from tessella.llm.mixing import op6_low_discrepancy_mix
@@ -29,8 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_licence_scan": op9_licence_scan,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op13_cuckoo_line_dedup": op13_cuckoo_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op13_cuckoo_line_dedup": linededup.ORACLE_SQL,
 }
