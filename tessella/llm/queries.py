@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import jaccard_join, linededup
+from tessella.llm import divergence, jaccard_join, linededup
 from tessella.llm.jaccard_join import op7_ngram_jaccard_join
+from tessella.llm.divergence import op11_heavy_light_divergence
 from tessella.llm.importance import op12_crc_importance
 from tessella.llm.langid import op1_language_id
 from tessella.llm.linededup import op13_cuckoo_line_dedup
@@ -31,12 +32,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_licence_scan": op9_licence_scan,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op11_heavy_light_divergence": op11_heavy_light_divergence,
     "op12_crc_importance": op12_crc_importance,
     "op13_cuckoo_line_dedup": op13_cuckoo_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_heavy_light_divergence": op11_heavy_light_divergence,
     "op12_crc_importance": op12_crc_importance,
+    "op11_heavy_light_divergence": divergence.ORACLE_SQL,
     "op13_cuckoo_line_dedup": linededup.ORACLE_SQL,
 }

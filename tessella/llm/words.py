@@ -12,18 +12,23 @@ import pyarrow.compute as pc
 PART_BYTES = 4 << 20
 
 
-def parts(batch: pa.RecordBatch, text: int, size: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batch of about `size` bytes of text, one row at least, with their texts: nulls empty, A-Z lower-cased."""
+def slices(batch: pa.RecordBatch, text: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    ends, start = np.cumsum(lengths), 0
+    ends, start = np.cumsum(lengths, dtype=np.int64), 0
     while start < len(batch):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
-        part = batch.slice(start, stop - start)
-        yield part, pc.ascii_lower(pc.fill_null(part.column(text), "")).to_pylist()
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def parts(batch: pa.RecordBatch, text: int, size: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Those slices with their texts: nulls empty, A-Z lower-cased."""
+    for part in slices(batch, text, size):
+        yield part, pc.ascii_lower(pc.fill_null(part.column(text), "")).to_pylist()
+
+
 class Numbers(dict):
     """A number for each word, in the order that they come in."""
 
