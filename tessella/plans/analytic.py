@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.functions import as_long, cosine, weekday_from_sunday
+from tessella.operators.neighbours import build, recall, search
 from tessella.operators.ordered import ranks
 from tessella.operators.temporal import as_of_join, sessions, top_per_group
 from tessella.plans.registry import query
@@ -261,3 +262,20 @@ def distinct_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct value by its digest: what is shuffled is 64 characters a task and value, however long the values."""
     digest = F.sha2(F.concat("p_name", "p_brand"), 256).alias("digest")
     return table(spark, sf_dir, "part").groupBy(digest).agg(F.min("p_partkey").alias("first_key"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "vector_neighbours",
+    """
+    SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings) - 1)::BIGINT AS neighbours, TRUE AS recall_reached
+    FROM embeddings WHERE vec_id % 50 = 0
+    """,
+)
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors to every fiftieth, by an index of all vectors; `recall_reached` says that at least nine in ten of them are the right ones."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = build(vectors, "vec_id", "embedding")
+    queries = vectors.where("vec_id % 50 = 0")
+    reached = recall(index, queries, "vec_id", "embedding") >= 0.9
+    found = search(index, queries, "vec_id", "embedding").groupBy("query_id").agg(F.count(F.lit(1)).alias("neighbours"))
+    return found.withColumn("recall_reached", F.lit(reached))
