@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import as_long
+from tessella.operators.fixpoint import reachable
+from tessella.operators.intervals import overlap_join
 from tessella.operators.quantiles import exact_quantiles
 from tessella.operators.temporal import dominance_counts, range_join, salted_sum, top_per_group
 from tessella.plans.registry import query
+from tessella.sources.scratch import written
 from tessella.tables import register_views, table
 
 
@@ -357,3 +360,62 @@ _CASE = """
 def case_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, "part")
     return spark.sql(_CASE)
+
+
+@query(
+    "interval_overlap",
+    """
+    WITH ship AS (SELECT l_orderkey, min(l_shipdate) AS low, max(l_shipdate) + INTERVAL 1 DAY AS high FROM lineitem GROUP BY l_orderkey),
+    a AS (SELECT o_orderkey AS order_key, o_custkey AS cust, o_orderdate AS low, o_orderdate + INTERVAL 60 DAY AS high FROM orders),
+    b AS (SELECT o_orderkey AS ship_key, o_custkey AS cust, s.low, s.high FROM orders JOIN ship s ON o_orderkey = l_orderkey
+          UNION ALL SELECT -c_custkey, c_custkey, TIMESTAMP '1900-01-01', TIMESTAMP '2100-01-01' FROM customer)
+    SELECT order_key, ship_key FROM a JOIN b ON a.cust = b.cust AND a.low < b.high AND b.low < a.high
+    """,
+)
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the shipping spans of its customer's orders that meet its first 60 days, and the customer's own span over all time."""
+    orders, day = table(spark, sf_dir, "orders"), F.expr("interval 1 day")
+    opened = orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("low"), (F.col("o_orderdate") + 60 * day).alias("high"))
+    spans = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("low2"), (F.max("l_shipdate") + day).alias("high2"))
+    shipped = orders.join(spans, "o_orderkey").select(F.col("o_orderkey").alias("ship_key"), F.col("o_custkey").alias("cust"), "low2", "high2")
+    ever = [F.lit(x).cast("timestamp_ntz") for x in ("1900-01-01", "2100-01-01")]
+    always = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("ship_key"), F.col("c_custkey").alias("cust"), ever[0].alias("low2"), ever[1].alias("high2"))
+    met = overlap_join(opened, shipped.unionByName(always), "low", "high", ["cust"], "low2", "high2")
+    return met.select("order_key", "ship_key")
+
+
+@query(
+    "busy_spans",
+    """
+    WITH s AS (SELECT user_id, event_id, ts AS low, ts + to_minutes(5 + (event_id % 40)::INT * (CASE WHEN event_id % 97 = 0 THEN 600 ELSE 1 END)) AS high FROM events WHERE event_type IN ('purchase', 'error'))
+    SELECT a.event_id, count(*) AS others FROM s a JOIN s b ON a.low < b.high AND b.low < a.high AND a.event_id <> b.event_id GROUP BY a.event_id
+    """,
+)
+def busy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other spans each span of an event overlaps, of whatever key; some spans last weeks."""
+    events = table(spark, sf_dir, "events").where("event_type in ('purchase', 'error')")
+    minutes = F.expr("5 + (event_id % 40) * if(event_id % 97 = 0, 600, 1)").cast("int")
+    spans = events.select("event_id", F.col("ts").alias("low"), (F.col("ts") + F.make_dt_interval(mins=minutes)).alias("high"))
+    met = overlap_join(spans, spans.withColumnsRenamed({"event_id": "other", "low": "low2", "high": "high2"}), "low", "high", (), "low2", "high2")
+    return met.where("event_id <> other").groupBy("event_id").agg(F.count(F.lit(1)).alias("others"))
+
+
+_PARTNERS = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 47"
+
+
+@query(
+    "reachable_nodes",
+    f"""
+    WITH RECURSIVE l AS MATERIALIZED ({_PARTNERS}),
+    e AS MATERIALIZED (SELECT 'supplier ' || s AS a, 'part ' || p AS b FROM l UNION ALL SELECT 'part ' || p, 'supplier ' || s FROM l),
+    r(node, hops) AS (SELECT 'supplier ' || s_suppkey, 0 FROM supplier WHERE s_nationkey = 3 UNION SELECT e.b, r.hops + 1 FROM r JOIN e ON r.node = e.a WHERE r.hops < 40)
+    SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY node
+    """,
+)
+def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts that large returns link to the suppliers of one nation, over any number of steps."""
+    large = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 47").select("l_suppkey", "l_partkey").distinct()
+    names = large.select(F.concat(F.lit("supplier "), "l_suppkey").alias("a"), F.concat(F.lit("part "), "l_partkey").alias("b"))
+    both = names.unionByName(names.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    start = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("supplier "), "s_suppkey"))
+    return reachable(written(both, "edges"), "a", "b", start)
