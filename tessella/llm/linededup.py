@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, ship, stash
+from tessella.llm.words import slices
 
 #: The six ASCII white-space characters, which are stripped from both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,6 +21,8 @@ SLOTS = 4
 KICKS = 500
 #: Filters up to this size are sent to the tasks that read documents; beyond it every line meets the exact table.
 FILTER_BYTES = 32 << 20
+#: As many exact counts (16 bytes and an id each) are sent along with them; beyond it lines and counts meet by join.
+EXACT_KEYS = 1 << 20
 
 _KEYS = "k1 long, k2 long"
 
@@ -108,11 +111,17 @@ def line_keys(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.n
     return rows, halves[:, 0], halves[:, 1], long
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few MB of text at a time, which stands in the second column."""
+    for batch in batches:
+        yield from slices(batch, 1)
+
+
 def references(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(k1, k2, doc_id): every document with each key of its lines once."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             rows, k1, k2, long = line_keys(batch.column(1), least)
             once = np.unique(np.stack([rows, k1, k2], axis=1)[long], axis=0)
             ids = batch.column(0).take(pa.array(once[:, 0]))
@@ -223,53 +232,124 @@ def _filters(moves: DataFrame, filters: DataFrame, shards: int, room: int) -> Da
 # Documents without their repeated lines.
 
 
-def _hits(docs: DataFrame, store: LineStore) -> DataFrame:
-    """(doc_id, text, n_lines, h1, h2): the keys of a document's lines that the filters hold, all of them where the filters are too large to be sent."""
-    least, shards, sent = store.least, store.shards, None
-    if (store.filters.agg(F.sum(F.octet_length("table"))).first()[0] or 0) <= FILTER_BYTES:
-        tables = {r.shard: np.frombuffer(r.table, np.uint16).reshape(-1, SLOTS) for r in store.filters.collect()}
-        sent = docs.sparkSession.sparkContext.broadcast(tables)
+class _Filters:
+    """All filters, in a task."""
+
+    def __init__(self, tables: dict[int, np.ndarray], shards: int) -> None:
+        self.tables, self.shards = tables, shards
+
+    def hold(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        out, own = np.zeros(len(k1), bool), np.mod(k1, self.shards)
+        for shard in np.unique(own):
+            if (table := self.tables.get(int(shard))) is not None:
+                mine = own == shard
+                out[mine] = cuckoo_contains(table, k2[mine])
+        return out
+
+
+class _Exact:
+    """The exact counts of the keys that lose lines, in a task: sorted by k1, the ids as they are."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.sort_by("k1").combine_chunks()
+        self.k1, self.k2 = (rows.column(i).to_numpy() for i in (0, 1))
+        self.last = rows.column(2).combine_chunks()
+        runs = np.unique(self.k1, return_counts=True)[1]
+        self.longest = int(runs.max()) if len(runs) else 0  # keys that share the half that is sorted by
+
+    def place(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """The key's row, or -1."""
+        out, first = np.full(len(k1), -1), np.searchsorted(self.k1, k1)
+        for step in range(self.longest):
+            at = np.minimum(first + step, len(self.k1) - 1)
+            out = np.where((self.k1[at] == k1) & (self.k2[at] == k2), at, out)
+        return out
+
+
+def _sent(store: LineStore) -> _Filters | None:
+    """The filters, where they are small enough to be sent to the tasks."""
+    if (store.filters.agg(F.sum(F.octet_length("table"))).first()[0] or 0) > FILTER_BYTES:
+        return None
+    return _Filters({r.shard: np.frombuffer(r.table, np.uint16).reshape(-1, SLOTS) for r in store.filters.collect()}, store.shards)
+
+
+def _cut(batch: pa.RecordBatch, rows: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, text, n_lines, n_dropped) without the lines that are gone."""
+    n_lines, n_dropped = (np.bincount(rows[x], minlength=len(batch)) for x in (slice(None), gone))
+    texts, starts = pc.fill_null(batch.column(1), ""), np.concatenate([[0], np.cumsum(n_lines)])
+    if touched := np.flatnonzero(n_dropped).tolist():
+        texts = texts.to_pylist()
+        for i in touched:
+            lost = gone[starts[i] : starts[i + 1]].tolist()
+            texts[i] = "\n".join(line for line, x in zip(texts[i].split("\n"), lost, strict=True) if not x)
+    columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines), pa.array(n_dropped)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_dropped"])
+
+
+def _cut_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
+
+
+def _decided_in_tasks(docs: DataFrame, filters: _Filters, hot: DataFrame, least: int) -> DataFrame:
+    """Filters and exact counts are both sent: every text is read once and moved nowhere."""
+    sent = docs.sparkSession.sparkContext.broadcast((filters, _Exact(hot.toArrow())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        filters, exact = sent.value
+        for batch in _some(batches):
             rows, k1, k2, long = line_keys(batch.column(1), least)
-            hit = long.copy()
-            if sent is not None:
-                at = np.flatnonzero(long)
-                own = np.mod(k1[at], shards)
-                for shard in np.unique(own):
-                    mine = at[own == shard]
-                    table = sent.value.get(int(shard))
-                    hit[mine] = cuckoo_contains(table, k2[mine]) if table is not None else False
+            gone, at = np.zeros(len(rows), bool), np.flatnonzero(long)
+            at = at[filters.hold(k1[at], k2[at])]
+            place = exact.place(k1[at], k2[at])
+            at, place = at[place >= 0], pa.array(place[place >= 0])
+            own, last = batch.column(0).take(pa.array(rows[at])), exact.last.take(place)
+            same = pc.or_(pc.fill_null(pc.equal(own, last), False), pc.and_(pc.is_null(own), pc.is_null(last)))
+            gone[at] = ~same.to_numpy(zero_copy_only=False)
+            yield _cut(batch, rows, gone)
+
+    return docs.mapInArrow(of, _cut_schema(docs))
+
+
+def _hits(docs: DataFrame, filters: _Filters | None, least: int) -> DataFrame:
+    """(doc_id, text, h1, h2): the keys of a document's lines that the filters hold, all of them where the filters are too large to be sent."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _some(batches):
+            rows, k1, k2, long = line_keys(batch.column(1), least)
+            hit, at = long.copy(), np.flatnonzero(long)
+            if sent.value is not None:
+                hit[at] = sent.value.hold(k1[at], k2[at])
             once = np.unique(np.stack([rows, k1, k2], axis=1)[hit], axis=0)
             offsets = pa.array(np.searchsorted(once[:, 0], np.arange(len(batch) + 1)), pa.int32())
             keys = [pa.ListArray.from_arrays(offsets, pa.array(once[:, i])) for i in (1, 2)]
-            n_lines = pa.array(np.bincount(rows, minlength=len(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(batch.column(1), ""), n_lines, *keys], ["doc_id", "text", "n_lines", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *keys], ["doc_id", "text", "h1", "h2"])
 
-    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(of, f"doc_id {kind}, text string, n_lines long, h1 array<long>, h2 array<long>")
+    return docs.mapInArrow(of, f"doc_id {kind}, text string, h1 array<long>, h2 array<long>")
 
 
 def _without(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): texts without the lines whose keys stand in `drops`."""
+    """Texts without the lines whose keys stand in `drops`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, k1, k2, _ = line_keys(batch.column("text"), least)
-            starts = np.searchsorted(rows, np.arange(len(batch) + 1))
-            texts, dropped = [], []
-            for i, (text, drops) in enumerate(zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist(), strict=True)):
-                gone = {(d["k1"], d["k2"]) for d in drops}
-                own = slice(starts[i], starts[i + 1])
-                kept = [line for line, a, b in zip(text.split("\n"), k1[own].tolist(), k2[own].tolist(), strict=True) if (a, b) not in gone]
-                texts.append("\n".join(kept))
-                dropped.append(starts[i + 1] - starts[i] - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("n_lines"), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+        for batch in _some(batches):
+            rows, k1, k2, _ = line_keys(batch.column(1), least)
+            drops = [{(d["k1"], d["k2"]) for d in x or ()} for x in batch.column("drops").to_pylist()]
+            gone = np.fromiter(((a, b) in drops[i] for i, a, b in zip(rows.tolist(), k1.tolist(), k2.tolist(), strict=True)), bool, len(rows))
+            yield _cut(batch, rows, gone)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "n_lines", "drops").mapInArrow(of, f"doc_id {kind}, text string, n_lines long, n_dropped long")
+    return docs.select("doc_id", "text", "drops").mapInArrow(of, _cut_schema(docs))
+
+
+def _decided_by_joins(docs: DataFrame, filters: _Filters | None, hot: DataFrame, least: int) -> DataFrame:
+    """Lines that the filters hold meet the exact counts by join; documents that lose one are shuffled with their texts."""
+    hits = stash(_hits(docs, filters, least), "line-hits").withColumn("__row", F.monotonically_increasing_id())
+    lines = hits.select("__row", "doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("__row", "doc_id", F.col("h.h1").alias("k1"), F.col("h.h2").alias("k2"))
+    dropped = lines.join(hot, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    drops = stash(dropped.groupBy("__row").agg(F.collect_list(F.struct("k1", "k2")).alias("drops")), "line-drops")
+    whole = hits.join(drops.select("__row"), "__row", "left_anti").withColumn("drops", F.lit(None).cast(drops.schema["drops"].dataType))
+    return _without(whole.select("doc_id", "text", "drops").unionByName(hits.join(drops, "__row").select("doc_id", "text", "drops")), least)
 
 
 def kept_lines(docs: DataFrame, store: LineStore, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,22 +359,21 @@ def kept_lines(docs: DataFrame, store: LineStore, key: str = "doc_id", text: str
     of under `least` code points are never dropped. A key that the store holds from
     `copies` documents or more loses its lines in all documents but the one of the
     largest id; null ids come before all others, and if all ids of a key are null, its
-    lines stay. Lines are split at "\n" and joined by it; null and empty texts are one
+    lines stay. Lines are split at "\\n" and joined by it; null and empty texts are one
     empty line. Rows that repeat an id each count as a document; of the largest id all
     rows keep their lines. Other columns are left out. An empty table gives none.
 
     Every line asks the filters; only those that they hold meet the exact counts, which
-    decide. Only documents that hold such a line are shuffled with their texts.
+    decide. Where the filters and the exact counts of their keys are small (FILTER_BYTES
+    and EXACT_KEYS, both checked), tasks get both and texts stay where they are; else the
+    lines that filters hold meet the counts by join.
     """
+    ship(docs.sparkSession)
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    hits = stash(_hits(named, store), "line-hits").withColumn("__row", F.monotonically_increasing_id())
-    asked = hits.where(F.size("h1") > 0)
-    lines = asked.select("__row", "doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("__row", "doc_id", F.col("h.h1").alias("k1"), F.col("h.h2").alias("k2"))
     hot = store.counts.where(F.col("docs") >= store.copies).select("k1", "k2", "last")
-    dropped = lines.join(hot, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    drops = stash(dropped.groupBy("__row").agg(F.collect_list(F.struct("k1", "k2")).alias("drops")), "line-drops")
-    whole = hits.join(drops.select("__row"), "__row", "left_anti").select("doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_dropped"))
-    return whole.unionByName(_without(hits.join(drops, "__row"), store.least))
+    filters = _sent(store)
+    few = filters is not None and hot.count() <= EXACT_KEYS
+    return (_decided_in_tasks if few else _decided_by_joins)(named, filters, hot, store.least)
 
 
 def op13_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,8 +79,10 @@ def test_a_full_filter_is_built_anew(spark):
     assert found(kept_lines(df(few + many), store)) == brute(few + many)
 
 
-def test_without_filters_in_the_tasks(spark, monkeypatch):
-    monkeypatch.setattr("tessella.llm.linededup.FILTER_BYTES", -1)
+@pytest.mark.parametrize("bound", ["FILTER_BYTES", "EXACT_KEYS"])
+def test_by_joins(spark, monkeypatch, bound):
+    """Without exact counts in the tasks, with and without filters there."""
+    monkeypatch.setattr(f"tessella.llm.linededup.{bound}", -1)
     rows = corpus(4, 40)
     docs = spark.createDataFrame(rows, SCHEMA)
     assert found(kept_lines(docs, LineStore.of(docs))) == brute(rows)
