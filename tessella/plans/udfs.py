@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.aggregates import exact_sum, regression
+from tessella.operators.tables import CHANGES
 from tessella.plans.registry import query
+from tessella.shipping import ship
 from tessella.sources import read, write, write_bucketed
-from tessella.sources.scratch import scratch
+from tessella.sources.scratch import scratch, written
+from tessella.sources.segments import SegmentSource, segment_rows
+from tessella.streaming import drained, tumbling_counts, with_event_time
 from tessella.tables import table
 
 
@@ -140,3 +147,98 @@ def udf_nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     errors, purchases = (events.where(F.col("event_type") == x).drop("event_type").groupBy("user_id") for x in ("error", "purchase"))
     return errors.cogroup(purchases).applyInPandas(nearest, "event_id long, seconds long")
+
+
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+@contextlib.contextmanager
+def _segments(spark: SparkSession, sf_dir: str, pieces: int) -> Iterator[str]:
+    """A folder of the events in order of time, a segment a file, with the data source ready to read it."""
+    ship(spark)
+    spark.dataSource.register(SegmentSource)
+    path = scratch(spark, "segments")
+    table(spark, sf_dir, "events").repartitionByRange(pieces, "ts").sortWithinPartitions("ts").write.parquet(path)
+    before = spark.conf.get(PUSHDOWN)
+    spark.conf.set(PUSHDOWN, "true")
+    try:
+        yield path
+    finally:
+        spark.conf.set(PUSHDOWN, before)
+
+
+@query(
+    "segment_source",
+    """
+    SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, TRUE AS fewer_segments FROM events
+    WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15' AND event_type <> 'view' GROUP BY event_type
+    """,
+)
+def segment_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five days through a Python data source: of 24 segments in order of time, the filter leaves few; the source makes no tasks for the others."""
+    with _segments(spark, sf_dir, 24) as path:
+        days = segment_rows(spark, path, "ts >= timestamp_ntz '2024-01-10 00:00:00' and ts < timestamp_ntz '2024-01-15 00:00:00' and event_type <> 'view'")
+        fewer = days.rdd.getNumPartitions() <= 8 and segment_rows(spark, path).rdd.getNumPartitions() >= 16
+        return written(days.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")), "five-days").withColumn("fewer_segments", F.lit(fewer))
+
+
+@query(
+    "segment_stream",
+    """
+    SELECT start, n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY 1)
+    WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+    """,
+)
+def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same source as a stream, some segments a batch, which counts windows as the watermark passes them."""
+    with _segments(spark, sf_dir, 8) as path:
+        stream = spark.readStream.format("segments").option("segmentsPerBatch", 3).load(path)
+        counts = tumbling_counts(with_event_time(stream, "ts", "1 hour"), "ts", "6 hours")
+        return drained(counts, "segment-counts", ends=False).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "udaf_regression",
+    """
+    WITH m AS (SELECT l_linestatus, avg(l_quantity) AS mx, avg(l_tax) AS mz, avg(l_extendedprice) AS my FROM lineitem GROUP BY l_linestatus),
+    s AS (SELECT l.l_linestatus, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my, sum((l_quantity - mx) * (l_quantity - mx)) AS xx, sum((l_tax - mz) * (l_tax - mz)) AS zz,
+      sum((l_quantity - mx) * (l_tax - mz)) AS xz, sum((l_quantity - mx) * (l_extendedprice - my)) AS xy, sum((l_tax - mz) * (l_extendedprice - my)) AS zy
+      FROM lineitem l JOIN m ON l.l_linestatus = m.l_linestatus GROUP BY l.l_linestatus),
+    b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM s)
+    SELECT l_linestatus, round(my - bx * mx - bz * mz, 3) AS intercept, round(bx, 4) AS per_quantity, round(bz, 3) AS per_tax FROM b
+    """,
+)
+def udaf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices explained by two columns at once: an aggregate of one's own, in partial states, which built-ins have for one column only."""
+    rows = regression(table(spark, sf_dir, "lineitem"), ["l_linestatus"], ["l_quantity", "l_tax"], "l_extendedprice")
+    c = F.col("coefficients")
+    return rows.select("l_linestatus", F.round(c[0], 3).alias("intercept"), F.round(c[1], 4).alias("per_quantity"), F.round(c[2], 3).alias("per_tax"))
+
+
+@query(
+    "udaf_exact_sum",
+    """
+    SELECT CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'most' END AS kind, round(sum(value::DECIMAL(38, 12))::DOUBLE, 6) AS total FROM events GROUP BY 1
+    """,
+)
+def udaf_exact_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of doubles that don't depend on the order of rows, of keys one of which has nine tenths of them."""
+    kind = F.when(F.col("event_id") % 10 == 0, F.col("event_type")).otherwise("most").alias("kind")
+    rows = table(spark, sf_dir, "events").select(kind, "value")
+    return exact_sum(rows, ["kind"], "value", "total").withColumn("total", F.round("total", 6))
+
+
+@query(
+    "udtf_changes",
+    """
+    WITH r AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR lag(event_id) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM r)
+    SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, any_value(event_type) AS event_type, count(*) AS run_rows FROM g GROUP BY user_id, k
+    """,
+)
+def udtf_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one kind of event of each user, by a table function that takes any table: its columns come out as they went in, and a count."""
+    ship(spark)
+    spark.udtf.register("changes", CHANGES)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return spark.sql("SELECT * FROM changes(TABLE({events}) PARTITION BY (user_id) ORDER BY (ts, event_id), 'event_type')", events=events)

@@ -35,12 +35,21 @@ def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that the stream gives for what is there now, through a file sink, which writes each row exactly once."""
+def drained(stream: DataFrame, name: str, ends: bool = True) -> DataFrame:
+    """All that the stream gives for what is there now, through a file sink, which writes each row exactly once.
+
+    `ends` is for sources that tell what is there when a query starts; others, such as
+    those written in Python, are asked again after each batch until nothing new comes.
+    """
     spark = stream.sparkSession
     out, state = scratch(spark, name), scratch(spark, f"{name}-state")
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+    query = (writer.trigger(availableNow=True) if ends else writer).start(out)
+    if ends:
+        query.awaitTermination()
+    else:
+        query.processAllAvailable()
+        query.stop()
     return spark.read.schema(stream.schema).parquet(out)
 
 
