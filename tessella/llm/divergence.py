@@ -225,8 +225,7 @@ def _pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
 
     n_heavy = heavy.groupBy("lang").agg(F.count_distinct("term").alias("n_heavy"))
     blocks = groups.join(n_heavy, "lang").withColumn("blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n_heavy") * F.col("peers") / CELLS)).cast("long"))
-    per_lang = blocks.where("idx = 0").select("lang", "blocks")
-    dealt = heavy.join(per_lang, "lang").select("lang", "term", "idx", "p", F.pmod(F.xxhash64("term"), "blocks").alias("block"))
+    dealt = heavy.join(blocks.select("lang", "idx", "blocks"), ["lang", "idx"]).select("lang", "term", "idx", "p", F.pmod(F.xxhash64("term"), "blocks").alias("block"))
     rows = blocks.select("lang", "idx", "p0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     sums = sums.unionByName(dealt.groupBy("lang", "block").cogroup(rows.groupBy("lang", "block")).applyInArrow(_dense, _SUMS))
     sums = sums.groupBy("lang", "u", "v").agg(F.sum("value").alias("found"))
