@@ -9,6 +9,7 @@ made by rule and set into excerpts of the documents at hand.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -21,9 +22,12 @@ from pyspark.sql import Window as W
 from tessella.llm.common import documents, stash
 from tessella.llm.winnowing import let
 
-_WORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
+#: Words for credentials in English, German, French and Spanish.
+_WORD = r"(?i:password|passwd|passphrase|pwd|passwort|kennwort|mot[ _-]?de[ _-]?passe|contrase[ñÑn]a|(?<![A-Za-z])clave|secret|token|api[_-]?key|access[_-]?key|credential|(?<![A-Za-z])(?:auth|pass)(?![A-Za-z]))"
+#: As lines of a .netrc have it, between blanks.
+_LOGIN = r"(?i:(?<![A-Za-z])login\s++[^\s:=]++\s++passw(?:or)?d\s++(?![:=]))"
 #: A credential's word, the last of its kind in a name, the rest of the name and what gives it a value.
-_NAME = _WORD + r"(?:(?!" + _WORD + r")[A-Za-z0-9_.-])*+(?:\\?[\"'`])?\s*+(?:=>|[=:]{1,2})\s*+"
+_NAME = r"(?:" + _LOGIN + "|" + _WORD + r"(?:(?!" + _WORD + r")[A-Za-z0-9_.-])*+(?:\\?[\"'`])?\s*+(?:=>|[=:]{1,2})\s*+)"
 #: Up to the closing quote, whatever stands between; `\"` opens and closes inside a quoted text.
 _QUOTED = r"\"(?:[^\"\\\r\n]++|\\.)++(?=\")|'(?:[^'\\\r\n]++|\\.)++(?=')|`(?:[^`\\\r\n]++|\\.)++(?=`)|\\\"[^\"\\\r\n]++(?=\\\")|\\'[^'\\\r\n]++(?=\\')"
 _BARE = r"[\"'`]{0,3}+(?!\\[\"'`])[^\s\"'`,;]++"
@@ -62,7 +66,7 @@ COMMON = (
     "because under never every found still place small large great right world house water number first second third last next same each most both own "
     "work life hand part year week word line side head home form show move read open close start stop find give tell ask team name user field letter group"
 ).split()
-CREDENTIAL_WORDS = r"(?i)\b(?:password|passwd|pwd|secret|token|api.?key|access.?key|auth|authorization|bearer|credential|login|private)"
+CREDENTIAL_WORDS = r"(?i)\b(?:password|passwd|passphrase|pwd|passwort|kennwort|mot de passe|contraseña|clave|pass\b|secret|token|api.?key|access.?key|auth|authorization|bearer|credential|login|private)"
 HASH_WORDS = r"(?i)\b(?:commit|sha-?\d*|md5|checksum|digest|hash|revision|etag|integrity|uuid|guid|build|isbn|serial|order|invoice|card|phone|tel|base64)\b"
 MEASURES = r"(?i)tokens|tokeni[sz]|count|max|min|num|len|size|type|limit|expir|ttl|path|file|url|field|header|policy|hint|reset"
 PLAIN_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|fixtures?|mocks?|samples?|docs?)(?:[/_.-]|$)"
@@ -107,24 +111,45 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _placed(rows: DataFrame, pattern: str, into: str) -> DataFrame:
-    """What the pattern finds in __whole, as an array of start, length, candidate, left, right; null for a null text."""
-    rows = rows.withColumn("__found", F.regexp_extract_all("__whole", F.lit(pattern), F.lit(0)))
-    some = F.size("__found") > 0
-    rows = rows.withColumn("__between", F.when(some, F.split("__whole", pattern, -1))).drop("__whole")
-    advance = F.zip_with(F.transform("__between", lambda x: F.length(x)), F.transform("__found", lambda x: F.length(x)), lambda a, b: a + F.coalesce(b, F.lit(0)))
-    ends = F.aggregate(advance, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    rows = rows.withColumn("__ends", ends)
-    each = F.transform(
-        "__found",
-        lambda x, i: F.struct(
-            (F.get("__ends", i) + F.length(F.get("__between", i))).cast("long").alias("start"),
+    """What the pattern finds in __whole, as an array of start, length, candidate, left, right; null for a null text.
+
+    The matches, what stands between them and the sums of their lengths are each bound
+    once: work grows with the text, however many matches it has.
+    """
+    whole = F.col("__whole")
+    found = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+
+    def each(own: Column) -> Column:
+        between, matches = own["between"], own["found"]
+        advance = F.zip_with(F.transform(between, lambda x: F.length(x)), F.transform(matches, lambda x: F.length(x)), lambda a, b: a + F.coalesce(b, F.lit(0)))
+        place = lambda x, i, before: F.struct(
+            (F.get(before, i) + F.length(F.get(between, i))).cast("long").alias("start"),
             F.length(x).cast("long").alias("length"),
             x.alias("candidate"),
-            F.right(F.get("__between", i), F.lit(NEAR)).alias("left"),
-            F.left(F.get("__between", i + 1), F.lit(NEAR)).alias("right"),
-        ),
-    )
-    return rows.withColumn(into, each).drop("__found", "__between", "__ends")
+            F.right(F.get(between, i), F.lit(NEAR)).alias("left"),
+            F.left(F.get(between, i + 1), F.lit(NEAR)).alias("right"),
+        )
+        return let(folded(advance, F.lit(0), lambda a, b: a + b), lambda before: F.transform(matches, lambda x, i: place(x, i, before)))
+
+    pieces = lambda own: F.struct(own.alias("found"), F.when(F.size(own) > 0, F.split(whole, pattern, -1)).alias("between"))
+    placed = let(found, lambda own: F.when(F.size(own) > 0, let(pieces(own), each)))
+    empty = F.array().cast("array<struct<start:bigint,length:bigint,candidate:string,left:string,right:string>>")
+    return rows.withColumn(into, F.when(whole.isNotNull(), F.coalesce(placed, empty))).drop("__whole")
+
+
+def folded(values: Column, zero: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """For each place, f over all values before it, from `zero` on; f is associative.
+
+    In blocks, whose own results are folded likewise: an array that grows by appending is
+    copied at each step, so only short ones do.
+    """
+    block = 512
+    grown = lambda xs: F.aggregate(xs, F.array(zero), lambda acc, x: F.array_append(acc, f(F.element_at(acc, -1), x)))
+    blocks = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / block).cast("int")), lambda j: grown(F.slice(own, j * block + 1, F.lit(block))))
+    put = lambda xs, base: F.transform(F.slice(xs, F.lit(1), F.size(xs) - 1), lambda x: f(base, x))
+    bases = lambda own: grown(F.transform(own, lambda xs: F.element_at(xs, -1)))
+    whole = lambda own: let(blocks(own), lambda parts: let(bases(parts), lambda base: F.flatten(F.transform(parts, lambda xs, j: put(xs, F.get(base, j))))))
+    return let(values, lambda own: F.when(F.size(own) > 0, whole(own)).otherwise(F.slice(own, 1, 0)))
 
 
 def value_of(candidate: Column) -> Column:
@@ -224,8 +249,8 @@ def labelled_findings(spark: SparkSession, around: DataFrame | None = None, n: i
     rows = rows.withColumn("w", F.when(F.size(words) > 3, F.slice(words, 1, 4)).otherwise(F.array(*map(F.lit, ("some", "plain", "word", "list")))))
     word = lambda k: F.get("w", F.lit(k))
 
-    name = some(4, "token", "secret", "api_key", "auth_token", "access_key", "SECRET_KEY", "password", "client-secret", "db.password", "credentials")
-    lock = some(5, "password", "passwd", "pwd", "DB_PASSWORD", "user.password", "root_pwd")
+    name = some(4, "token", "secret", "api_key", "auth_token", "access_key", "SECRET_KEY", "password", "client-secret", "db.password", "credentials", "auth", "pass", "Passwort", "mot de passe", "contraseña", "clave_api")
+    lock = some(5, "password", "passwd", "pwd", "DB_PASSWORD", "user.password", "root_pwd", "pass", "Passwort", "Kennwort", "mot de passe", "Contraseña", "clave")
     assign = some(6, ' = "', "=", ": ", ' = "', ": '", " := ", "      = ", '="')
     quoted = some(7, '"password": "', '"api_key": "', "'secret': '", '"token" => "', '\\"access_key\\": \\"')
     sign = some(8, "!", "$", ",", "#", "%", "@", "&", ";", "_", "-")
@@ -269,6 +294,8 @@ def labelled_findings(spark: SparkSession, around: DataFrame | None = None, n: i
         (1, F.concat(lock, assign, cut(hexes, 44, 12, 18, 24)), beside),
         (1, F.concat(F.lit("://"), user, F.lit(":"), cut(mixed, 45, 8, 10, 16, 24)), scheme),
         (1, F.concat(F.lit("://"), user, F.lit(":"), F.initcap(word(0)), F.left(digits, F.lit(3)), some(46, "!", "$", ",", "%", "&", ";", "_", "-")), scheme),
+        (1, F.concat(F.lit("login "), user, F.lit(" password "), F.when(upto(76, 2) == 0, F.lower(human)).otherwise(human)), some(70, "machine mail.example.com", "default", "machine db1", "host")),
+        (1, F.concat(F.lit("login "), F.lower(word(2)), F.lit(" password "), cut(mixed, 71, 8, 10, 16, 24)), some(72, "machine", "default", "account")),
         (1, block, beside),
         (1, issued, beside),
         (1, prefixed, beside),
@@ -280,6 +307,8 @@ def labelled_findings(spark: SparkSession, around: DataFrame | None = None, n: i
         (0, F.concat(quoted, prose), beside),
         (0, F.concat(name, some(49, ' = "', '="', ': "'), prose), beside),
         (0, F.concat(name, some(50, ": ", " = ", "="), F.lower(word(0))), beside),
+        (0, F.concat(F.lit("login "), some(73, "and", "with", "your", "or", "the", "page"), F.lit(" password "), plain), beside),
+        (0, F.concat(some(74, "auth", "pass", "clave", "Passwort", "mot de passe", "contraseña"), some(75, ": ", " = ", ":"), F.lower(word(1))), beside),
         (0, F.concat(setting, measured), beside),
         (0, F.concat(F.lit("://"), some(51, "user", "username", "example", "admin", ""), F.lit(":"), some(52, "password", "pass", "changeme", "<password>", "${PASSWORD}", "****", "secret", "8080")), scheme),
         (0, F.left(hexes, some(53, 40, 40, 32, 64)), revision),
@@ -353,14 +382,23 @@ def redact(df: DataFrame, findings: DataFrame, keys: list[str], text: str = "tex
     spans = spans.withColumnsRenamed({k: f"__of_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
     rows = df.join(spans, same, "left").drop(*[f"__of_{k}" for k in keys])
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(mark)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["start"] + s["length"]).alias("at"))
-
-    cleaned = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
+    block = 1024  # texts are cut into blocks, so that a piece isn't looked for from the start on
+
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / block)
+        some = F.slice(blocks, (first + 1).cast("int"), (F.floor(end / block) - first + 1).cast("int"))
+        return F.substring(F.array_join(some, ""), (start - first * block + 1).cast("int"), (end - start).cast("int"))
+
+    def marked(own: Column) -> Column:
+        blocks, spans, ends = own["blocks"], own["spans"], own["ends"]
+        piece = lambda x, i: F.when(x["start"] < F.get(ends, i), "").otherwise(F.concat(cut(blocks, F.get(ends, i), x["start"]), F.lit(mark)))
+        last = F.greatest(F.element_at(ends, -1), F.element_at(spans, -1)["start"] + F.element_at(spans, -1)["length"])
+        return F.concat(F.array_join(F.transform(spans, piece), ""), let(last, lambda at: cut(blocks, at, F.length(text).cast("long"))))
+
+    # where all spans before each have ended
+    ends = folded(F.transform("__spans", lambda x: x["start"] + x["length"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    cleaned = let(F.struct(blocks.alias("blocks"), F.col("__spans").alias("spans"), ends.alias("ends")), marked)
     return rows.withColumn(text, F.when(F.col("__spans").isNotNull(), cleaned).otherwise(F.col(text))).drop("__spans")
 
 

@@ -180,6 +180,69 @@ def test_names_and_digits_at_any_distance(spark, forest):
     assert {(1, "hX4!kq9Zt2"), (2, key), (4, "hX4!kq9Zt2")} == values
 
 
+#: Forms of other languages and files: the text, the value, whether it is a secret.
+FORMS = {
+    "en": [("auth = 9f8a7b6c5d", "9f8a7b6c5d", True), ("pass=Tr0ub4dor&3", "Tr0ub4dor&3", True), ("passphrase: gX7!kkPw20", "gX7!kkPw20", True), ("pass: the second one", None, False), ("auth: required", None, False)],
+    "de": [("Passwort: Xk9!mmPq2", "Xk9!mmPq2", True), ("Kennwort = Wz4_Tr8kLm", "Wz4_Tr8kLm", True), ("DB_PASSWORT=Nq83hfKw1b", "Nq83hfKw1b", True), ("Passwort: bitte eingeben", None, False), ("Kennwort: changeme", None, False)],
+    "fr": [("mot de passe : Lp7$vvQ31x", "Lp7$vvQ31x", True), ("mot_de_passe=Rk20xTTq9", "Rk20xTTq9", True), ("mot de passe : votre", None, False), ("mot de passe: obligatoire", None, False)],
+    "es": [("contraseña: Xk9!mmPq2", "Xk9!mmPq2", True), ("clave = Vb61-kkTz0", "Vb61-kkTz0", True), ("contraseña: la misma", None, False), ("la clave: que no hay", None, False)],
+    "netrc": [("machine h login bob password hunter22", "hunter22", True), ("machine mail.x.org\n  login eva\n  password Zt5#rrMw8\n", "Zt5#rrMw8", True), ("login and password are the same", None, False), ("after login your password is asked", None, False)],
+}
+
+
+def test_secrets_of_several_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    model = secrets.train(secrets.labelled_findings(spark, secrets.excerpts(docs)))
+    cases = [(f"{lang} {i}", f"{'im text' if lang == 'de' else 'in the text'} {text} {'und so weiter' if lang == 'de' else 'and so on'}", value, is_secret) for lang, forms in FORMS.items() for i, (text, value, is_secret) in enumerate(forms)]
+    df = spark.createDataFrame([(k, t, "src1") for k, t, _, _ in cases], "k string, text string, source string")
+    found = secrets.scan(df, model).where("is_secret").collect()
+    for lang in FORMS:
+        right = {(k, v) for k, _, v, is_secret in cases if is_secret and k.startswith(lang)}
+        got = {(r.k, r.value) for r in found if r.k.startswith(lang)}
+        assert len(right & got) >= 0.6 * len(right), (lang, right - got)
+        assert {k for k, _ in got} <= {k for k, _ in right}, (lang, got - right)
+    right = {(k, v) for k, _, v, is_secret in cases if is_secret}
+    assert len(right & {(r.k, r.value) for r in found}) >= 0.85 * len(right), right - {(r.k, r.value) for r in found}
+
+
+def test_many_candidates_in_one_text(spark):
+    """20,000 in one text: places are those of Python's search, the mask replaces each, and time doesn't grow with their square."""
+    import re
+    import time
+
+    lines = [f"line {i} password=S3cr{i}x{i * 7919 % 10007} ünd 🎉" for i in range(20_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None), (4, "")], "id int, text string")
+    began = time.perf_counter()
+    rows = secrets.candidates(df).collect()
+    assert time.perf_counter() - began < 60
+    at = sorted((r["__at"].start, r["__at"].length, r["__at"].candidate, r["__at"].left, r["__at"].right) for r in rows)
+    want = [(m.start(), len(m[0]), m[0]) for m in re.finditer(r"password=\S+", text)]
+    assert [x[:3] for x in at] == want and {r.id for r in rows} == {1}
+    assert all(text[: s][-len(left) :].endswith(left) and text[s + n :].startswith(right) for s, n, _, left, right in at[::97])
+    spans = spark.createDataFrame([(1, s, n, True) for s, n, *_ in at], "id int, start long, length long, is_secret boolean")
+    began = time.perf_counter()
+    clean = {r.id: r.text for r in secrets.redact(df, spans, ["id"]).collect()}
+    assert time.perf_counter() - began < 60
+    assert clean == {1: re.sub(r"password=\S+", "[SECRET]", text), 2: "nothing", 3: None, 4: ""}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_redact_overlapping_spans(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    text = "".join(rnd.choice("abcdé🎉\n ") for _ in range(5000))
+    spans = [(rnd.randrange(5000), rnd.choice([1, 3, 40, 1500])) for _ in range(rnd.choice([1, 5, 700]))]
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    found = spark.createDataFrame([(1, s, n, True) for s, n in spans], "id int, start long, length long, is_secret boolean")
+    out, end = "", 0
+    for s, n in sorted(set(spans)):
+        out += "" if s < end else text[end:s] + "[SECRET]"
+        end = max(end, s + n)
+    assert secrets.redact(df, found, ["id"]).first().text == out + text[end:]
+
+
 def test_planted_secrets_and_what_is_none(spark, forest):
     rows = {i: t for i, t, *_ in edge_rows() if i in (15, 16)}
     df = spark.createDataFrame([(i, "src0", t) for i, t in rows.items()] + [(99, None, None), (98, "src1", "")], "doc_id long, source string, text string")
