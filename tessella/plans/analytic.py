@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from tessella.functions import as_long, cosine, weekday_from_sunday
 from tessella.operators.neighbours import build, recall, search
 from tessella.operators.ordered import ranks
+from tessella.operators.series import gap_filled
+from tessella.operators.sketches import estimates, in_both, merged, sketched
 from tessella.operators.temporal import as_of_join, sessions, top_per_group
 from tessella.plans.registry import query
+from tessella.sources.scratch import written
 from tessella.tables import table
 
 
@@ -279,3 +282,47 @@ def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached = recall(index, queries, "vec_id", "embedding") >= 0.9
     found = search(index, queries, "vec_id", "embedding").groupBy("query_id").agg(F.count(F.lit(1)).alias("neighbours"))
     return found.withColumn("recall_reached", F.lit(reached))
+
+
+@query(
+    "gap_filled_series",
+    """
+    WITH b AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n, max_by(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2),
+    s AS (SELECT user_id, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM b GROUP BY user_id),
+    f AS (SELECT s.user_id, s.h, b.n, b.v, CASE WHEN b.v IS NOT NULL THEN s.h END AS seen FROM s LEFT JOIN b ON s.user_id = b.user_id AND s.h = b.h),
+    w AS (SELECT *, last_value(v IGNORE NULLS) OVER past AS pv, last_value(seen IGNORE NULLS) OVER past AS pt, first_value(v IGNORE NULLS) OVER next AS nv, first_value(seen IGNORE NULLS) OVER next AS nt FROM f
+      WINDOW past AS (PARTITION BY user_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), next AS (PARTITION BY user_id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT user_id, h::TIMESTAMP AS ts, n, round(v, 4) AS v, round(pv, 4) AS v_carried,
+      round(CASE WHEN pt = nt THEN pv ELSE pv + (nv - pv) * (date_diff('hour', pt, h)::DOUBLE / date_diff('hour', pt, nt)) END + 1e-7, 4) AS v_linear FROM w
+    """,
+)
+def gap_filled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hourly series of each user from first to last event, with the hour's last value, the one carried on and the one on the line to the next."""
+    measures = {"n": F.count(F.lit(1)), "v": F.max_by("value", F.struct("ts", "event_id"))}
+    rows = gap_filled(table(spark, sf_dir, "events"), ["user_id"], "ts", 3600, measures, carried=["v"], linear=["v"])
+    linear = F.round(F.col("v_linear") + 1e-7, 4)  # engines differ in how they round what lies halfway
+    return rows.select("user_id", "ts", "n", F.round("v", 4).alias("v"), F.round("v_carried", 4).alias("v_carried"), linear.alias("v_linear"))
+
+
+@query(
+    "stored_sketches",
+    """
+    SELECT event_type, count(*) AS n, TRUE AS distinct_close, TRUE AS approx_close, TRUE AS shared_close, TRUE AS median_close FROM events GROUP BY event_type
+    """,
+)
+def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day and kind of event, written, read back and merged to the month: whether what they say of users, of users who also bought and of values is within their errors."""
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    daily = written(sketched(events, ["event_type", "day"], "user_id", "value"), "daily-sketches")
+    month = merged(daily, ["event_type"])
+    bought = month.where("event_type = 'purchase'").select(F.col("members").alias("buyers"))
+    shared = month.crossJoin(F.broadcast(bought)).select("event_type", in_both(F.col("members"), F.col("buyers")).alias("shared"))  # one row
+    said = estimates(month).join(shared, "event_type")
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    buyers = events.where("event_type = 'purchase'").select("user_id").distinct()
+    both = events.join(buyers, "user_id", "left_semi").groupBy("event_type").agg(F.count_distinct("user_id").alias("users_who_bought"))
+    near = lambda a, b, error: F.abs(F.col(a) - F.col(b)) <= error * F.col(b) + 1
+    below = events.join(said.select("event_type", F.col("quantiles")[0].alias("median")), "event_type").groupBy("event_type").agg(
+        (F.abs(F.avg((F.col("value") < F.col("median")).cast("double")) - 0.5) <= 0.03).alias("median_close"))
+    met = said.join(exact, "event_type").join(both, "event_type").join(below, "event_type")
+    return met.select("event_type", "n", near("distinct", "users", 0.06).alias("distinct_close"), near("approx_distinct", "users", 0.06).alias("approx_close"), near("shared", "users_who_bought", 0.1).alias("shared_close"), "median_close")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.registry import query
-from tessella.streaming import drained, replayed, running_totals, session_counts, sliding_counts, table_stream, tumbling_counts, visit_starts, with_event_time
+from tessella.sources.scratch import scratch
+from tessella.streaming import UpsertTable, drained, replayed, running_totals, session_counts, sliding_counts, table_stream, tumbling_counts, visit_starts, with_event_time
 from tessella.tables import table
 
 #: Windows that end by the watermark, which is the latest event less the delay, are final.
@@ -140,3 +142,51 @@ def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _ntz(drained(visit_starts(stream, "user_id", "ts", pd.Timedelta(hours=12)), "visit-starts"))
     finally:
         spark.conf.set(name, before)
+
+
+@query(
+    "stream_outer_join",
+    """
+    WITH v AS (SELECT * FROM events WHERE event_type = 'view'), p AS (SELECT * FROM events WHERE event_type = 'purchase')
+    SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM v LEFT JOIN p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR
+    WHERE p.event_id IS NOT NULL OR v.ts + INTERVAL 1 HOUR < (SELECT least((SELECT max(ts) FROM v), (SELECT max(ts) FROM p)) - INTERVAL 1 HOUR)
+    """,
+)
+def stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with the purchases of the hour after, and views without any once the watermark says that none can come; over several batches."""
+    parts = [part for half in _halves(spark, sf_dir) for part in (half.where("day(ts) % 15 < 7"), half.where("day(ts) % 15 >= 7"))]
+    bring = lambda kind: with_event_time(replayed([x.where(F.col("event_type") == kind) for x in parts], kind), "ts", "1 hour")
+    v = bring("view").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("u"), F.col("ts").alias("t"))
+    p = bring("purchase").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
+    met = v.join(p, F.expr("u = user_id and ts >= t and ts <= t + interval 1 hour"), "left")
+    return drained(met.select("view_id", "purchase_id"), "outer-join")
+
+
+@query(
+    "stream_upserts",
+    """
+    SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+    WHERE k = 1 AND event_type <> 'signup'
+    """,
+)
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, kept up by a stream whose job dies after it has written a batch and before that is committed; a signup deletes its user."""
+    first, second = _halves(spark, sf_dir)
+    stream = replayed([first, second.where("event_id % 2 = 0"), second.where("event_id % 2 = 1")], "upserts").withColumn("gone", F.col("event_type") == "signup")
+    held = UpsertTable(spark, scratch(spark, "latest-events"), "user_id long, event_id long, event_type string, value double", ["user_id"], "event_id")
+    state, died = scratch(spark, "upserts-state"), []
+
+    def put(batch: DataFrame, number: int) -> None:
+        held.write(batch, number)
+        if number == 1 and not died:
+            died.append(number)
+            raise RuntimeError("the job dies here")
+
+    for _ in range(2):
+        job = stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+        try:
+            job.awaitTermination()
+        except StreamingQueryException:
+            continue
+    held.compact(1)
+    return held.read()

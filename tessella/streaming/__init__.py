@@ -117,3 +117,57 @@ def visit_starts(stream: DataFrame, by: str, at: str, gap: pd.Timedelta) -> Data
             pass
 
     return stream.groupBy(by).transformWithStateInPandas(Visits(), f"{by} {kind}, start {stamp}", "append", "EventTime")
+
+
+class UpsertTable:
+    """A table of the latest row of each key, which streams write batch by batch and may write again.
+
+    Every batch is a folder of its own, named by its number and replaced as a whole: a
+    batch that was written but not committed, and comes again after a restart, takes the
+    place of what it wrote. Readers see folders whose write has ended, and take of each
+    key the row of the greatest `order`, of equal ones that of the later batch. Rows with
+    `gone` true delete their key. A batch holds its latest row a key, so hot keys combine
+    before the shuffle; `compact` puts the batches up to a number together, so that reading
+    costs the table and few batches. Null keys are a key; rows with a null order come before all.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: str) -> None:
+        self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), list(keys), order
+        self.schema = spark.createDataFrame([], schema).withColumn("gone", F.lit(False)).select(*spark.createDataFrame([], schema).columns, "gone").schema
+
+    def _folders(self, kind: str) -> list[int]:
+        """Numbers of the folders whose write has ended."""
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = system.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().removeprefix(f"{kind}-")) for f in found)
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        """One row a key, of those with `__batch`."""
+        last = F.max_by(F.struct(*self.schema.names), F.struct(F.col(self.order).isNotNull(), F.col(self.order), "__batch"))
+        keyed = rows.groupBy(F.struct(*self.keys).alias("__key")).agg(last.alias("__row"))
+        return keyed.select("__row.*")
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch: writes the batch with this number, for the first time or again."""
+        rows = batch if "gone" in batch.columns else batch.withColumn("gone", F.lit(False))
+        rows = rows.select(*self.schema.names).withColumn("__batch", F.lit(number))
+        self._latest(rows).write.mode("overwrite").parquet(f"{self.path}/batch-{number:012d}")
+
+    def _rows(self, upto: int | None = None) -> DataFrame:
+        bases = [b for b in self._folders("base") if upto is None or b <= upto]
+        base = bases[-1] if bases else -1
+        parts = [(b, f"batch-{b:012d}") for b in self._folders("batch") if b > base and (upto is None or b <= upto)]
+        parts = ([(base, f"base-{base:012d}")] if bases else []) + parts
+        rows = self.spark.createDataFrame([], self.schema).withColumn("__batch", F.lit(0))
+        for number, name in parts:
+            rows = rows.unionByName(self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").withColumn("__batch", F.lit(number)))
+        return self._latest(rows)
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """The table after all batches, or after the one of this number."""
+        return self._rows(upto).where("not gone").drop("gone")
+
+    def compact(self, upto: int) -> None:
+        """Puts the batches up to a number that has been committed together; deleted keys stay marked, as older batches may come later."""
+        self._rows(upto).write.mode("overwrite").parquet(f"{self.path}/base-{upto:012d}")
