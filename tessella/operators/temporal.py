@@ -33,17 +33,23 @@ def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str,
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the ranges [low, high) that hold them, as an equality join on cells of `width`.
+    """Points with the ranges [low, high) that hold them, as an equality join on cells.
 
-    A range stands in every cell that it meets and a point in one, so the join hashes on
-    the cell instead of comparing all with all; `width` near the usual length of a range
-    keeps the copies few.
+    A range stands in cells of the least of the widths `width`, 2 `width`, 4 `width`, ...
+    that is as long as it, of which it meets two at most; a point asks for its cell of
+    each width that ranges have. So a range of any length is copied once at most, and the
+    points once for each of few widths. Nulls, and ranges that are empty, meet nothing.
     """
-    cell = "__cell"
-    p = points.withColumn(cell, F.floor(F.col(point) / width))
-    first, last = F.floor(F.col(low) / width), F.floor(F.col(high) / width)
-    r = ranges.where(F.col(low) < F.col(high)).withColumn(cell, F.explode(F.sequence(first, last)))
-    return p.join(r, cell).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(cell)
+    level, cell = "__level", "__cell"
+    span = (F.col(high) - F.col(low)) / width
+    fits = F.when(span > 1, F.least(F.ceil(F.log2(span)), F.lit(1000))).otherwise(0).cast("int")
+    held = ranges.where(F.col(low) < F.col(high)).withColumn(level, fits)
+    of = lambda c, lev: F.floor(F.col(c) / (F.pow(F.lit(2.0), lev) * width))
+    held = held.withColumn(cell, F.explode(F.array_distinct(F.array(of(low, F.col(level)), of(high, F.col(level))))))
+    levels = [r[level] for r in held.select(level).distinct().collect()]  # a few dozen at most
+    asks = F.array(*[F.struct(F.lit(i).alias("level"), of(point, F.lit(i)).alias("cell")) for i in sorted(levels)]) if levels else F.array().cast("array<struct<level:int,cell:bigint>>")
+    p = points.withColumn("__at", F.explode(asks)).withColumns({level: F.col("__at.level"), cell: F.col("__at.cell")}).drop("__at")
+    return p.join(held, [level, cell]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(level, cell)
 
 
 def dominance_counts(df: DataFrame, by: Sequence[str], key: str, greater: str, less: str, out: str, rows: int = ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.plans.registry import query
 from tessella.sources.scratch import scratch
-from tessella.streaming import UpsertTable, drained, replayed, running_totals, session_counts, sliding_counts, table_stream, tumbling_counts, visit_starts, with_event_time
+from tessella.streaming import UpsertTable, drained, first_of_window, replayed, running_totals, session_counts, sliding_counts, table_stream, tumbling_counts, visit_starts, with_event_time
 from tessella.tables import table
 
 #: Windows that end by the watermark, which is the latest event less the delay, are final.
@@ -61,9 +61,9 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and type, whose keys are held as state."""
-    stream = table_stream(spark, sf_dir, "events").select("user_id", "event_type")
-    return drained(stream.dropDuplicates(["user_id", "event_type"]), "distinct")
+    """Users and types of events: each once a day by the stream, whose state is that of the days that are open, and once in all by what reads its sink."""
+    stream = with_event_time(replayed(list(_halves(spark, sf_dir)), "distinct-events"), "ts", "1 hour")
+    return drained(first_of_window(stream, "ts", "1 day", "user_id", "event_type"), "distinct").select("user_id", "event_type").distinct()
 
 
 @query(
@@ -83,9 +83,12 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_state", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals in keyed state; the last of each key is that of all events."""
-    rows = drained(running_totals(table_stream(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value"), "state")
-    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+    """Running totals in keyed state, which users leave who stay away for two days; the totals of a user are the last of each stay, added up."""
+    days = [x for half in _halves(spark, sf_dir) for x in (half.where("day(ts) % 15 < 8"), half.where("day(ts) % 15 >= 8"))]
+    stream = with_event_time(replayed(days, "totals"), "ts", "1 hour").select("user_id", "value", "ts")
+    rows = drained(running_totals(stream, "user_id", "value", "ts", "2 days"), "state")
+    stays = rows.groupBy("user_id", "since").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    return stays.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tessella.operators.aggregates import exact_sum, regression
 from tessella.operators.tables import CHANGES
+from tessella.operators.temporal import as_of_join
 from tessella.plans.registry import query
 from tessella.shipping import ship
-from tessella.sources import read, write, write_bucketed
-from tessella.sources.scratch import scratch, written
+from tessella.sources import buckets_for, read, write, write_bucketed
+from tessella.sources.scratch import remove, scratch, written
 from tessella.sources.segments import SegmentSource, segment_rows
 from tessella.streaming import drained, tumbling_counts, with_event_time
 from tessella.tables import table
@@ -90,11 +91,15 @@ def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bucketed_join", "SELECT o_orderpriority, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
 def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables bucketed by their key when they are written: the join shuffles neither."""
-    names = []
-    for name, key, columns in (("orders", "o_orderkey", ("o_orderkey", "o_orderpriority")), ("lineitem", "l_orderkey", ("l_orderkey", "l_quantity"))):
+    """Two tables bucketed by their key when they are written, in the shared folder: the join shuffles neither. Both have as many buckets as the larger one asks for."""
+    sides = {"orders": ("o_orderkey", "o_orderpriority"), "lineitem": ("l_orderkey", "l_quantity")}
+    rows = {name: table(spark, sf_dir, name).select(*columns) for name, columns in sides.items()}
+    buckets, names = buckets_for(max(df.count() for df in rows.values())), []
+    for name, df in rows.items():
         names.append(f"tessella_{name}_{uuid.uuid4().hex}")
-        write_bucketed(table(spark, sf_dir, name).select(*columns), names[-1], 8, [key])
+        path = scratch(spark, names[-1])
+        write_bucketed(df, names[-1], buckets, [sides[name][0]], path)
+        atexit.register(remove, spark, path)
         atexit.register(_drop, spark, names[-1])
     orders, lines = map(spark.table, names)
     met = orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -137,16 +142,13 @@ def udf_longest_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def udf_nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each error the purchase of its user that is nearest in time, before or after: both sides of a user sorted and merged once."""
-
-    def nearest(errors: pd.DataFrame, purchases: pd.DataFrame) -> pd.DataFrame:
-        met = pd.merge_asof(errors.sort_values("ts"), purchases[["ts"]].assign(at=purchases["ts"]).sort_values("ts"), on="ts", direction="nearest").dropna(subset=["at"])
-        seconds = (met["at"].dt.floor("s") - met["ts"].dt.floor("s")).dt.total_seconds().abs()
-        return pd.DataFrame({"event_id": met["event_id"], "seconds": seconds.astype("int64")})
-
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    errors, purchases = (events.where(F.col("event_type") == x).drop("event_type").groupBy("user_id") for x in ("error", "purchase"))
-    return errors.cogroup(purchases).applyInPandas(nearest, "event_id long, seconds long")
+    """For each error the purchase of its user that is nearest in time, before or after: one as-of join each way, of which no user's rows meet in one task."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    errors, purchases = (events.where(F.col("event_type") == x).select("event_id", "user_id", "at", (-F.col("at")).alias("back")) for x in ("error", "purchase"))
+    found = as_of_join(errors, purchases.select("user_id", "at"), ["user_id"], "at", [], "before_")
+    found = as_of_join(found, purchases.select("user_id", "back"), ["user_id"], "back", [], "after_")
+    seconds = F.least(F.col("at") - F.col("before_at"), F.col("back") - F.col("after_back"))
+    return found.where(seconds.isNotNull()).select("event_id", seconds.alias("seconds"))
 
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"

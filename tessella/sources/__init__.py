@@ -40,6 +40,15 @@ def rebalanced(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.sparkSession.sql(f"SELECT /*+ REBALANCE({names}) */ * FROM {{rows}}", rows=df)
 
 
-def write_bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str]) -> None:
-    """A table of the catalog, bucketed and sorted by keys, so that joins on them need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+def buckets_for(rows: int, rows_per_bucket: int = 2_000_000, least: int = 8) -> int:
+    return max(least, -(-rows // rows_per_bucket))
+
+
+def write_bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str], path: str | None = None) -> None:
+    """A table of the catalog, bucketed and sorted by keys, so that joins on them need no shuffle.
+
+    `path` is where its files stand; without one they go to the warehouse folder, which on
+    a cluster has to be a shared one. Each bucket is one file.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)

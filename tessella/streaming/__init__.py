@@ -67,18 +67,38 @@ def session_counts(stream: DataFrame, time: str, gap: str, key: str) -> DataFram
     return grouped.select(key, F.col("w.start").alias("start"), "n")
 
 
-def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key and batch: the number of events and the sum of values so far, in keyed state."""
+def running_totals(stream: DataFrame, key: str, value: str, at: str, idle: str) -> DataFrame:
+    """Per key and batch: the number of events and the sum of values since `since`, in keyed state that ends.
+
+    `stream` has a watermark on `at`. When the watermark is `idle` (such as "7 days") past
+    a key's last event, its state goes; a later event begins new totals, with a `since` of
+    its own. So state holds the keys of the last days, and the totals of a key are the last
+    of each `since`, added up.
+    """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, last, n, total = state.get if state.exists else (None, 0, 0, 0.0)
         for frame in frames:
-            n, total = n + len(frame), total + float(frame[value].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
+            times = frame["__at"]
+            since = int(times.min()) if since is None else since
+            last, n, total = max(last, int(times.max())), n + len(frame), total + float(frame[value].sum())
+        state.update((since, last, n, total))
+        state.setTimeoutTimestamp(max(last + pause, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]], "since": [since], "n": [n], "total": [total]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("__at", F.unix_millis(at))
+    return timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, since long, n long, total double", "since long, last long, n long, total double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_of_window(stream: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
+    """(start, keys): each combination of keys once a window, as soon as it comes. State goes when the watermark has passed its window."""
+    w = stream.withColumn("w", F.window(time, width)).select("w", *keys).dropDuplicates(["w", *keys])
+    return w.select(F.col("w.start").alias("start"), *keys)
 
 
 def visit_starts(stream: DataFrame, by: str, at: str, gap: pd.Timedelta) -> DataFrame:

@@ -34,6 +34,14 @@ def test_range_join_equals_comparing_all(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_range_join_with_ranges_of_any_length(spark):
+    points = spark.createDataFrame([(x,) for x in (-1e12, -3.5, 0.0, 1.0, 9.99, 1e9, None, float("nan"))], "x double")
+    ranges = spark.createDataFrame([(1, -1e15, 1e15), (2, 0.0, 1.0), (3, 1.0, 1.0), (4, None, 5.0), (5, -4.0, 10.0), (6, 5.0, -5.0)], "r int, a double, b double")
+    got = range_join(points, ranges, "x", "a", "b", 1.0)
+    assert sorted((r.x, r.r) for r in got.collect()) == [(-1e12, 1), (-3.5, 1), (-3.5, 5), (0.0, 1), (0.0, 2), (0.0, 5), (1.0, 1), (1.0, 5), (9.99, 1), (9.99, 5), (1e9, 1)]
+    assert range_join(points, ranges.where("false"), "x", "a", "b", 1.0).columns == ["x", "r", "a", "b"]
+
+
 def test_salted_sum_and_top(spark):
     df = spark.createDataFrame([("a", i, i * 2) for i in range(50)] + [("b", 1, 1), (None, 3, 3)], "k string, i int, v int")
     assert {r.k: r.s for r in salted_sum(df, ["k"], "v", 8, "s").collect()} == {"a": 2450, "b": 1, None: 3}

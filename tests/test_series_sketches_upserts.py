@@ -107,3 +107,30 @@ def test_a_job_that_dies_after_its_write(spark, tmp_path):
             assert "dies" in str(e)
     assert numbers == [0, 0, 1, 1, 2]
     assert sorted((r.k, r.n) for r in held.read().collect()) == [("0", 28), ("1", 29), ("2", 26), ("3", 27)]
+
+
+def _batches(spark, tmp_path, days):
+    for d in days:
+        rows = [(u, START + dt.timedelta(days=d, minutes=u * 7 + i), float(i)) for u in range(20) for i in range(3) if d < 3 or u < 2]
+        spark.createDataFrame(rows, "u long, ts timestamp, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema("u long, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
+
+
+@pytest.mark.parametrize("name", ["first_of_window", "running_totals"])
+def test_state_goes_when_its_time_is_over(spark, tmp_path, name):
+    from tessella import streaming
+
+    stream = _batches(spark, tmp_path, range(8))
+    made = streaming.first_of_window(stream, "ts", "1 day", "u") if name == "first_of_window" else streaming.running_totals(stream, "u", "v", "ts", "1 day")
+    out = []
+    job = made.writeStream.foreachBatch(lambda df, i: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in job.recentProgress if p.stateOperators]
+    assert max(held) <= 60 and held[-1] <= 6, held
+    if name == "first_of_window":
+        assert len(out) == len(set(out)) == 3 * 20 + 5 * 2
+    else:
+        last = {}
+        for r in out:
+            last[r.u, r.since] = max(last.get((r.u, r.since), (0, 0.0)), (r.n, r.total))
+        assert sum(n for n, _ in last.values()) == 3 * (3 * 20 + 5 * 2)
