@@ -20,9 +20,12 @@ from __future__ import annotations
 
 import html as html_lib
 import json
+import math
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +72,10 @@ HOLDERS = frozenset("page html body div section article main nav header footer a
 #: What holds all of a page.
 WHOLE = frozenset("page html body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements nested deeper than this are taken as parts of the one that deep, as browsers take them; their text stays.
-DEPTH = 100
+#: Elements nested deeper than this are taken as parts of the one that deep, as browsers do from a depth of 512 on; their text stays.
+DEPTH = 2000
+#: Each level takes a few calls; Python's own limit would end at a depth of about 200.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))
 #: Hosts of which a task holds wrappers at once.
 HELD_HOSTS = 5_000
 #: First merges of a host's wrappers, each in a task of its own.
@@ -346,6 +351,10 @@ def folded(nodes: list[Node]) -> list[Node]:
     return out
 
 
+#: Pairs of siblings up to which all are weighed one by one; beyond it rows of pairs are weighed at once.
+FEW_PAIRS = 4096
+
+
 def _matches(p: list[Node], q: list[Node]) -> list[tuple[int, int]]:
     """The pairs of two lists that are one in the best alignment that keeps their orders."""
     n, m = len(p), len(q)
@@ -355,27 +364,122 @@ def _matches(p: list[Node], q: list[Node]) -> list[tuple[int, int]]:
     pairs = [(k, k) for k in range(first)]
     if first == n or first == m:
         return pairs
-    best = [[0.0] * (m - first + 1) for _ in range(n - first + 1)]
-    worth = [[_alike(p[i], q[j]) for j in range(first, m)] for i in range(first, n)]
-    for i in range(n - first - 1, -1, -1):
-        row, below, own = best[i], best[i + 1], worth[i]
-        for j in range(m - first - 1, -1, -1):
-            w = own[j]
-            top = below[j] if below[j] >= row[j + 1] else row[j + 1]
-            row[j] = w + below[j + 1] if w and w + below[j + 1] > top else top
+    p, q = p[first:], q[first:]
+    best = _Best(p, q) if len(p) * len(q) > FEW_PAIRS else _FewBest(p, q)
     i = j = 0
-    while i < n - first and j < m - first:
-        w = worth[i][j]
-        if w and best[i][j] == w + best[i + 1][j + 1]:
+    while i < len(p) and j < len(q):
+        own, below = best.rows(i)
+        w = best.worth(i, j)
+        if w and own[j] == w + below[j + 1]:
             pairs.append((first + i, first + j))
             i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
+        elif own[j] == below[j]:
             i += 1
         else:
             j += 1
     return pairs
 
 
+class _FewBest:
+    """rows(i): the worth of the best alignment of p from i and from i + 1 on with q from each place on."""
+
+    def __init__(self, p: list[Node], q: list[Node]):
+        n, m = len(p), len(q)
+        self.best = best = [[0.0] * (m + 1) for _ in range(n + 1)]
+        self.each = worth = [[_alike(x, y) for y in q] for x in p]
+        for i in range(n - 1, -1, -1):
+            row, below, own = best[i], best[i + 1], worth[i]
+            for j in range(m - 1, -1, -1):
+                w = own[j]
+                top = below[j] if below[j] >= row[j + 1] else row[j + 1]
+                row[j] = w + below[j + 1] if w and w + below[j + 1] > top else top
+
+    def rows(self, i: int) -> tuple[list[float], list[float]]:
+        return self.best[i], self.best[i + 1]
+
+    def worth(self, i: int, j: int) -> float:
+        return self.each[i][j]
+
+
+class _Best:
+    """The same, a row at a time, in memory that grows with n + m and a root of n: every so many rows are kept, and those in between made again when they are asked for."""
+
+    def __init__(self, p: list[Node], q: list[Node]):
+        self.n, self.m = len(p), len(q)
+        self.p, self.q = p, q
+        self.inner, self.outer = _Sets(map(_labels, p), map(_labels, q)), _Sets(map(_outer, p), map(_outer, q))
+        names = {x[LABEL]: None for x in (*p, *q)}
+        number = {label: k for k, label in enumerate(names)}
+        self.labels = np.array([number[y[LABEL]] for y in q])
+        self.number, self.stars = number, np.array([y[LABEL] == "*" for y in q])
+        self.bare = np.array([not y[PARTS] for y in q])
+        self.step = max(1, math.isqrt(self.n))
+        self.kept: dict[int, np.ndarray] = {self.n: np.zeros(self.m + 1)}
+        row = self.kept[self.n]
+        for i in range(self.n - 1, -1, -1):
+            row = self._above(i, row)
+            if i % self.step == 0:
+                self.kept[i] = row
+        self.block, self.between = -1, {}
+
+    def _worth(self, i: int) -> np.ndarray:
+        """_alike of p[i] with all of q."""
+        x = self.p[i]
+        label = x[LABEL]
+        if label == "*":
+            return (self.outer.shared(i) > 0).astype(np.float64)
+        out = np.where(self.stars & (self.outer.shared(i) > 0), 1.0, 0.0)
+        same = ~self.stars & (self.labels == self.number[label])
+        if not x[PARTS] or label[-1] == "+" or not _holds(label) or label in WHOLE:
+            return np.where(same, 1.0, out)
+        share = self.inner.shared(i) / np.maximum(np.minimum(self.inner.sizes_p[i], self.inner.sizes_q), 1)
+        return np.where(same, np.where(self.bare, 1.0, np.where(share >= 0.5, 0.5 + share / 2, 0.0)), out)
+
+    def _above(self, i: int, below: np.ndarray) -> np.ndarray:
+        w = self._worth(i)
+        met = np.where(w > 0, w + below[1:], 0.0)
+        return np.maximum.accumulate(np.append(np.maximum(below[:-1], met), 0.0)[::-1])[::-1]
+
+    def rows(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        block = i // self.step
+        if block != self.block:
+            top = min((block + 1) * self.step, self.n)
+            made = {top: self.kept[top]}
+            for k in range(top - 1, block * self.step - 1, -1):
+                made[k] = self._above(k, made[k + 1])
+            self.block, self.between = block, made
+        return self.between[i], self.between[i + 1]
+
+    def worth(self, i: int, j: int) -> float:
+        return _alike(self.p[i], self.q[j])
+
+
+class _Sets:
+    """How many labels two nodes' sets share, by rows of bits."""
+
+    def __init__(self, p: Iterable[set[str]], q: Iterable[set[str]]):
+        p, q = list(p), list(q)
+        number = {label: k for k, label in enumerate(sorted(set().union(*p, *q)))}
+        self.own = [[number[label] for label in x] for x in p]
+        self.sizes_p, self.sizes_q = [len(x) for x in p], np.array([len(x) for x in q])
+        places = [[] for _ in number]
+        for j, x in enumerate(q):
+            for label in x:
+                places[number[label]].append(j)
+        self.places = [np.array(x, np.int64) for x in places]
+        self.m = len(q)
+
+    def shared(self, i: int) -> np.ndarray:
+        out = np.zeros(self.m, np.int64)
+        for label in self.own[i]:
+            out[self.places[label]] += 1
+        return out
+
+
+def _outer(node: Node) -> set[str]:
+    return {x[LABEL] for x in node[PARTS]} if node[LABEL] == "*" else {node[LABEL]}
+
+
 def _one(x: Node, y: Node) -> Node:
     """The node of which both are instances."""
     if x[LABEL] != y[LABEL] or x[LABEL] == "*":

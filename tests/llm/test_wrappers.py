@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessella.llm import wrappers
 from tessella.llm.wrappers import BLOCKS, PARTS, Article, _matches, expression, extract, main_text, merge, op2_wrapper_extraction, wrapper_of
 
 PAGES = [
@@ -166,6 +167,59 @@ def test_deep_and_long_pages():
     assert len(main_text("<article>" + "<p>word" * n, None).split("\n")) == n
 
 
+@pytest.mark.parametrize("depth", [0, 20, 120, 500, 1500])
+def test_depth_doesn_t_change_the_text(depth):
+    """Within any number of elements, alone and by its host's wrapper, which is written and read in between."""
+    page = lambda k: "<body>" + "<div>" * depth + f"<div class=bar>Site bar words</div><div><h1>Title {k}</h1>" + "".join(f"<p>Sentence {j} of the text {k}, with some words of its own.</p>" for j in range(6)) + "</div><div class=related>related junk</div>" + "</div>" * depth
+    want = lambda k: "\n".join([f"Title {k}", *[f"Sentence {j} of the text {k}, with some words of its own." for j in range(6)]])
+    assert _of_host([page(k) for k in range(4)]) == [want(k) for k in range(4)]
+
+
+def _unlike(rnd, n, kinds=12):
+    tags = "p span ul ol dl table pre blockquote h2 h3 figure address b i em".split()
+    return [f"<div class=c{rnd.randrange(4)}>" + "".join(f"<{t}>{rnd.randrange(99)}</{t}>" for t in rnd.sample(tags, rnd.randrange(1, kinds))) + "</div>" + rnd.choice(["", "", "<p>x", "<hr>"]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_by_rows_equals_that_by_pairs(seed, monkeypatch):
+    import random
+
+    rnd = random.Random(seed)
+    sides = [wrappers.stream("<body>" + "".join(_unlike(rnd, rnd.randrange(1, 60))))[0][wrappers.PARTS][0][wrappers.PARTS] for _ in range(2)]
+    for side in sides:
+        if rnd.random() < 0.7:
+            side[:] = wrappers.folded([wrappers._fold(x) if x[wrappers.LABEL] != "#" else x for x in side])
+    found = []
+    for few in (10**9, -1):
+        monkeypatch.setattr(wrappers, "FEW_PAIRS", few)
+        found.append(wrappers._matches(*sides))
+    assert found[0] == found[1]
+
+
+def test_many_unlike_siblings(monkeypatch):
+    """10,000 on each side: seconds, and memory for rows of pairs, not for all pairs."""
+    import random
+    import time
+    import tracemalloc
+
+    rnd = random.Random(1)
+    sides = []
+    for k in (0, 1):
+        nodes = []
+        for j in range(10_000):
+            node = wrappers._node("div")
+            node[wrappers.PARTS] = [wrappers._node(f"x{rnd.randrange(300)}") for _ in range(6)]
+            nodes.append(node)
+        sides.append(nodes)
+    sides[1][::7] = sides[0][::7]
+    tracemalloc.start()
+    began = time.perf_counter()
+    pairs = wrappers._matches(*sides)
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) >= 1428 and pairs == sorted(pairs) and took < 90 and peak < 300e6
+
+
 def test_other_columns_stay(spark):
     rows = [(1, "h", "w", "t", "https://a.example/1", "<p>x", [1], None)]
     df = spark.createDataFrame(rows, "page_id long, host string, wrapper string, text string, url string, html string, label array<int>, salt string")
