@@ -10,9 +10,10 @@ count against it.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,7 +142,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Index:
-    """Postings, frequencies and lengths of the templates: a few hundred literals, whatever the input."""
+    """Postings, frequencies and lengths of the templates, as one value that the plan carries."""
 
     def __init__(self, templates: Sequence[Template]):
         self.templates = list(templates)
@@ -154,6 +155,21 @@ class Index:
         self.idf = {w: math.log(1 + n / len({t for t, _ in own})) for w, own in self.postings.items()}
         self.rarest_first = sorted(self.postings, key=lambda w: (-self.idf[w], w))
 
+    #: Of each template: its label, key phrase between blanks, words, how near places agree, its rarest words, their postings in it and how many these are.
+    SCHEMA = "array<struct<label:string,phrase:string,n:int,slack:int,rare:array<string>,postings:map<string,array<int>>,asked:int>>"
+
+    def as_json(self, rarest: int) -> str:
+        rows = []
+        for template, own in zip(self.templates, self.words, strict=True):
+            places: dict[str, list[int]] = {}
+            for p, w in enumerate(own):
+                places.setdefault(w, []).append(p)
+            rare = sorted(places, key=lambda w: (-self.idf[w], w))[:rarest]
+            postings = {w: places[w] for w in rare}
+            phrase = f" {' '.join(words_of(template.phrase))} "
+            rows.append({"label": template.label, "phrase": phrase, "n": len(own), "slack": max(1, len(own) // 10), "rare": rare, "postings": postings, "asked": sum(map(len, postings.values()))})
+        return json.dumps(rows)
+
     def gate(self) -> str:
         """A pattern for texts that can hold a key phrase at all: the base phrases' last words, and the rarest of a phrase without them."""
         keys = {words_of(phrase)[-1] for phrase, _ in BASE}
@@ -198,6 +214,7 @@ def scan(df: DataFrame, text: str = "text", templates: Sequence[Template] = TEMP
     rows have equal results.
     """
     index = Index(templates)
+    table = F.from_json(F.lit(index.as_json(rarest)), Index.SCHEMA)  # one value for all templates, however many
 
     def places(words: Column) -> Column:
         starts = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.struct(i.alias("start"), F.coalesce(*[F.when(phrase_at(words, i, p), F.lit(label)) for p, label in BASE]).alias("label")))
@@ -208,35 +225,24 @@ def scan(df: DataFrame, text: str = "text", templates: Sequence[Template] = TEMP
         return let(F.struct(words.alias("words"), line.alias("line")), verdicts)
 
     def verdicts(x: Column) -> Column:
-        each = []
-        for t, template in enumerate(index.templates):
-            phrase = F.lit(f" {' '.join(words_of(template.phrase))} ")
-            each.append(F.when(F.contains(x["line"], phrase), aligned(x["words"], t)))
-        return F.filter(F.array(*each), lambda m: m["score"] >= least)
-
-    def aligned(words: Column, t: int) -> Column:
-        own = index.words[t]
-        rare = [w for w in index.rarest_first if w in set(own)][:rarest]
-        asked = sum(own.count(w) for w in rare)
-        n, slack = len(own), max(1, len(own) // 10)
-        postings = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(p) for u, p in index.postings[w] if u == t]))])
-        looked_up = F.array(*map(F.lit, rare))
-        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(looked_up, h["w"]))
-        # where the template would begin, counted from its length before the text, and the posting that says so
-        votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: F.struct((h["i"] - p + n).alias("at"), p.alias("p")))))
+        named = F.filter(table, lambda t: F.contains(x["line"], t["phrase"]))
+        return F.filter(F.transform(named, lambda t: aligned(x["words"], t)), lambda m: m["score"] >= least)
 
-        def agreed(shift: int) -> Callable[[Column], Column]:
-            def one(v: Column) -> Column:
-                once = F.array_distinct(F.transform(v, lambda x: F.struct(F.floor((x["at"] + shift) / slack).cast("int").alias("bin"), x["p"].alias("p"))))
-                found = best_place(F.transform(once, lambda x: x["bin"]))
-                return F.struct(found["best"].alias("best"), (found["at"] * slack - shift - n).alias("at"))
+    def aligned(words: Column, t: Column) -> Column:
+        n, slack = t["n"], t["slack"]
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(t["rare"], h["w"]))
+        # where the template would begin, counted from its length before the text, and the posting that says so
+        votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(t["postings"], h["w"]), lambda p: F.struct((h["i"] - p + n).alias("at"), p.alias("p")))))
 
-            return one
+        def agreed(v: Column, shift: Column) -> Column:
+            once = F.array_distinct(F.transform(v, lambda x: F.struct(F.floor((x["at"] + shift) / slack).cast("int").alias("bin"), x["p"].alias("p"))))
+            found = best_place(F.transform(once, lambda x: x["bin"]))
+            return let(found, lambda f: F.struct(f["best"].alias("best"), (f["at"] * slack - shift - n).alias("at")))
 
         def better(v: Column) -> Column:  # a place near the edge of one bin is inside one of the other
-            either = F.array(let(v, agreed(0)), let(v, agreed(slack // 2))) if slack > 1 else F.array(let(v, agreed(0)))
-            best = F.array_max(either)
-            return F.struct(F.lit(index.templates[t].label).alias("label"), (best["best"] / asked).alias("score"), F.greatest(best["at"], F.lit(0)).cast("long").alias("start"))
+            half = F.floor(slack / 2).cast("int")
+            best = F.array_max(F.transform(F.array_distinct(F.array(F.lit(0), half)), lambda shift: agreed(v, shift)))
+            return let(best, lambda b: F.struct(t["label"].alias("label"), (b["best"] / t["asked"]).alias("score"), F.greatest(b["at"], F.lit(0)).cast("long").alias("start")))
 
         return let(votes, better)
 

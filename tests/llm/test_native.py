@@ -430,3 +430,17 @@ def test_hot_keys_are_split_when_sharding(spark):
     assert len(out) == 3000 and len({r.shard for r in hot}) == 1
     for s in {r.shard for r in out}:
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
+def test_a_thousand_licence_templates_are_one_expression(spark):
+    """The plan is as large for many templates as for one, and is made in no time."""
+    import time
+
+    many = [licences.Template(f"own-{i}", f"Terms of the kind {' '.join(f'w{i * 7 + j}' for j in range(40))} apply", f"terms of the kind w{i * 7}") for i in range(1000)]
+    df = spark.createDataFrame([(1, "x " + many[700].text + " y"), (2, "no licence, only the terms of the kind")], "id int, text string")
+    licences.scan(df)
+    began = time.perf_counter()
+    rows = licences.scan(df, templates=many)
+    assert time.perf_counter() - began < 5
+    got = {r.id: [(m.label, m.score) for m in r.matches] for r in rows.collect()}
+    assert got == {1: [("own-700", 1.0)], 2: []}
