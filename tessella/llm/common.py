@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -36,18 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Tables stashed within each open `scope`, the innermost last.
-_scopes: list[list[DataFrame]] = []
+class _Scopes(threading.local):
+    """Tables stashed within each open `scope` of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables stashed inside are deleted at its end: whatever is read later has to be stashed by then with `keep`."""
-    _scopes.append([])
+    """Tables that this thread stashes inside are deleted at its end: whatever is read later has to be stashed by then with `keep`."""
+    _scopes.open.append([])
     try:
         yield
     finally:
-        discard(*_scopes.pop())
+        discard(*_scopes.open.pop())
 
 
 def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -63,7 +70,7 @@ def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed = path
-    inside = _scopes[:-1] if keep else _scopes
+    inside = _scopes.open[:-1] if keep else _scopes.open
     if inside:
         inside[-1].append(back)
     else:

@@ -312,15 +312,15 @@ def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The page of a document has texts before, between and after two media: the stored
     payload in a figure, and one that the store doesn't have, whose payload stays null.
-    Null texts count as empty; equal texts share one stored payload, read back once.
+    Null texts count as empty. Equal texts have one digest and equal values in all columns
+    but the id; every stored row is read back and held against its digest.
     """
     store = stash(stored(documents(spark, sf_dir), "doc_id", "text"), "media")
     features = stash(media_features(store), "media-features")
-    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     page = F.concat(
-        F.lit("<html><head><title>store</title><body><article><h1>Document "), number, F.lit('</h1><p>What is stored:<figure><img src="sha256:'), F.col("digest"),
+        F.lit('<html><head><title>store</title><body><article><h1>A document</h1><p>What is stored:<figure><img src="sha256:'), F.col("digest"),
         F.lit('" alt="payload"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(' bytes</figcaption></figure><p>What is not: <img src="absent-'),
-        number, F.lit('.png" alt="absent"> and the end.</article>'),
+        F.col("digest"), F.lit('.png" alt="absent"> and the end.</article>'),
     )
     resolved = resolve(interleaved(store.select("doc_id", "n_bytes", page.alias("html"))), features)
     media = F.filter("items", lambda x: x["kind"] == "media")

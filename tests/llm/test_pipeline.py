@@ -85,3 +85,28 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s1", None) for i, t in rows], SCHEMA)
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == Counter([(3, text), (7, other), (None, prose(42, 60)), (9, None), (10, "")])
+
+
+def test_scopes_of_two_threads_are_apart(spark):
+    """What one thread stashes stays when another's scope ends."""
+    import threading
+
+    from tessella.llm.common import scope, stash
+
+    held, opened, done = [], threading.Event(), threading.Event()
+
+    def other():
+        with scope(spark):
+            held.append(stash(spark.range(5).toDF("x"), "other"))
+            opened.set()
+            done.wait(60)
+            held.append(held[0].count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    opened.wait(60)
+    with scope(spark):
+        stash(spark.range(3).toDF("y"), "own")
+    done.set()
+    thread.join()
+    assert held[1] == 5
