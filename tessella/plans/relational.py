@@ -339,13 +339,17 @@ def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECURSIVE = """
-    WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 30)
-    SELECT CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM steps
+    WITH RECURSIVE said(conv_id, turn, chars) AS (
+      SELECT conv_id, turn, CAST(length(text) AS BIGINT) FROM conversations WHERE turn = 0
+      UNION ALL SELECT c.conv_id, c.turn, said.chars + CAST(length(c.text) AS BIGINT) FROM said JOIN conversations c ON c.conv_id = said.conv_id AND c.turn = said.turn + 1)
+    SELECT conv_id, turn, chars FROM said
 """
 
 
 @query("recursive_cte", _RECURSIVE)
 def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations followed turn by turn, in SQL, whose engine bounds the rounds and rows of a recursion; `reachable_nodes` has one without such bounds."""
+    register_views(spark, sf_dir, "conversations")
     return spark.sql(_RECURSIVE)
 
 
