@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join, langid, mixing, packing, secrets
-from tessella.llm.common import discard, documents, n_words, scope, stash
+from tessella.llm.common import WORD, discard, documents, n_words, scope, stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +51,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it, to the nearest whole time; those without words once."""
-    laid, spans = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    sums = mixing.taken(laid, spans).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(1).cast("int").alias("__times")
-    times = stash(sums.select(F.col("doc_id").alias("__id"), times), "mix-times")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__times > 0")
-    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """Every document as often as the mixture takes it, to the nearest whole time; those without words once.
+
+    Documents are told apart by id and text, so that those of one id, or of none, have counts
+    of their own; rows that repeat both are taken equally often.
+    """
+    key, text = F.xxhash64("doc_id", "text"), F.col("text")
+    laid, spans = mixing.mix(docs.select(key.alias("doc_id"), "source", n_words(text).alias("size")))
+    found = stash(mixing.times(laid, spans), "mix-times")
+    return mixing.repeated(docs, found, key, "source", text.rlike(WORD))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

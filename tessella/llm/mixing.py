@@ -49,6 +49,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     return ranked.select("source", "idx", "weight", "source_size", F.least(target, F.col("cap")).alias("target"))
 
 
+def _shuffled(seed: int) -> Column:
+    """The number by which a source's documents are ordered, those of one number by doc_id."""
+    return F.xxhash64("doc_id", F.lit(seed))
+
+
 def _block_start(j: Column) -> Column:
     return j * F.col("base") + F.least(j, F.col("extra"))
 
@@ -106,7 +111,7 @@ def mix(
     sources = stash(sources.withColumn("needs", needs), "mix-sources")
 
     # documents end to end in each source
-    h = F.xxhash64("doc_id", F.lit(seed))
+    h = _shuffled(seed)
     chunk = (F.shiftright(h, 64 - n_chunks.bit_length() + 1) if n_chunks > 1 else F.lit(0)).cast("int")
     named = sources.select(F.col("source").alias("named"), "idx", "source_size", "target", "blocks", "base", "extra")
     n_sources = sources.count()
@@ -162,6 +167,35 @@ def taken(laid: DataFrame, spans: DataFrame) -> DataFrame:
     return some.unionByName(laid.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
+def times(laid: DataFrame, spans: DataFrame, seed: int = 6) -> DataFrame:
+    """One row per source with words: source, more, less, h, last; how often the mixture takes its documents, to the nearest whole time.
+
+    A source's blocks are taken in turn, again and again, so its documents are taken `more`
+    times up to a place in their order, and `less` times after it. The last of the first
+    ones has the number h of `repeated` and the doc_id `last`. A table of documents needs no
+    join with the counts of all documents, only with this one.
+    """
+    counted = taken(laid, spans).where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    most = F.max(F.struct("times", _shuffled(seed).alias("h"), "doc_id")).alias("most")
+    found = counted.groupBy("source").agg(most, F.min("times").alias("less"))
+    return found.select("source", F.col("most.times").alias("more"), "less", F.col("most.h").alias("h"), F.col("most.doc_id").alias("last"))
+
+
+def repeated(docs: DataFrame, found: DataFrame, key: Column, source: str, some: Column, seed: int = 6) -> DataFrame:
+    """Every row of `docs` as often as `found`, of `times`, says; those that aren't `some` (have no words) once.
+
+    `key` is what was the doc_id there, and has no nulls. Rows of one source and key are taken equally often.
+    """
+    few = found.count() <= FEW_SOURCES
+    about = found.select(*[F.col(c).alias(f"__{c}") for c in found.columns])
+    rows = docs.withColumn("__key", key).join(F.broadcast(about) if few else about, F.col(source).eqNullSafe(F.col("__source")), "left")
+    h = F.xxhash64("__key", F.lit(seed))
+    first = (h < F.col("__h")) | ((h == F.col("__h")) & (F.col("__key") <= F.col("__last")))
+    n = F.when(~F.coalesce(some, F.lit(False)) | F.col("__more").isNull(), 1).when(first, F.col("__more")).otherwise(F.col("__less"))
+    rows = rows.withColumn("__times", n).where("__times > 0")
+    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: words that the mixture takes of each."""
     docs = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))

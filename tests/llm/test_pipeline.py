@@ -110,3 +110,20 @@ def test_scopes_of_two_threads_are_apart(spark):
     done.set()
     thread.join()
     assert held[1] == 5
+
+
+def test_mixture_takes_documents_by_row(spark):
+    """As often as the words that the operator takes of each say; rows of one id or of none have counts of their own."""
+    from tessella.llm import mixing
+    from tessella.llm.common import n_words
+
+    rows = [(k % 40 if k % 7 else None, prose(k, 5 + k % 60), "en", None if k % 3 == 0 else f"s{k % 3}", 0) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (1, None, "en", "s1", 0), (2, " \t", "en", "none", 0)], SCHEMA)
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.source_mix(spark, docs, "").collect())
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    taken = {r.doc_id: r for r in mixing.taken(*mixing.mix(keyed)).collect()}
+    want = {}
+    for r in docs.withColumn("key", F.xxhash64("doc_id", "text")).collect():
+        t = taken[r.key]
+        want[r.doc_id, r.text, r.source] = int(t.taken / t["size"] + 0.5) if t["size"] else 1
+    assert got == Counter(want) and len(set(want.values())) > 1
