@@ -26,8 +26,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Patterns are enumerated over lengths rounded up to multiples of capacity / GRID.
 GRID = 128
-#: Entries of a worker's table of words, about 250 bytes each; a full table is kept as the older one, and that goes.
-CACHED_WORDS = 300_000
+#: Bytes of a worker's table of words; a full table is kept as the older one, and that goes.
+CACHED_BYTES = 24 << 20
+#: Of an entry of the table, besides the word and its ids: two objects and its share of the table.
+ENTRY_BYTES = 200
 
 
 class Encoder:
@@ -54,20 +56,24 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.table: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Words are split and numbered by Arrow; each that a batch has is looked up once, and its ids are gathered by place."""
-        if len(self.table) > CACHED_WORDS:
-            self.older, self.table = self.table, {"": b""}
+        if self.held > CACHED_BYTES:
+            self.older, self.table, self.held = self.table, {"": b""}, 0
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         words = split.flatten().dictionary_encode()
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.table.get, names))
         if missing := [k for k, x in enumerate(found) if x is None]:
+            before = len(self.table)
             self._learn({names[k] for k in missing})
             for k in missing:
                 found[k] = self.table[names[k]]
+                self.held += len(names[k]) + len(found[k])
+            self.held += ENTRY_BYTES * (len(self.table) - before)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         at = words.indices.to_numpy()
         own = sizes[at]

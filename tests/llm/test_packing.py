@@ -26,7 +26,7 @@ def test_ids_equal_the_tokenizers_own(encoder):
 
 
 def test_full_tables_are_kept_as_the_older_ones(monkeypatch, encoder):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHED_BYTES", 600)
     small = Encoder(default_tokenizer())
     for texts in (["one Two, three four. five"], ["two three"], ["five One"], ["Two, six"], ["", " "], ["one Two, three four. five"]):
         assert small.encode(texts) == encoder.encode(texts)
