@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from tessella.operators.ordered import LEAST, ROWS
 from tessella.shipping import ship
+from tessella.sources.scratch import written
 
 #: Keys whose states a task holds before it passes them on.
 HELD_KEYS = 50_000
@@ -108,6 +110,74 @@ def _packed(held: dict[tuple, Any], names: list[str], schema: pa.Schema, rounds_
     return pa.RecordBatch.from_arrays([*columns, states, pa.array([part] * len(held), pa.int32())], [*names, "state", "part"])
 
 
+def in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], aggregate: Aggregate, out: str, kind: str, rows: int = ROWS) -> DataFrame:
+    """(by, out): an aggregate whose result depends on the order of a key's rows; `merge(a, b)` only has to be associative, a standing before b.
+
+    The table is sorted once in ranges of (by, order, columns) of about `rows` rows, which a
+    task reads batch by batch, with the state of one key at a time. A key inside a range is
+    done there. Only the first and the last key of a range can go on in others: their
+    states, two a range, are merged in the order of the ranges. So a key may be the whole
+    table, and most keys are never grouped. Rows that tie in all columns are alike and stand
+    in one range. Nulls in `columns` come as nan; null keys are a key. Columns are numbers.
+    """
+    ship(df.sparkSession)
+    keys = df.select(*by).schema
+    names, n_keys = [f"k{i}" for i in range(len(by))], len(by)
+    falls = [c.endswith(" desc") for c in order]
+    sort = [f"o{i}" for i in range(len(order))]
+    given = [F.col(c.removesuffix(" desc")).alias(n) for c, n in zip(order, sort, strict=True)]
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(f"v{i}") for i, c in enumerate(columns)]
+    placed = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], *given, *values)
+    along = [*names, *[F.desc(n) if x else F.asc(n) for n, x in zip(sort, falls, strict=True)], *[f"v{i}" for i in range(len(columns))]]
+    parts = max(LEAST, -(-df.count() // rows))
+    ranged = placed.repartitionByRange(parts, *along).sortWithinPartitions(*along).drop(*sort)
+    own = StructType(placed.select(*names).schema.fields)
+    done = StructType([*own.fields, *StructType.fromDDL(f"result {kind}").fields])
+    schema = StructType([*done.fields, *StructType.fromDDL("state binary, at int").fields])
+    result_type = to_arrow_type(done["result"].dataType)
+    types = [*[to_arrow_type(f.dataType) for f in own.fields], result_type, pa.binary(), pa.int32()]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, key, state, first = TaskContext.get().partitionId(), None, None, True
+        for batch in batches:
+            made = []
+            for now, own_values in _runs(batch, n_keys):
+                if now != key:
+                    if key is not None:
+                        made.append((*key, None, pickle.dumps(state), at) if first else (*key, aggregate.result(state), None, at))
+                        first = False
+                    key, state = now, aggregate.create()
+                state = aggregate.update(state, own_values)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*key, None, pickle.dumps(state), at), types, strict=True)], schema.names)
+
+    def last(table: pa.Table) -> pa.Table:
+        state = aggregate.create()
+        for x in table.sort_by("at").column("state").to_pylist():
+            state = aggregate.merge(state, pickle.loads(x))  # noqa: S301  what this operator's tasks wrote
+        return pa.Table.from_arrays([*[table.column(n).slice(0, 1) for n in names], pa.array([aggregate.result(state)], result_type)], done.names)
+
+    found = written(ranged.mapInArrow(partial, schema), "in-order")
+    edges = found.where("state is not null").select(*names, "state", "at").groupBy(*names).applyInArrow(last, done)
+    return found.where("state is null").select(*done.names).unionByName(edges).toDF(*keys.names, out)
+
+
+def _runs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """The keys of a sorted batch, each with the values of its rows."""
+    values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[n_keys:]]
+    new = np.zeros(len(batch), bool)
+    new[:1] = True
+    for c in batch.columns[:n_keys]:
+        codes = pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(new)
+    heads = [c.take(pa.array(starts)).to_pylist() for c in batch.columns[:n_keys]]
+    for i, (low, high) in enumerate(zip(starts, [*starts[1:], len(batch)], strict=True)):
+        yield tuple(h[i] for h in heads), [v[low:high] for v in values]
+
+
 # Aggregates that Spark lacks.
 
 
@@ -186,6 +256,44 @@ class Regression:
         return [float(mean[k] - slopes @ mean[:k]), *map(float, slopes)]
 
 
+class LongestRise:
+    """The most rows in a row of which each is greater than the one before; nan is greater than nothing, and nothing than it.
+
+    A state tells of its stretch of rows: how many, the first and the last value, how many
+    rise from its start, how many to its end, and how many at most.
+    """
+
+    def create(self) -> tuple | None:
+        return None
+
+    def update(self, state: tuple | None, columns: Sequence[np.ndarray]) -> tuple | None:
+        x = columns[0]
+        if not len(x):
+            return state
+        breaks = np.flatnonzero(~(x[1:] > x[:-1])) + 1
+        runs = np.diff(breaks, prepend=0, append=len(x))
+        return self.merge(state, (len(x), float(x[0]), float(x[-1]), int(runs[0]), int(runs[-1]), int(runs.max())))
+
+    def merge(self, a: tuple | None, b: tuple | None) -> tuple | None:
+        if a is None or b is None:
+            return a or b
+        (n, first, end, head, tail, best), (m, start, last, head_b, tail_b, best_b) = a, b
+        rises = start > end
+        return (
+            n + m, first, last,
+            n + head_b if rises and head == n else head,
+            m + tail if rises and tail_b == m else tail_b,
+            max(best, best_b, tail + head_b if rises else 0),
+        )
+
+    def result(self, state: tuple | None) -> int | None:
+        return state and state[5]
+
+
+def longest_rise(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str = "longest", rows: int = ROWS) -> DataFrame:
+    return in_order(df, by, order, [value], LongestRise(), out, "long", rows)
+
+
 def regression(df: DataFrame, by: Sequence[str], x: Sequence[str], y: str, out: str = "coefficients") -> DataFrame:
     return two_phase(df, by, [*x, y], Regression(), out, "array<double>")
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.aggregates import exact_sum, regression
+from tessella.operators.aggregates import exact_sum, longest_rise, regression
 from tessella.operators.tables import CHANGES
 from tessella.operators.temporal import as_of_join
 from tessella.plans.registry import query
@@ -120,18 +120,8 @@ def _drop(spark: SparkSession, name: str) -> None:
     """,
 )
 def udf_longest_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest run of rising order prices of each customer, whose orders are a group that fits a task."""
-
-    @F.pandas_udf("long")
-    def longest(order: pd.Series, price: pd.Series) -> int:
-        prices = price.to_numpy()[order.to_numpy().argsort()]
-        best = run = 1
-        for rises in prices[1:] > prices[:-1]:
-            run = run + 1 if rises else 1
-            best = max(best, run)
-        return best
-
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(longest("o_orderkey", "o_totalprice").alias("longest"))
+    """The longest run of rising order prices of each customer: an aggregate that depends on the order of rows, in states that ranges of them merge to."""
+    return longest_rise(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_totalprice")
 
 
 @query(

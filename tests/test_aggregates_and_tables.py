@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import aggregates
-from tessella.operators.aggregates import exact_sum, regression
+from tessella.operators.aggregates import LongestRise, exact_sum, longest_rise, regression
 from tessella.operators.tables import CHANGES
 from tessella.shipping import ship
 
@@ -47,6 +47,38 @@ def test_states_move_and_no_rows(spark):
     assert exact_sum(df.where("false"), ["k"], "v", "s").collect() == []
 
 
+def _rise(values: list[float | None]) -> int:
+    best = run = 1
+    for a, b in zip(values, values[1:], strict=False):
+        run = run + 1 if a is not None and b is not None and b > a else 1
+        best = max(best, run)
+    return best
+
+
+def test_longest_rise_of_a_hot_key_over_many_ranges(spark):
+    rnd = random.Random(5)
+    rows = [("hot" if rnd.random() < 0.9 else rnd.choice(["a", "b", None]), t, rnd.choice([None, *map(float, range(8))]) if t % 300 > 120 else float(t)) for t in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long, v double").repartition(5)
+    got = {r.k: r.longest for r in longest_rise(df, ["k"], ["t"], "v", rows=100).collect()}
+    assert got == {k: _rise([v for g, _, v in rows if g == k]) for k in ("hot", "a", "b", None)}
+    back = {r.k: r.longest for r in longest_rise(df, ["k"], ["t desc"], "v", rows=100).collect()}
+    assert back == {k: _rise([v for g, _, v in reversed(rows) if g == k]) for k in ("hot", "a", "b", None)}
+    one = longest_rise(df, [], ["t"], "v", "n", rows=100)
+    assert one.columns == ["n"] and [r.n for r in one.collect()] == [_rise([v for _, _, v in rows])]
+    assert longest_rise(df.where("false"), ["k"], ["t"], "v").collect() == []
+
+
+def test_stretches_merge_wherever_they_are_cut():
+    rnd = random.Random(6)
+    for _ in range(200):
+        x = np.array([rnd.choice([math.nan, *range(6)]) for _ in range(rnd.randint(1, 25))], float)
+        cuts = sorted(rnd.randint(0, len(x)) for _ in range(3))
+        state = LongestRise().create()
+        for part in np.split(x, cuts):
+            state = LongestRise().update(state, [part])
+        assert LongestRise().result(state) == _rise([None if math.isnan(v) else v for v in x])
+
+
 @pytest.fixture
 def changes(spark):
     ship(spark)
