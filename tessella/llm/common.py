@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,6 +58,37 @@ def scope(spark: SparkSession) -> Iterator[None]:
         discard(*_scopes.open.pop())
 
 
+#: Rows of one batch between Spark and Python while a table is stashed: of long texts, Spark's own number makes batches of tens of MB, of which a task holds several.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+class _ShortBatches:
+    """Sets the rows of a batch while any thread is inside, and sets them back when the last one leaves."""
+
+    def __init__(self) -> None:
+        self.lock, self.inside, self.before = threading.Lock(), 0, ""
+
+    @contextmanager
+    def __call__(self, spark: SparkSession) -> Iterator[None]:
+        with self.lock:
+            if self.inside == 0:
+                self.before = spark.conf.get(_BATCH)
+                if not 0 < int(self.before) <= BATCH_ROWS:
+                    spark.conf.set(_BATCH, str(BATCH_ROWS))
+            self.inside += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.inside -= 1
+                if self.inside == 0:
+                    spark.conf.set(_BATCH, self.before)
+
+
+_short_batches = _ShortBatches()
+
+
 def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back.
 
@@ -67,7 +99,8 @@ def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stashed = path
     inside = _scopes.open[:-1] if keep else _scopes.open
@@ -148,6 +181,13 @@ def salted(n_chunks: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n_chunks)).cast("int")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, unless PYTHONPATH already leads their Python to it."""
     root = Path(__file__).resolve().parents[2]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.llm.common import discard, documents, ship, stash
+from tessella.llm.common import discard, documents, ship, slices, stash
 
 #: Most frequent n-grams that the global order puts last; any order gives the same links.
 FREQUENT = 1 << 15
@@ -233,7 +233,7 @@ def _summaries(n: int):
             waiting.clear()
             held = 0
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = ngram_set(text, n)
@@ -260,18 +260,16 @@ def _prefixes(order, n: int, percent: int, whole: bool = False):
     """The prefix n-grams of each text, or all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for k in range(0, len(rows), 500):
-                batch = rows.slice(k, 500)
-                ids, codes = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = order.value.arrange(ngram_set(text, n))
-                    size = len(own)
-                    if not whole:
-                        own = own[: size - (percent * size + 99) // 100 + 1 + size // SPARE]
-                    ids.append(np.full(len(own), doc, np.int64))
-                    codes.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(ids))], ["gram", "id"])
+        for batch in slices(batches):
+            ids, codes = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = order.value.arrange(ngram_set(text, n))
+                size = len(own)
+                if not whole:
+                    own = own[: size - (percent * size + 99) // 100 + 1 + size // SPARE]
+                ids.append(np.full(len(own), doc, np.int64))
+                codes.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(ids))], ["gram", "id"])
 
     return run
 
@@ -287,7 +285,7 @@ def _compare(order, n: int, percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         block, ids, roles, sets = None, [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             for key, part, role, doc, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if block != (key, part):
                     yield from close()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import documents, ship, stash
+from tessella.llm.common import documents, ship, slices, stash
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -144,7 +144,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {"lang": pa.array([lang] * (len(at) + 1)), "bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(own[at], texts[lang]), pa.int64())}
             )
 
-    for batch in batches:
+    for batch in slices(batches):
         langs = batch.column(1).to_pylist()
         for lang in langs:
             texts[lang] = texts.get(lang, 0) + 1
@@ -198,7 +198,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(shared, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block: Block = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [x if has_letter(x) else None for x in batch.column(at).to_pylist()]
                 logits = block.logits(texts)
                 best = np.argmax(logits, axis=1) if len(texts) else np.zeros(0, int)
