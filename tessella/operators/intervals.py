@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import ROWS, running
+
 #: Rows of one side that meet in one cell, about; beyond it a cell is dealt out.
 CELL_ROWS = 100_000
 MOST_DEALS = 4096
@@ -36,6 +38,32 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, by: Seq
     return pairs.select(*[F.col(f"a.{c}").alias(c) for c in left.columns], *[F.col(f"b.{c}").alias(c) for c in right.columns if c not in by])
 
 
+def overlap_counts(df: DataFrame, key: str, low: str, high: str, rows: int = ROWS) -> DataFrame:
+    """(key, others): with how many intervals [low, high) of other keys those of a key overlap, pair by pair; keys without any are left out.
+
+    No pair is made: an interval overlaps those that begin before its end, but for those
+    that end by its begin, and both are running counts over all ends and begins in order,
+    ends first. What a key's own intervals have in common is counted likewise and taken
+    off. So work grows with the intervals, however many overlap. An empty interval, a null
+    bound and a null key meet nothing.
+    """
+    kind = df.schema[low].dataType.simpleString()
+    spans = df.select(F.col(key).alias("k"), _whole(F.col(low), kind).alias("low"), _whole(F.col(high), kind).alias("high")).where("k is not null and low < high")
+    all_met = _counted(spans, [], rows).groupBy("k").agg(F.sum("n").alias("n"), F.sum("begins").alias("spans"))
+    several = spans.groupBy("k").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("k")
+    own = _counted(spans.join(several, "k", "left_semi"), ["k"], rows).groupBy("k").agg(F.sum("n").alias("own"))
+    met = all_met.join(own, "k", "left").select(F.col("k").alias(key), (F.col("n") - F.coalesce("own", "spans")).alias("others"))
+    return met.where("others > 0")
+
+
+def _counted(spans: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """(k, begins, n) for both bounds of each interval: the sum of n over them is how many overlap it, itself included."""
+    bound = lambda c, begins: F.struct(F.col(c).alias("at"), F.lit(begins).cast("long").alias("begins"))
+    bounds = spans.select("k", F.explode(F.array(bound("low", 1), bound("high", 0))).alias("b")).select("k", "b.*")
+    seen = running(bounds, by, ["at", "begins"], sums={"__begun": F.col("begins"), "__ended": 1 - F.col("begins")}, rows=rows)
+    return seen.select("k", "begins", F.when(F.col("begins") == 1, -F.col("__ended")).otherwise(F.col("__begun")).alias("n"))
+
+
 def _whole(c: Column, kind: str) -> Column:
     if kind.startswith("timestamp"):
         return F.unix_micros(c.cast("timestamp"))

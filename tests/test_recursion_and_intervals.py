@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators.fixpoint import fixpoint, reachable
-from tessella.operators.intervals import overlap_join
+from tessella.operators.intervals import overlap_counts, overlap_join
 
 
 def _spans(n, seed, hot=0.0):
@@ -42,6 +42,21 @@ def test_a_long_range_isn_t_copied_by_its_length(spark):
     assert overlap_join(long, many, "low", "high", (), "low2", "high2").count() == 1000
 
 
+@pytest.mark.parametrize(("keys", "rows"), [(1000, 200_000), (1000, 20), (40, 20)])
+def test_overlap_counts_equal_comparing_all(spark, keys, rows):
+    made = [(None if i == 7 else i % keys, low, high) for i, _, low, high in _spans(150, 3, 0.2)]
+    got = overlap_counts(spark.createDataFrame(made, "i long, low long, high long").repartition(3), "i", "low", "high", rows)
+    full = [x for x in made if None not in x and x[1] < x[2]]
+    pairs = [a[0] for a in full for b in full if a[0] != b[0] and a[1] < b[2] and b[1] < a[2]]
+    assert {r.i: r.others for r in got.collect()} == {i: pairs.count(i) for i in set(pairs)}
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    many = spark.range(200_000).select("id", F.lit(0).alias("low"), F.lit(9).alias("high"))  # 4 * 10^10 pairs
+    got = overlap_counts(many, "id", "low", "high")
+    assert got.agg(F.min("others"), F.max("others"), F.count("id")).first()[:] == (199_999, 199_999, 200_000)
+
+
 def test_reachable_equals_a_search(spark):
     rnd = random.Random(4)
     edges = [(rnd.choice([0, rnd.randrange(80)]), rnd.randrange(80)) for _ in range(110)] + [(None, 3), (3, None), (200, 201), (5, 5)]
