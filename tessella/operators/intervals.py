@@ -8,19 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.ordered import ROWS, running
+from tessella.sources.scratch import written
 
 #: Rows of one side that meet in one cell, about; beyond it a cell is dealt out.
 CELL_ROWS = 100_000
 MOST_DEALS = 4096
+#: Rows of both sides of a key that are compared each with each.
+FEW = 1000
 
+#: The least i with 2^i at least the length: binary digits of the length less one.
+_LEVEL = "if(last = low, 0, length(bin(last - low)))"
 
-def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, by: Sequence[str] = (), right_low: str | None = None, right_high: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+
+def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, by: Sequence[str] = (), right_low: str | None = None, right_high: str | None = None, cell_rows: int = CELL_ROWS, few: int = FEW) -> DataFrame:
     """All pairs whose intervals [low, high) overlap and whose `by` are equal: the columns of `left`, then those of `right` other than `by`.
 
     Bounds are whole numbers, dates or timestamps, of one type on both sides; other column
     names differ. An interval that is empty or has a null bound, and a null in `by`, meet
     nothing.
 
+    Rows whose `by` has at most `few` rows on both sides meet by it alone: they move once
+    and none is copied. Those of other keys, and all without `by`, meet in cells.
+
     An interval of length up to 2^i has level i and lies in one or two cells of that width.
     Of a pair, the longer one stands in its own cells and the shorter one asks for those
     of the longer one's level, of which it also meets two at most. So nothing is copied in
@@ -30,12 +39,26 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, by: Seq
     out by hash and the longer ones copied to each part.
     """
     right_low, right_high = right_low or low, right_high or high
-    a, b = _levelled(left, low, high, by, "a"), _levelled(right, right_low, right_high, by, "b")
+    a, b = _bounded(left, low, high, by, "a"), _bounded(right, right_low, right_high, by, "b")
+    keys = [f"__by{i}" for i in range(len(by))]
+    pairs = None
+    if by:
+        sizes = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).unionByName(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+        many = written(sizes.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > few).select(*keys), "keys-of-many")
+        hot = not many.isEmpty()
+        rest_a, rest_b = (x.join(many, keys, "left_anti") if hot else x for x in (a, b))
+        pairs = rest_a.join(rest_b.withColumnsRenamed({"low": "low2", "last": "last2"}), keys).where("low <= last2 and low2 <= last")
+        if hot:
+            a, b = a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi")
+    outs = [*[F.col(f"__a{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"__b{i}").alias(c) for i, c in enumerate(right.columns) if c not in by]]
+    if by and not hot:
+        return pairs.select(*outs)
+    a, b = (x.withColumn("level", F.expr(_LEVEL)) for x in (a, b))
     levels_a, levels_b = _levels(a), _levels(b)
-    longer_left = _met(a, b, levels_a, levels_b, cell_rows, equal=True)
-    longer_right = _met(b, a, levels_b, levels_a, cell_rows, equal=False)
-    pairs = longer_left.select("a", "b").unionByName(longer_right.select("a", "b"))
-    return pairs.select(*[F.col(f"a.{c}").alias(c) for c in left.columns], *[F.col(f"b.{c}").alias(c) for c in right.columns if c not in by])
+    longer_left = _met(a, b, keys, levels_a, levels_b, cell_rows, equal=True)
+    longer_right = _met(b, a, keys, levels_b, levels_a, cell_rows, equal=False)
+    met = longer_left.select(*outs).unionByName(longer_right.select(*outs))
+    return pairs.select(*outs).unionByName(met) if by else met
 
 
 def overlap_counts(df: DataFrame, key: str, low: str, high: str, rows: int = ROWS) -> DataFrame:
@@ -70,15 +93,12 @@ def _whole(c: Column, kind: str) -> Column:
     return F.unix_date(c).cast("long") if kind == "date" else c.cast("long")
 
 
-def _levelled(df: DataFrame, low: str, high: str, by: Sequence[str], side: str) -> DataFrame:
-    """(by, side's row, low, last, level): last is the greatest whole number in the interval."""
+def _bounded(df: DataFrame, low: str, high: str, by: Sequence[str], side: str) -> DataFrame:
+    """(__by0.., the side's columns as __a0.. or __b0.., low, last): last is the greatest whole number in the interval. Columns that the caller drops aren't moved."""
     kind = df.schema[low].dataType.simpleString()
-    rows = df.select(F.struct(*by).alias("by") if by else F.struct(F.lit(0).alias("all")).alias("by"), F.struct(*df.columns).alias(side), _whole(F.col(low), kind).alias("low"), (_whole(F.col(high), kind) - 1).alias("last"))
-    for c in by:
-        rows = rows.where(F.col(f"by.{c}").isNotNull())
-    # the least i with 2^i at least the length: binary digits of the length less one
-    level = F.when(F.col("last") == F.col("low"), 0).otherwise(F.length(F.bin(F.col("last") - F.col("low"))))
-    return rows.where("low <= last").withColumn("level", level)
+    keys, own = [F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], [F.col(c).alias(f"__{side}{i}") for i, c in enumerate(df.columns)]
+    rows = df.select(*keys, *own, _whole(F.col(low), kind).alias("low"), (_whole(F.col(high), kind) - 1).alias("last"))
+    return rows.dropna(subset=[f"__by{i}" for i in range(len(by))]).where("low <= last") if by else rows.where("low <= last")
 
 
 def _levels(rows: DataFrame) -> dict[int, tuple[int, int, int]]:
@@ -87,21 +107,22 @@ def _levels(rows: DataFrame) -> dict[int, tuple[int, int, int]]:
     return {r.level: (r.n, r.low, r.last) for r in found.collect()}
 
 
-def _met(longer: DataFrame, shorter: DataFrame, own: dict, other: dict, cell_rows: int, equal: bool) -> DataFrame:
+def _met(longer: DataFrame, shorter: DataFrame, keys: Sequence[str], own: dict, other: dict, cell_rows: int, equal: bool) -> DataFrame:
     """Pairs whose first side has the higher level, or the same if `equal`."""
-    side, asks = ("a", "b") if "a" in longer.columns else ("b", "a")
+    sides, asks = ([c for c in x.columns if c[:3] in ("__a", "__b") and c not in keys] for x in (longer, shorter))
     usable = {i: _deals(i, {j: x for j, x in other.items() if j <= i}, cell_rows) for i in own if any(j < i or equal and j == i for j in other)}
     deals = F.create_map(*[F.lit(x) for i, n in usable.items() for x in (i, n)]) if usable else F.create_map().cast("map<int,int>")
     cells = F.expr("array_distinct(array(shiftright(low, level), shiftright(last, level)))")
     held = longer.where(F.col("level").isin(list(usable))).withColumn("deals", F.element_at(deals, F.col("level")))
-    held = held.select("by", side, "low", "last", "level", F.explode(cells).alias("cell"), "deals")
-    held = held.select("by", side, "low", "last", "level", "cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    held = held.select(*keys, *sides, "low", "last", "level", F.explode(cells).alias("cell"), "deals")
+    held = held.select(*keys, *sides, "low", "last", "level", "cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
     above = F.filter(F.array(*[F.lit(i) for i in sorted(usable)]).cast("array<int>"), lambda i: (i >= F.col("level")) if equal else (i > F.col("level")))
-    asking = shorter.select("by", asks, F.col("low").alias("low2"), F.col("last").alias("last2"), F.explode(above).alias("level"), F.col("low"), F.col("last"))
-    asking = asking.select("by", asks, "low2", "last2", "level", F.explode(cells).alias("cell"))
-    asking = asking.withColumn("deal", F.pmod(F.xxhash64("low2", "last2", asks), F.element_at(deals, F.col("level"))).cast("int"))
+    asking = shorter.select(*keys, *asks, F.col("low").alias("low2"), F.col("last").alias("last2"), F.explode(above).alias("level"), F.col("low"), F.col("last"))
+    asking = asking.select(*keys, *asks, "low2", "last2", "level", F.explode(cells).alias("cell"))
+    dealt = F.pmod(F.xxhash64("low2", "last2", *asks), F.element_at(deals, F.col("level"))) if any(n > 1 for n in usable.values()) else F.lit(0)
+    asking = asking.withColumn("deal", dealt.cast("int"))
     first = F.expr("greatest(shiftright(low, level), shiftright(low2, level))")
-    met = held.join(asking, ["by", "level", "cell", "deal"])
+    met = held.join(asking, [*keys, "level", "cell", "deal"])
     return met.where((F.col("low") <= F.col("last2")) & (F.col("low2") <= F.col("last")) & (F.col("cell") == first))
 
 

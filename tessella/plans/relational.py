@@ -384,7 +384,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = orders.join(spans, "o_orderkey").select(F.col("o_orderkey").alias("ship_key"), F.col("o_custkey").alias("cust"), "low2", "high2")
     ever = [F.lit(x).cast("timestamp_ntz") for x in ("1900-01-01", "2100-01-01")]
     always = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("ship_key"), F.col("c_custkey").alias("cust"), ever[0].alias("low2"), ever[1].alias("high2"))
-    met = overlap_join(opened, shipped.unionByName(always), "low", "high", ["cust"], "low2", "high2")
+    met = overlap_join(opened, written(shipped.unionByName(always), "shipped"), "low", "high", ["cust"], "low2", "high2")
     return met.select("order_key", "ship_key")
 
 

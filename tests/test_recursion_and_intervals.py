@@ -42,6 +42,19 @@ def test_a_long_range_isn_t_copied_by_its_length(spark):
     assert overlap_join(long, many, "low", "high", (), "low2", "high2").count() == 1000
 
 
+@pytest.mark.parametrize("few", [1, 8, 1000])
+def test_keys_of_few_rows_meet_without_copies(spark, few):
+    a, b = ([(i, i % 5 if i % 3 else 0, low, high) for i, _, low, high in _spans(90, s)] for s in (5, 6))
+    left, right = spark.createDataFrame(a, "i long, k long, low long, high long"), spark.createDataFrame(b, "j long, k long, low2 long, high2 long")
+    got = overlap_join(left, right, "low", "high", ["k"], "low2", "high2", few=few)
+    full = lambda r: None not in r and r[2] < r[3]
+    want = [(x[0], y[0]) for x in a for y in b if full(x) and full(y) and x[1] == y[1] and x[2] < y[3] and y[2] < x[3]]
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted(want)
+    if few == 1000:
+        plan = got.select("i", "j")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Union" not in plan
+
+
 @pytest.mark.parametrize(("keys", "rows"), [(1000, 200_000), (1000, 20), (40, 20)])
 def test_overlap_counts_equal_comparing_all(spark, keys, rows):
     made = [(None if i == 7 else i % keys, low, high) for i, _, low, high in _spans(150, 3, 0.2)]
