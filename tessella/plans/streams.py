@@ -84,8 +84,9 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_state", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals in keyed state, which users leave who stay away for two days; the totals of a user are the last of each stay, added up."""
-    days = [x for half in _halves(spark, sf_dir) for x in (half.where("day(ts) % 15 < 8"), half.where("day(ts) % 15 >= 8"))]
-    stream = with_event_time(replayed(days, "totals"), "ts", "1 hour").select("user_id", "value", "ts")
+    halves = [half.select("user_id", "value", "ts") for half in _halves(spark, sf_dir)]
+    days = [x for half in halves for x in (half.where("day(ts) % 15 < 8"), half.where("day(ts) % 15 >= 8"))]
+    stream = with_event_time(replayed(days, "totals"), "ts", "1 hour")
     rows = drained(running_totals(stream, "user_id", "value", "ts", "2 days"), "state")
     stays = rows.groupBy("user_id", "since").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
     return stays.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
@@ -137,7 +138,7 @@ def stream_distinct_within_watermark(spark: SparkSession, sf_dir: str) -> DataFr
 )
 def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts of visits, by keyed state with timers, over several batches."""
-    stream = with_event_time(replayed(list(_halves(spark, sf_dir)), "visits"), "ts", "1 hour").select("user_id", "ts")
+    stream = with_event_time(replayed([x.select("user_id", "ts") for x in _halves(spark, sf_dir)], "visits"), "ts", "1 hour")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it

@@ -13,6 +13,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tessella.sources.scratch import scratch
 
+#: Files of a batch of a replay.
+MOST_FILES = 16
+#: Buckets that keys are held in as state: fixed, as a stream's partitions are.
+BUCKETS = 1024
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
     """The table as a stream of its files."""
@@ -21,13 +26,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _files(spark: SparkSession, path: str) -> int:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    return len(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path) or [])
+
+
 def replayed(parts: Sequence[DataFrame], name: str) -> DataFrame:
-    """A stream that brings the rows of each part in a batch of its own, in this order."""
+    """A stream that brings the rows of each part in a batch of its own, in this order.
+
+    A part is written by several tasks. A batch takes a fixed number of files, so a part
+    of fewer gets empty ones.
+    """
     spark, path = parts[0].sparkSession, scratch(parts[0].sparkSession, name)
+    files, empty = min(MOST_FILES, max(part.rdd.getNumPartitions() for part in parts)), spark.createDataFrame([], parts[0].schema).coalesce(1)
     for i, part in enumerate(parts):  # a file source takes files by their time, which may be kept in whole seconds
         time.sleep(1.1 if i else 0)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.coalesce(files).write.mode("append").parquet(path)
+        for _ in range((i + 1) * files - _files(spark, path)):
+            empty.write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
@@ -67,32 +84,53 @@ def session_counts(stream: DataFrame, time: str, gap: str, key: str) -> DataFram
     return grouped.select(key, F.col("w.start").alias("start"), "n")
 
 
-def running_totals(stream: DataFrame, key: str, value: str, at: str, idle: str) -> DataFrame:
+def _in_buckets(stream: DataFrame, key: str, at: str, buckets: int) -> DataFrame:
+    """The stream with __bucket, -1 for null keys only, and __at in microseconds; pandas keeps whole numbers whole only where none is null."""
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    whole = stream.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    made = stream.withColumns({"__bucket": bucket, "__at": F.unix_micros(F.col(at).cast("timestamp"))}).where("__at is not null")
+    return made.withColumn(key, F.coalesce(key, F.lit(0))) if whole else made
+
+
+def running_totals(stream: DataFrame, key: str, value: str, at: str, idle: str, buckets: int = BUCKETS) -> DataFrame:
     """Per key and batch: the number of events and the sum of values since `since`, in keyed state that ends.
 
     `stream` has a watermark on `at`. When the watermark is `idle` (such as "7 days") past
     a key's last event, its state goes; a later event begins new totals, with a `since` of
     its own. So state holds the keys of the last days, and the totals of a key are the last
-    of each `since`, added up.
+    of each `since`, added up. Keys are held by bucket, as a call of Python for each costs
+    more than its rows. Rows without a time are left out.
     """
     pause = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    names = ["since", "last", "n", "total"]
+
+    def update(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(state.get[0], zip(*state.get[1:], strict=True), strict=True)) if state.exists else {}
+        fresh = set()
+        for frame in () if state.hasTimedOut else frames:
+            by = pd.Series([None] * len(frame), dtype=object) if bucket[0] == -1 else frame[key].reset_index(drop=True)
+            rows = pd.DataFrame({"k": by, "at": (frame["__at"] // 1000).to_numpy(), "v": frame[value].to_numpy()}).groupby("k", dropna=False, sort=False)
+            found = rows.agg(since=("at", "min"), last=("at", "max"), n=("at", "size"), total=("v", "sum"))
+            keys = [None] if bucket[0] == -1 else found.index.tolist()
+            for k, since, last, n, total in zip(keys, *(found[c].tolist() for c in names), strict=True):
+                before = held.get(k)
+                held[k] = (since, last, n, float(total)) if before is None else (before[0], max(before[1], last), before[2] + n, before[3] + total)
+                fresh.add(k)
+        now = state.getCurrentWatermarkMs()
+        out = [(k, held[k][0], held[k][2], held[k][3]) for k in fresh]
+        held = {k: x for k, x in held.items() if k in fresh or x[1] + pause > now}
+        if held:
+            state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+            state.setTimeoutTimestamp(max(min(x[1] for x in held.values()) + pause, now + 1))
+        elif state.exists:
             state.remove()
-            return
-        since, last, n, total = state.get if state.exists else (None, 0, 0, 0.0)
-        for frame in frames:
-            times = frame["__at"]
-            since = int(times.min()) if since is None else since
-            last, n, total = max(last, int(times.max())), n + len(frame), total + float(frame[value].sum())
-        state.update((since, last, n, total))
-        state.setTimeoutTimestamp(max(last + pause, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]], "since": [since], "n": [n], "total": [total]})
+        if out:
+            yield pd.DataFrame(out, columns=[key, "since", "n", "total"])
 
     kind = stream.schema[key].dataType.simpleString()
-    timed = stream.withColumn("__at", F.unix_millis(at))
-    return timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, since long, n long, total double", "since long, last long, n long, total double", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = _in_buckets(stream, key, at, buckets).groupBy("__bucket")
+    held = f"keys array<{kind}>, since array<long>, last array<long>, n array<long>, total array<double>"
+    return timed.applyInPandasWithState(update, f"{key} {kind}, since long, n long, total double", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_of_window(stream: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
@@ -101,42 +139,61 @@ def first_of_window(stream: DataFrame, time: str, width: str, *keys: str) -> Dat
     return w.select(F.col("w.start").alias("start"), *keys)
 
 
-def visit_starts(stream: DataFrame, by: str, at: str, gap: pd.Timedelta) -> DataFrame:
+def visit_starts(stream: DataFrame, by: str, at: str, gap: pd.Timedelta, buckets: int = BUCKETS) -> DataFrame:
     """(by, start): the first event of each visit, which is over when `gap` goes by without another.
 
     The state of a key is the time of its last event, and goes with a timer when the
     watermark has passed the end of the visit. Events of one batch may come in any order,
-    batches come in order of time.
+    batches come in order of time. Keys are held by bucket, each with one timer, as every
+    question to the state store costs more than a key's rows. Rows without a time are left out.
     """
-    kind, stamp = stream.schema[by].dataType.simpleString(), stream.schema[at].dataType.simpleString()
+    kind, stamp = stream.schema[by].dataType.simpleString(), stream.schema[at].dataType
+    pause = int(gap.total_seconds() * 1_000_000)
 
     class Visits(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", f"last {stamp}")
+            self.last = handle.getValueState("last", f"keys array<{kind}>, last array<long>")
 
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-            times = pd.concat([frame[at] for frame in rows]).sort_values()
-            before = self.last.get()[0] if self.last.exists() else None
-            gaps = times.diff()
-            fresh = gaps.isna() | (gaps >= gap)
-            if before is not None and times.iloc[0] - pd.Timestamp(before) < gap:
-                fresh.iloc[0] = False
-            latest = times.iloc[-1] if before is None else max(times.iloc[-1], pd.Timestamp(before))
-            self.last.update((latest.to_pydatetime(),))
-            for timer in self.handle.listTimers():
+        def _held(self) -> dict:
+            return dict(zip(*self.last.get(), strict=True)) if self.last.exists() else {}
+
+        def _keep(self, held: dict, now: int) -> None:
+            held = {k: x for k, x in held.items() if (x + pause) // 1000 > now}
+            for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((latest + gap).timestamp() * 1000))
-            yield pd.DataFrame({by: [key[0]] * int(fresh.sum()), "start": times[fresh].tolist()})
+            if held:
+                self.last.update((list(held), list(held.values())))
+                self.handle.registerTimer(max((min(held.values()) + pause) // 1000, now + 1))
+            else:
+                self.last.clear()
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            frame = pd.concat([f[["key_", "micros_"]] for f in rows]).sort_values("micros_", kind="stable", ignore_index=True)
+            code, keys = ([0] * len(frame), [None]) if key[0] == -1 else pd.factorize(frame["key_"], use_na_sentinel=False)
+            keys, held = keys if key[0] == -1 else keys.tolist(), self._held()
+            before = frame["micros_"].groupby(code).shift()
+            known = pd.Series([held.get(k) for k in keys], dtype="float64")
+            times = frame["micros_"]
+            first = before.isna()
+            before[first] = known.reindex(pd.Series(code)[first]).to_numpy()
+            fresh = before.isna() | (times - before >= pause)
+            held |= {keys[c]: max(x, held.get(keys[c], x)) for c, x in times.groupby(code).max().items()}
+            self._keep(held, timerValues.getCurrentWatermarkInMs())
+            at_start = pd.Series(code)[fresh].tolist()
+            yield pd.DataFrame({by: pd.Series([keys[c] for c in at_start], dtype=object), "start": times[fresh].to_numpy()})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-            self.last.clear()
-            yield pd.DataFrame({by: pd.Series([], dtype="int64"), "start": pd.Series([], dtype="datetime64[ns]")})
+            self._keep(self._held(), timerValues.getCurrentWatermarkInMs())
+            yield pd.DataFrame({by: pd.Series([], dtype=object), "start": pd.Series([], dtype="int64")})
 
         def close(self) -> None:
             pass
 
-    return stream.groupBy(by).transformWithStateInPandas(Visits(), f"{by} {kind}, start {stamp}", "append", "EventTime")
+    named = {"__bucket": "bucket_", by: "key_", "__at": "micros_"}  # names that begin with _ don't reach these frames
+    timed = _in_buckets(stream, by, at, buckets).select(at, *[F.col(c).alias(n) for c, n in named.items()]).groupBy("bucket_")
+    starts = timed.transformWithStateInPandas(Visits(), f"{by} {kind}, start long", "append", "EventTime")
+    return starts.select(by, F.timestamp_micros("start").cast(stamp).alias("start"))
 
 
 class UpsertTable:

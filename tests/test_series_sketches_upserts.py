@@ -134,3 +134,54 @@ def test_state_goes_when_its_time_is_over(spark, tmp_path, name):
         for r in out:
             last[r.u, r.since] = max(last.get((r.u, r.since), (0, 0.0)), (r.n, r.total))
         assert sum(n for n, _ in last.values()) == 3 * (3 * 20 + 5 * 2)
+
+
+def test_replays_bring_a_part_a_batch_from_several_files(spark):
+    from tessella.streaming import replayed
+
+    events = spark.range(0, 1000, 1, 6)
+    stream = replayed([events.where("id < 400"), events.where("id >= 990"), events.where("false"), events.where("id between 400 and 989")], "several")
+    sizes = []
+    job = stream.writeStream.foreachBatch(lambda df, i: sizes.append((df.count(), df.select(F.input_file_name()).distinct().count()))).trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert sizes == [(400, 3), (10, 1), (0, 0), (590, 4)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("name", ["running_totals", "visit_starts"])
+def test_state_is_held_by_bucket(spark, monkeypatch, name, kind):
+    """Calls of Python and rows of state are as many as buckets, and results those of each key."""
+    import pandas as pd
+
+    from tessella import streaming
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, *range(2**60, 2**60 + 40)]), START + dt.timedelta(minutes=rnd.randrange(20_000)), float(rnd.randrange(9))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "u long, ts timestamp, v double").withColumn("u", F.col("u").cast(kind)).repartition(3)
+    cuts = [START + dt.timedelta(days=d) for d in (0, 3, 4, 11, 99)]
+    stream = streaming.with_event_time(streaming.replayed([df.where(F.col("ts").between(a, b - dt.timedelta(seconds=1))) for a, b in zip(cuts, cuts[1:])], name), "ts", "1 hour")
+    day, provider = pd.Timedelta(days=1), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        made = streaming.running_totals(stream, "u", "v", "ts", "1 day", buckets=4) if name == "running_totals" else streaming.visit_starts(stream, "u", "ts", day, buckets=4)
+        out, held = [], []
+        job = made.writeStream.foreachBatch(lambda b, i: out.extend(b.collect())).trigger(availableNow=True).start()
+        job.awaitTermination()
+        held = [p.stateOperators[0].numRowsTotal for p in job.recentProgress if p.stateOperators]
+    finally:
+        spark.conf.set(provider, before)
+    assert 0 < max(held) <= 5 * (1 if name == "running_totals" else 4), held
+    key = (lambda k: k) if kind == "long" else (lambda k: None if k is None else str(k))
+    if name == "running_totals":
+        last = {}
+        for r in out:
+            last[r.u, r.since] = max(last.get((r.u, r.since), (0, 0.0)), (r.n, r.total))
+        got = {k: (sum(n for (u, _), (n, _) in last.items() if u == k), sum(x for (u, _), (_, x) in last.items() if u == k)) for k, _ in last}
+        assert got == {key(k): (sum(u == k for u, _, _ in rows), sum(v for u, _, v in rows if u == k)) for k in {u for u, _, _ in rows}}
+    else:
+        want = []
+        for k in {u for u, _, _ in rows}:
+            times = sorted(t for u, t, _ in rows if u == k)
+            want += [(key(k), t) for i, t in enumerate(times) if not i or t - times[i - 1] >= dt.timedelta(days=1)]
+        assert sorted(((r.u, r.start) for r in out), key=str) == sorted(want, key=str)
