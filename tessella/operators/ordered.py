@@ -52,23 +52,32 @@ def _carry(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.join(carried, (F.col(_RANGE) == F.col("__r")) & F.col(_BY).eqNullSafe(F.col("__b")), "left").drop("__r", "__b")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] = {}, lasts: Mapping[str, Column] = {}, rows: int = ROWS, unique: bool = False) -> DataFrame:
-    """Adds running sums, up to and with each row, and the last values that aren't null, of the row's key in `order`.
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] = {}, lasts: Mapping[str, Column] = {}, rows: int = ROWS, unique: bool = False, nexts: Mapping[str, Column] = {}) -> DataFrame:
+    """Adds running sums, up to and with each row, the last values that aren't null up to it, and the `nexts` that aren't null after it, of the row's key in `order`.
 
     Sums of nulls only are null, as in a window. The order of rows that tie in `order` is
     the same for all columns.
     """
     upto = _inside(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     columns = {k: F.sum(c).over(upto) for k, c in sums.items()} | {k: F.last(c, ignorenulls=True).over(upto) for k, c in lasts.items()}
+    back = W.partitionBy(_RANGE, _BY).orderBy(*columns_of([c.removesuffix(" desc") if c.endswith(" desc") else f"{c} desc" for c in order]), F.desc(_ROW))
+    after = {k: F.last(c, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)) for k, c in nexts.items()}
+    first = {f"__first_{k}": F.last(c, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, W.currentRow)) for k, c in nexts.items()}
     size, number = F.count(F.lit(1)).over(W.partitionBy(_RANGE, _BY)), F.row_number().over(_inside(order))
-    inner = in_ranges(df, by, order, rows, unique).withColumns(columns | {"__size": size, "__number": number})
-    before = W.partitionBy(_BY).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
+    inner = in_ranges(df, by, order, rows, unique).withColumns(columns | after | first | {"__size": size, "__number": number})
+    along = W.partitionBy(_BY).orderBy(_RANGE)
+    before = along.rowsBetween(W.unboundedPreceding, -1)
     bases = {k: F.sum(k).over(before) for k in sums} | {k: F.last(k, ignorenulls=True).over(before) for k in lasts}
+    bases |= {k: F.last(f"__first_{k}", ignorenulls=True).over(W.partitionBy(_BY).orderBy(F.desc(_RANGE)).rowsBetween(W.unboundedPreceding, -1)) for k in nexts}
     ends = inner.where("__number = __size").select(_RANGE, _BY, *columns)
-    ends = ends.select(_RANGE, _BY, *[c.alias(f"__base_{k}") for k, c in bases.items()], F.row_number().over(W.partitionBy(_BY).orderBy(_RANGE)).alias("__nth"))
-    met = _carry(inner.drop("__size", "__number"), ends.where("__nth > 1").drop("__nth"))
-    whole = {k: F.coalesce(F.col(k) + F.col(f"__base_{k}"), F.col(k), F.col(f"__base_{k}")) for k in sums} | {k: F.coalesce(F.col(k), F.col(f"__base_{k}")) for k in lasts}
-    return met.withColumns(whole).drop(_RANGE, _BY, _ROW, *[f"__base_{k}" for k in columns])
+    if nexts:
+        edge = lambda at, k: F.first(F.when(F.col("__number") == at, F.col(k)), ignorenulls=True).alias(k)
+        edges = inner.where("__number = __size or __number = 1").groupBy(_RANGE, _BY)
+        ends = edges.agg(*[edge(F.col("__size"), k) for k in columns], *[edge(1, k) for k in first])
+    ends = ends.select(_RANGE, _BY, *[c.alias(f"__base_{k}") for k, c in bases.items()], F.count(F.lit(1)).over(W.partitionBy(_BY)).alias("__ranges"))
+    met = _carry(inner.drop("__size", "__number", *first), ends.where("__ranges > 1").drop("__ranges"))
+    whole = {k: F.coalesce(F.col(k) + F.col(f"__base_{k}"), F.col(k), F.col(f"__base_{k}")) for k in sums} | {k: F.coalesce(F.col(k), F.col(f"__base_{k}")) for k in [*lasts, *nexts]}
+    return met.withColumns(whole).drop(_RANGE, _BY, _ROW, *[f"__base_{k}" for k in [*columns, *nexts]])
 
 
 def ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], out: Mapping[str, str | tuple[str, int]], rows: int = ROWS, unique: bool = False) -> DataFrame:

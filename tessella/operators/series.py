@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.ordered import ROWS, running
 
-#: Steps that one row of the spine is unfolded to at a time.
+#: Steps that a row is unfolded to at a time.
 CHUNK = 4096
 
 
@@ -21,10 +21,11 @@ def gap_filled(df: DataFrame, by: Sequence[str], time: str, step: int, measures:
     null before the first and after the last. Steps start at whole multiples of `step`
     since 1970.
 
-    The spine of a key is unfolded in chunks, as a long life with short steps fits no
-    array, and meets the rows by key and step. Values are carried within ranges of (key,
-    time) and over their borders, so a key of any length is no window. Null keys are a key;
-    rows with a null time are left out.
+    Values are carried among the steps that have rows, within ranges of (key, time) and
+    over their borders, so a key of any length is no window. Each of these steps knows the
+    next one and is unfolded up to it where it stands, in chunks, as a long pause with
+    short steps fits no array: what fills the gaps is neither moved nor sorted. Null keys
+    are a key; rows with a null time are left out.
     """
     micros = step * 1_000_000
     kind = df.schema[time].dataType
@@ -32,17 +33,15 @@ def gap_filled(df: DataFrame, by: Sequence[str], time: str, step: int, measures:
     number = (moment - F.pmod(moment, F.lit(micros))) / micros
     key = F.struct(*by).alias("__key") if by else F.struct(F.lit(0).alias("all")).alias("__key")
     held = df.where(F.col(time).isNotNull()).withColumns({"__step": number.cast("long"), "__key": key}).groupBy("__key", "__step").agg(*[c.alias(k) for k, c in measures.items()])
-    life = held.groupBy("__key").agg(F.min("__step").alias("low"), F.max("__step").alias("high"))
-    chunks = life.select("__key", "high", F.explode(F.sequence("low", "high", F.lit(CHUNK).cast("long"))).alias("from"))
-    spine = chunks.select("__key", F.explode(F.sequence("from", F.least("high", F.col("from") + CHUNK - 1))).alias("__step"))
-    at, same = held.withColumnsRenamed({"__key": "__k", "__step": "__s"}), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__step") == F.col("__s"))
-    full = spine.join(at, same, "left").drop("__k", "__s")
     known = lambda m: F.when(F.col(m).isNotNull(), F.struct(F.col("__step").alias("at"), F.col(m).alias("is")))
-    wanted = dict.fromkeys([*carried, *linear])
-    if wanted:
-        full = running(full, ["__key"], ["__step"], lasts={f"__last_{m}": known(m) for m in wanted}, rows=rows, unique=True)
-    if linear:
-        full = running(full, ["__key"], ["__step desc"], lasts={f"__next_{m}": known(m) for m in linear}, rows=rows, unique=True)
+    lasts, nexts = {f"__last_{m}": known(m) for m in dict.fromkeys([*carried, *linear])}, {f"__next_{m}": known(m) for m in linear}
+    met = running(held, ["__key"], ["__step"], lasts=lasts, nexts=nexts | {"__until": F.col("__step")}, rows=rows, unique=True)
+    until = F.coalesce(F.col("__until") - 1, "__step")
+    chunks = met.withColumn("__from", F.explode(F.sequence("__step", until, F.lit(CHUNK).cast("long"))))
+    own = F.col("__step") == F.col("__first")
+    full = chunks.withColumns({"__first": F.col("__step"), "__step": F.explode(F.sequence("__from", F.least(until, F.col("__from") + CHUNK - 1)))})
+    full = full.withColumns({f"__next_{m}": F.when(own & F.col(m).isNotNull(), F.col(f"__last_{m}")).otherwise(F.col(f"__next_{m}")) for m in linear})
+    full = full.withColumns({m: F.when(own, F.col(m)) for m in measures})
 
     def between(m: str) -> Column:
         a, b = F.col(f"__last_{m}"), F.col(f"__next_{m}")

@@ -65,6 +65,16 @@ def test_running_values_equal_windows(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("rows", [30, 200_000])
+def test_next_values_equal_windows(spark, rows):
+    df = spark.createDataFrame(_rows(500, 30, 9), SCHEMA).withColumn("seen", F.when(F.col("w") < 5, F.col("w")))
+    got = running(df, ["k"], ["v desc", "id"], sums={"s": F.col("w")}, lasts={"l": F.col("seen")}, nexts={"n": F.col("seen"), "i": F.col("id")}, rows=rows, unique=True)
+    w = W.partitionBy("k").orderBy(F.desc("v"), "id")
+    upto, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
+    want = df.withColumns({"s": F.sum("w").over(upto), "l": F.last("seen", ignorenulls=True).over(upto), "n": F.first("seen", ignorenulls=True).over(after), "i": F.first("id").over(after)})
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_no_window_holds_a_hot_key(spark):
     """Ranges of one key of the whole table stay near their size, ties included."""
     from tessella.operators.ordered import in_ranges

@@ -50,6 +50,16 @@ def test_series_of_empty_tables_and_without_keys(spark):
     assert gap_filled(df.where("false"), [], "t", 3600, {"v": F.max("v")}, carried=["v"]).collect() == []
 
 
+def test_what_fills_gaps_is_neither_moved_nor_sorted(spark, monkeypatch):
+    moved = []
+    plain = series.running
+    monkeypatch.setattr(series, "running", lambda df, *a, **k: moved.append(df.count()) or plain(df, *a, **k))
+    df = spark.createDataFrame([("x", START, 0.0), ("x", START + dt.timedelta(days=30), 1.0), ("y", START, 5.0)], "k string, t timestamp, v double")
+    got = gap_filled(df, ["k"], "t", 60, {"v": F.max("v")}, carried=["v"], linear=["v"])
+    assert got.groupBy("k").agg(F.count("v_linear").alias("n"), F.count("v").alias("own"), F.round(F.sum("v_linear"), 3).alias("s")).orderBy("k").collect() == [("x", 43_201, 2, 21_600.5), ("y", 1, 1, 5.0)]
+    assert moved == [3]
+
+
 def test_sketches_merge_to_what_all_rows_give(spark):
     df = spark.range(60_000).select((F.col("id") % 20_000).alias("m"), (F.col("id") / 60_000).alias("v"), (F.col("id") % 30).alias("day"), F.when(F.col("id") % 20_000 < 8000, "x").otherwise("y").alias("k"))
     month = merged(sketched(df, ["k", "day"], "m", "v"), ["k"])
