@@ -42,14 +42,20 @@ def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int
     return written(ranged.withColumn(_RANGE, F.spark_partition_id()), "ranges")
 
 
+def _together(ranged: DataFrame) -> DataFrame:
+    """Each range in one task, in as many tasks as there are ranges twice over: what a task holds is that of a few ranges, however large the table."""
+    ranges = (ranged.agg(F.max(_RANGE)).first()[0] or 0) + 1
+    return ranged.repartition(max(LEAST, 2 * ranges), _RANGE)
+
+
 def _inside(order: Sequence[str]) -> W:
     return W.partitionBy(_RANGE, _BY).orderBy(*columns_of(order), _ROW)
 
 
 def _carry(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """Rows with what their key brings from other ranges; nulls for keys that stand in one range only."""
+    """Rows with what their key brings from other ranges; nulls for keys that stand in one range only. `carried` has two rows a range at most, so it goes to all tasks."""
     carried = carried.withColumnsRenamed({_RANGE: "__r", _BY: "__b"})
-    return rows.join(carried, (F.col(_RANGE) == F.col("__r")) & F.col(_BY).eqNullSafe(F.col("__b")), "left").drop("__r", "__b")
+    return rows.join(F.broadcast(carried), (F.col(_RANGE) == F.col("__r")) & F.col(_BY).eqNullSafe(F.col("__b")), "left").drop("__r", "__b")
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] = {}, lasts: Mapping[str, Column] = {}, rows: int = ROWS, unique: bool = False, nexts: Mapping[str, Column] = {}) -> DataFrame:
@@ -64,7 +70,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     after = {k: F.last(c, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)) for k, c in nexts.items()}
     first = {f"__first_{k}": F.last(c, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, W.currentRow)) for k, c in nexts.items()}
     size, number = F.count(F.lit(1)).over(W.partitionBy(_RANGE, _BY)), F.row_number().over(_inside(order))
-    inner = in_ranges(df, by, order, rows, unique).withColumns(columns | after | first | {"__size": size, "__number": number})
+    inner = _together(in_ranges(df, by, order, rows, unique)).withColumns(columns | after | first | {"__size": size, "__number": number})
     along = W.partitionBy(_BY).orderBy(_RANGE)
     before = along.rowsBetween(W.unboundedPreceding, -1)
     bases = {k: F.sum(k).over(before) for k in sums} | {k: F.last(k, ignorenulls=True).over(before) for k in lasts}
@@ -90,7 +96,7 @@ def ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], out: Mapping[s
     kinds = {k: v if isinstance(v, str) else v[0] for k, v in out.items()}
     if unknown := set(kinds.values()) - {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile"}:
         raise ValueError(f"no ranks: {sorted(unknown)}")
-    ranged = in_ranges(df, by, order, rows, unique)
+    ranged = _together(in_ranges(df, by, order, rows, unique))
     value = F.struct(*[F.col(c.removesuffix(" desc")).alias(f"v{i}") for i, c in enumerate(order)])
     ties = W.partitionBy(_RANGE, _BY).orderBy(*columns_of(order))
     own = {
