@@ -10,6 +10,7 @@ pieces themselves are numbered within their length and joined to the plan.
 from __future__ import annotations
 
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,26 +21,56 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import chunks_for, documents, number_rows, salted, ship, stash
+from tessella.llm.common import chunks_for, documents, number_rows, salted, ship, slices, stash
 
 CAPACITY = 4096
 END_ID = 1
 #: Patterns are enumerated over lengths rounded up to multiples of capacity / GRID.
 GRID = 128
-#: Bytes of a worker's table of words; a full table is kept as the older one, and that goes.
-CACHED_BYTES = 24 << 20
-#: Of an entry of the table, besides the word and its ids: two objects and its share of the table.
-ENTRY_BYTES = 200
+#: Bytes of a worker's table of parts of words; a full one goes, and starts again with what the next batch has.
+CACHED_BYTES = 8 << 20
+#: Parts of words that are given to the vocabulary as one text.
+LINE = 256
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, one after another, and where each begins and the last ends."""
+    _, at, data = strings.buffers()
+    bounds = np.frombuffer(at, np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    return np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _of_pairs(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each byte what `table` says of it and of the one before."""
+    pairs = data.astype(np.uint16)
+    pairs[1:] |= data[:-1].astype(np.uint16) << 8
+    return table[pairs]
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags stand before each place, and at the end."""
+    return np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `ids` of these places and sizes, one after another, and where each begins and the last ends."""
+    bounds = _before(sizes)
+    kind = np.int32 if max(bounds[-1], len(ids)) < 2**31 else np.int64
+    places = np.repeat((starts - bounds[:-1]).astype(kind), sizes)
+    places += np.arange(bounds[-1], dtype=kind)
+    return ids[places], bounds
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a
-    text's ids are those of its words, one after another. These are
-    kept in a table. New strings of Latin letters are encoded many at a time, by the
-    vocabulary alone, as they need no normalizing but lower case: each gives one word,
-    and only its last token is a word's end.
+    text's ids are those of its words, one after another. Words of ASCII characters and of
+    Latin letters up to U+023F need no normalizing but lower case and fall apart into runs of
+    letters, runs of other marks, and single digits: these parts are encoded many at a time,
+    by the vocabulary alone, where each ends with its only token that is a word's end. Other
+    words, those with apostrophes, combining marks or the vocabulary's own marks among them,
+    are encoded whole by the tokenizer. Parts and whole words are kept in a table.
     """
 
     def __init__(self, path: str):
@@ -48,72 +79,96 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if chr(c).isalpha()}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.table: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
+        # the vocabulary's character for each byte
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(b) for b in range(256)]
+        for c in map(chr, range(0x800)):
+            for b, letter in zip(c.encode(), as_bytes.pre_tokenize_str(c)[0][0], strict=True):
+                letters[b] = letter
+        letters[0x20] = " "
+        self.letters = "".join(letters)
+        # by the byte before and the byte: whether a part begins there, and whether the word is for the tokenizer
+        kind = np.array([1 if b >= 0x80 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)])
+        self.begins = ((kind[:, None] != kind) | (kind == 2)).ravel()
+        odd = np.zeros((256, 256), bool)
+        odd[:, [b for b in range(256) if b <= 0x20 or b in b"'\x7f\xc2" or b >= 0xC9 or not {letters[b], letters[b] + "</w>"} <= vocabulary.keys()]] = True
+        for before, b in map(str.encode, ("<|", "×", "÷", "İ", "Ⱥ", "Ⱦ")):  # no letters, or of another length in lower case
+            odd[before, b] = True
+        self.odd = odd.ravel()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.bounds = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
-        """Words are split and numbered by Arrow; each that a batch has is looked up once, and its ids are gathered by place."""
-        if self.held > CACHED_BYTES:
-            self.older, self.table, self.held = self.table, {"": b""}, 0
+        """Words are split and numbered by Arrow; each that a batch has is encoded once, and its ids are gathered by place."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.table.get, names))
-        if missing := [k for k, x in enumerate(found) if x is None]:
-            before = len(self.table)
-            self._learn({names[k] for k in missing})
-            for k in missing:
-                found[k] = self.table[names[k]]
-                self.held += len(names[k]) + len(found[k])
-            self.held += ENTRY_BYTES * (len(self.table) - before)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts, sizes = self._of_words(words.dictionary.cast(pa.string()))
         at = words.indices.to_numpy()
-        own = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(own)))
-        kind = np.int32 if ends[-1] < 2**31 else np.int64
-        places = np.repeat(((np.cumsum(sizes) - sizes)[at] - ends[:-1]).astype(kind), own)
-        places += np.arange(ends[-1], dtype=kind)
-        data = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
-        bounds = (ends[split.offsets.to_numpy()] * 4).tolist()
-        return list(map(data.__getitem__, map(slice, bounds[:-1], bounds[1:])))
-
-    def _learn(self, new: set[str]) -> None:
-        table = self.table
-        known = new & self.older.keys()
-        table.update((word, self.older[word]) for word in known)
-        if not (words := list(new - known)):
-            return
-        lower = "\n".join(words).lower().split("\n")
-        cores = [x.rstrip(".,") for x in lower]
-        # letters that no mark joins; capitals that make two characters are none of these
-        plain = [x.isalpha() and (x.isascii() or max(x) < "ɐ") for x in cores]
-        todo = list({x for x, p in zip(cores, plain, strict=True) if p}.difference(table))
-        odd = {word for word, p in zip(words, plain, strict=True) if not p}
-        parts = [todo[i : i + 256] for i in range(0, len(todo), 256)]
-        lines = [" ".join(x).translate(self.letters) for x in parts]
-        for part, found in zip(parts, self._ids(lines, self.words), strict=True):
-            ends = ((np.flatnonzero(self.ends[found]) + 1) * 4).tolist()
-            data = found.tobytes()
-            if len(ends) != len(part):
-                odd.update(part)
-                continue
-            table.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        made = [(w, c, x[len(c) :]) for w, x, c, p in zip(words, lower, cores, plain, strict=True) if p and w != c]
-        rest = list((odd | {tail for _, _, tail in made}).difference(table))
-        table.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
-        table.update((word, table[core] + table[tail]) for word, core, tail in made)
-
-    def _ids(self, texts: list[str], tokenizer: object = None) -> list[np.ndarray]:
-        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4") for x in found]
+        ids, bounds = _gathered(ids, starts[at], sizes[at])
+        data = ids.tobytes()
+        ends = (bounds[split.offsets.to_numpy()] * 4).tolist()
+        return list(map(data.__getitem__, map(slice, ends[:-1], ends[1:])))
+
+    def _is_odd(self, words: pa.Array) -> np.ndarray:
+        data, bounds = _bytes(words)
+        return np.diff(_before(_of_pairs(data, self.odd))[bounds]) > 0
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each word start and how many they are."""
+        odd = self._is_odd(words)
+        data, bounds = _bytes(pc.utf8_lower(words.filter(pa.array(~odd))))
+        begins = _of_pairs(data, self.begins)
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        cuts = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+        whole = words.filter(pa.array(odd))
+        plain = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+        parts = pa.concat_arrays([plain, whole]).dictionary_encode()
+        at = self._places(parts.dictionary)[parts.indices.to_numpy()]
+        ids, ends = _gathered(self.ids, self.bounds[at], self.bounds[at + 1] - self.bounds[at])
+        ends = ends[np.concatenate((_before(begins)[bounds], np.arange(len(plain) + 1, len(parts) + 1)))]
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        order = np.argsort(odd, kind="stable")
+        starts[order], sizes[order] = ends[:-1], np.diff(ends)
+        return ids, starts, sizes
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where each part stands in the table; new ones are learnt."""
+        if self.known.nbytes + self.ids.nbytes + self.bounds.nbytes > CACHED_BYTES:
+            self._forget()
+        found = pc.index_in(parts, self.known)
+        places, new = pc.fill_null(found, -1).to_numpy().astype(np.int64), found.is_null()
+        if found.null_count:
+            places[places < 0] = len(self.known) + self._learn(parts.filter(new))
+        return places
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Adds the parts to the table, and says how many of them stand before each there."""
+        odd = self._is_odd(new)
+        plain, whole = new.filter(pa.array(~odd)), new.filter(pa.array(odd))
+        lines = pa.ListArray.from_arrays(pa.array([*range(0, len(plain), LINE), len(plain)], pa.int32()), plain)
+        lines = pc.binary_join(lines, " ").cast(pa.binary()).to_pylist()
+        made = self._ids([charmap_decode(x, "strict", self.letters)[0] for x in lines], self.words)
+        own = self._ids(whole.to_pylist(), self.tokenizer)
+        ids = np.concatenate([np.zeros(0, "<u4"), *made])
+        ends = np.concatenate((np.flatnonzero(self.ends[ids]) + 1, len(ids) + np.cumsum([len(x) for x in own], dtype=np.int64)))
+        if len(ends) != len(new):
+            raise ValueError("a part of a word has no token that ends it")
+        self.known = pa.concat_arrays([self.known, plain, whole])
+        self.bounds = np.concatenate((self.bounds, len(self.ids) + ends))
+        self.ids = np.concatenate([self.ids, ids, *own])
+        places = np.empty(len(new), np.int64)
+        places[np.argsort(odd, kind="stable")] = np.arange(len(new))
+        return places
+
+    def _ids(self, texts: list[str], tokenizer: object) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(2)
@@ -131,22 +186,20 @@ def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, width = _encoder(path), np.array([END_ID], "<u4").tobytes(), capacity * 4
-        for whole in batches:
-            for k in range(0, len(whole), 400):
-                batch = whole.slice(k, 400)
-                out, ids = [], []
-                for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
-                    data = memoryview(data + end)
-                    for piece, at in enumerate(range(0, len(data), width)):
-                        own = data[at : at + width]
-                        out.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-                        if with_ids:
-                            ids.append(np.frombuffer(own, "<i4"))
-                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-                if with_ids:
-                    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))))
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in slices(batches):
+            out, ids = [], []
+            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                data = memoryview(data + end)
+                for piece, at in enumerate(range(0, len(data), width)):
+                    own = data[at : at + width]
+                    out.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+                    if with_ids:
+                        ids.append(np.frombuffer(own, "<i4"))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     names, types = [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     schema = f"{key} long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

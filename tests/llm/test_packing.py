@@ -32,6 +32,45 @@ def test_full_tables_are_kept_as_the_older_ones(monkeypatch, encoder):
         assert small.encode(texts) == encoder.encode(texts)
 
 
+class Counted:
+    """A tokenizer that keeps what it was asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_words_that_differ_in_case_and_marks_are_encoded_by_their_parts_once(encoder):
+    fresh = Encoder(default_tokenizer())
+    fresh.tokenizer, fresh.words = Counted(fresh.tokenizer), Counted(fresh.words)
+    texts = ["Éclair éclair. ÉCLAIR!! the*** The%%% (the) a|b,c 12 x21", "The éclair, the.", "", None]
+    for _ in range(2):
+        assert fresh.encode(texts) == encoder.encode(texts)
+        assert fresh.tokenizer.asked == []
+        parts = " ".join(fresh.words.asked).split()
+        assert len(parts) == len(set(parts)) == len("éclair the a b c x 1 2 . , ( ) | !! *** %%%".split())
+
+
+@pytest.mark.parametrize("shape", ["{}", "a{}b", "1{}", "{}2", ".{}!", "{}'s", "É{}", "<{}", "{}|>", "a {} b"])
+def test_every_character_is_what_the_tokenizer_makes_of_it(encoder, shape):
+    texts = [shape.format(chr(c)) for c in range(0x600)]
+    want = [x.ids for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
+def test_the_table_stays_small(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_BYTES", 20_000)
+    small = Encoder(default_tokenizer())
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for k in range(40):
+        text = " ".join(str(x).translate(letters) for x in range(k * 100 + 10_000, k * 100 + 10_100))
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
+        assert small.known.nbytes + small.ids.nbytes + small.bounds.nbytes < 30_000
+
+
 def test_plan_places_everything_and_is_close_to_the_least():
     rng = np.random.default_rng(1)
     lengths = np.minimum(4096, (rng.pareto(1.1, 20_000) * 60 + 1).astype(int))
