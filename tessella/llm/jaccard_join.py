@@ -18,7 +18,8 @@ pairs, and a passage that many documents share brings none of them together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +36,11 @@ FREQUENT = 1 << 15
 #: Prefixes are longer than one shared n-gram needs by a set's size over SPARE, so that links have to share that many more.
 SPARE = 8
 #: Documents in one block.
-BLOCK = 128
-#: Documents in a cluster that is compared as a whole.
+BLOCK = 256
+#: Documents in a cluster that is compared as a whole in any case.
 CLUSTER = 4096
+#: Depths at which a trie's segments are cut.
+CUTS = (64, 256)
 #: Links that one task joins at once.
 LINKS = 100_000
 #: Documents of a frequent n-gram that one group of a window holds, about.
@@ -121,71 +124,117 @@ class Order:
 
 
 class Trie:
-    """Ascending sets, with common beginnings stored once."""
+    """Ascending sets, with common beginnings stored once.
 
-    __slots__ = ("children", "entries", "longest", "segment", "shortest")
+    Nodes stand in arrays, those of one parent side by side, so that a search goes down
+    all branches at once, a step per level. Long segments are cut at CUTS, where a branch may
+    end. The arrays are made at the first search after an insert.
+    """
 
-    def __init__(self, segment: np.ndarray):
-        self.segment = segment
-        self.children: dict[int, Trie] = {}
-        self.entries: list[tuple[int, int]] = []  # (name, size of the set) of the sets that end here
-        self.shortest, self.longest = 1 << 62, 0
+    def __init__(self, sets: Iterable[np.ndarray] = ()):
+        self.sets = list(sets)
+        self.names = list(range(len(self.sets)))
+        self.built = 0
 
     def insert(self, codes: np.ndarray, name: int) -> None:
-        node, at, size = self, 0, len(codes)
-        while True:
-            node.shortest, node.longest = min(node.shortest, size), max(node.longest, size)
-            if at == size:
-                node.entries.append((name, size))
-                return
-            child = node.children.get(first := int(codes[at]))
-            if child is None:
-                leaf = Trie(codes[at:])
-                leaf.shortest = leaf.longest = size
-                leaf.entries.append((name, size))
-                node.children[first] = leaf
-                return
-            m = min(len(child.segment), size - at)
-            differ = np.flatnonzero(child.segment[:m] != codes[at : at + m])
-            common = int(differ[0]) if len(differ) else m
-            if common < len(child.segment):
-                upper = Trie(child.segment[:common])
-                upper.shortest, upper.longest = child.shortest, child.longest
-                child.segment = child.segment[common:]
-                upper.children[int(child.segment[0])] = child
-                node.children[first] = child = upper
-            node, at = child, at + common
-
-    def similar(self, codes: np.ndarray, percent: int, skip: set[int] | None = None) -> Iterator[int]:
+        self.sets.append(codes)
+        self.names.append(name)
+
+    def _build(self) -> None:
+        self.built = len(self.sets)
+        sizes = [len(x) for x in self.sets]
+        # codes as places in the ascending list of all of them
+        self.codes, places = np.unique(np.concatenate(self.sets), return_inverse=True)
+        flat, starts = places.ravel(), np.cumsum([0, *sizes])
+        rows = [flat[starts[k] : starts[k + 1]] for k in range(len(sizes))]
+        ordered = sorted(range(len(rows)), key=lambda k: rows[k].astype(">u4").tobytes())
+        common = [0] * len(ordered)  # how much of a set is the beginning of the one before
+        for k in range(1, len(ordered)):
+            x, y = rows[ordered[k - 1]], rows[ordered[k]]
+            m = min(len(x), len(y))
+            differ = x[:m] != y[:m]
+            at = int(differ.argmax()) if m else 0
+            common[k] = at if m and differ[at] else m
+        length = np.array([sizes[k] for k in ordered])
+        nodes: list[tuple[int, ...]] = []  # first set, end of sets, start in flat, length, depth, sets that end here
+
+        def below(lo: int, hi: int, depth: int) -> list[tuple[int, int, int]]:
+            cuts = [lo, *(k for k in range(lo + 1, hi) if common[k] <= depth), hi]
+            return [(x, y, depth) for x, y in itertools.pairwise(cuts)] if lo < hi else []
+
+        empty = int(np.count_nonzero(length == 0))
+        waiting, children = below(empty, len(ordered), 0), []
+        self.roots = len(waiting)
+        for lo, hi, depth in waiting:  # grows meanwhile
+            end = min(common[lo + 1 : hi], default=sizes[ordered[lo]])
+            stop = next((c for c in CUTS if depth < c < end), end)
+            here = lo
+            while stop == end and here < hi and length[here] == end:
+                here += 1
+            nodes.append((lo, hi, starts[ordered[lo]] + depth, stop - depth, stop, here - lo))
+            down = below(here, hi, stop) if stop == end else [(lo, hi, stop)]
+            children.append((len(waiting), len(down)))
+            waiting.extend(down)
+        self.flat, self.ordered = flat, np.array([self.names[k] for k in ordered])
+        self.lo, self.hi, self.at, self.length, self.depth, self.ends = np.array(nodes, np.int64).reshape(-1, 6).T
+        self.child, self.children = np.array(children, np.int64).reshape(-1, 2).T
+        self.last = flat[self.at + self.length - 1]
+        bounds = np.column_stack((self.lo, self.hi)).ravel()
+        padded = np.append(length, 0)
+        self.shortest, self.longest = (f.reduceat(padded, bounds)[::2] for f in (np.minimum, np.maximum))
+        self.inside = np.zeros(len(self.codes), bool)
+
+    def similar(self, codes: np.ndarray, percent: int, skip: np.ndarray | None = None) -> Iterator[int]:
         """Names of the sets with 100 |both| >= percent |either|, walking with the overlap so far.
 
         A set of size m needs an overlap of percent (n + m) / (100 + percent); a subtree
         goes when its overlap so far and the shorter of both remainders don't give that
-        for its shortest feasible size. Leaves whose names are all in `skip` are left out.
+        for its shortest feasible size. Names that `skip` marks, and subtrees that hold no
+        others, are left out.
         """
+        if not self.sets or not len(codes):
+            return
+        if self.built != len(self.sets):
+            self._build()
         n = len(codes)
         least, most = -(-percent * n // 100), 100 * n // percent
-        stack = [(self, 0, 0)]
-        while stack:
-            node, depth, overlap = stack.pop()
-            if node.longest < least or node.shortest > most:
-                continue
-            if skip and not node.children and all(name in skip for name, _ in node.entries):
-                continue
-            rest = n
-            if len(node.segment):
-                at = np.searchsorted(codes, node.segment)
-                inside = at < n
-                overlap += int(np.count_nonzero(codes[at[inside]] == node.segment[inside]))
-                depth += len(node.segment)
-                rest = n - int(np.searchsorted(codes, node.segment[-1], "right"))
-            needed = -(-percent * (n + max(least, node.shortest)) // (100 + percent))
-            if overlap + min(rest, min(node.longest, most) - depth) < needed:
-                continue
-            for name, size in node.entries:
-                if 100 * overlap >= percent * (n + size - overlap):
-                    yield name
-            stack.extend((child, depth, overlap) for child in node.children.values())
+        found = np.searchsorted(self.codes, codes)
+        found = found[found < len(self.codes)]
+        found = found[self.codes[found] == codes[: len(found)]]
+        wanted = None if skip is None else np.concatenate(([0], np.cumsum(~skip[self.ordered])))
+        self.inside[found] = True
+        node, overlap = np.arange(self.roots), np.zeros(self.roots, np.int64)
+        names: list[int] = []
+        while len(node):
+            keep = (self.longest[node] >= least) & (self.shortest[node] <= most)
+            if wanted is not None:
+                keep &= wanted[self.hi[node]] > wanted[self.lo[node]]
+            node, overlap = node[keep], overlap[keep]
+            if not len(node):
+                break
+            offset, steps = _spread(self.at[node], self.length[node])
+            overlap = overlap + np.add.reduceat(self.inside[self.flat[steps]], offset, dtype=np.int64)
+            depth = self.depth[node]
+            rest = len(found) - np.searchsorted(found, self.last[node], "right")
+            needed = -(-percent * (n + np.maximum(least, self.shortest[node])) // (100 + percent))
+            keep = overlap + np.minimum(rest, np.minimum(self.longest[node], most) - depth) >= needed
+            node, overlap, depth = node[keep], overlap[keep], depth[keep]
+            hit = (self.ends[node] > 0) & (100 * overlap >= percent * (n + depth - overlap))
+            for k in node[hit].tolist():
+                names.extend(self.ordered[self.lo[k] : self.lo[k] + self.ends[k]].tolist())
+            inner = self.children[node] > 0
+            node, overlap = node[inner], overlap[inner]
+            if len(node):
+                many = self.children[node]
+                node, overlap = _spread(self.child[node], many)[1], np.repeat(overlap, many)
+        self.inside[found] = False
+        yield from names if skip is None else (x for x in names if not skip[x])
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs, one after another, and where each run begins in them; no run is empty."""
+    offset = np.cumsum(lengths) - lengths
+    return offset, np.repeat(starts - offset, lengths) + np.arange(offset[-1] + lengths[-1])
 
 
 def links_in_block(sets: list[np.ndarray], roles: list[int], percent: int) -> Iterator[tuple[int, int]]:
@@ -193,26 +242,18 @@ def links_in_block(sets: list[np.ndarray], roles: list[int], percent: int) -> It
 
     Sets that are already joined, by their roles or by links found, aren't compared again.
     """
-    parent = {r: r for r in roles}
-
-    def top(r: int) -> int:
-        while parent[r] != r:
-            parent[r] = r = parent[parent[r]]
-        return r
-
-    members: dict[int, set[int]] = {}
-    trie = Trie(np.zeros(0, np.uint64))
-    for i in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-        own = top(roles[i])
-        for j in trie.similar(sets[i], percent, members.get(own)):
-            other = top(roles[j])
-            own = top(own)
-            if own != other:
-                yield i, j
-                parent[other] = own
-                members[own] = members.get(own, set()) | members.pop(other, set())
-        trie.insert(sets[i], i)
-        members.setdefault(top(own), set()).add(i)
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    group = np.unique([roles[k] for k in order], return_inverse=True)[1]
+    trie = Trie(sets[k] for k in order)
+    for i in range(1, len(order)):
+        skip = group == group[i]
+        skip[i:] = True
+        if skip.all():
+            continue
+        for j in trie.similar(sets[order[i]], percent, skip):
+            if group[i] != group[j]:
+                yield order[i], order[j]
+                group[group == group[j]] = group[i]
 
 
 def _summaries(n: int):
@@ -395,7 +436,9 @@ def _blocks(own: DataFrame) -> DataFrame:
     Documents that n-grams connect, directly or by others, are a cluster. A cluster of up
     to CLUSTER documents is compared as a whole; that brings together each two that share
     an n-gram, and every document once or a few times. In a larger one, which n-grams
-    shared by chance may hold together, only the documents of each n-gram are.
+    shared by chance may hold together, only the documents of each n-gram are, where that
+    sends fewer copies of texts than the whole: of a large group of near copies, each of
+    many n-grams has nearly all documents.
     """
     heads = stash(own.groupBy("gram").agg(F.min("id").alias("head")), "cluster-heads")
     edges = own.join(heads, "gram").select(F.col("id").alias("u"), F.col("head").alias("v"))
@@ -403,16 +446,20 @@ def _blocks(own: DataFrame) -> DataFrame:
     docs = own.select("id", "c").distinct().join(members, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     docs = stash(docs, "cluster-members")
     sizes = stash(docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
-    small = docs.join(sizes.where(F.col("size") <= CLUSTER), "cluster").select(F.col("cluster").alias("key"), F.col("c").alias("role"), "id", "size")
-    small = _dealt(small, "size")
-    if sizes.where(F.col("size") > CLUSTER).isEmpty():
-        return small
-    large = stash(docs.join(sizes.where(F.col("size") > CLUSTER), "cluster").select("id"), "large-clusters")
-    grams = own.join(large, "id", "left_semi")
+    whole = docs.join(sizes, "cluster").select("cluster", F.col("cluster").alias("key"), F.col("c").alias("role"), "id", "size")
+    over = sizes.where(F.col("size") > CLUSTER)
+    if over.isEmpty():
+        return _dealt(whole.drop("cluster"), "size")
+    large = stash(docs.join(over, "cluster").select("id", "cluster"), "large-clusters")
     digest = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    once = grams.groupBy("gram", "k").agg(*digest).groupBy("k", "x", "y").agg(F.min("gram").alias("gram"))  # of the same documents
-    grams = grams.drop("k").join(stash(once.select("gram", "k"), "grams-of-large"), "gram")
-    return small.union(_dealt(grams.select(F.col("gram").alias("key"), F.col("c").alias("role"), "id", "k"), "k"))
+    once = own.join(large, "id").groupBy("cluster", "gram", "k").agg(*digest)
+    once = stash(once.groupBy("cluster", "k", "x", "y").agg(F.min("gram").alias("gram")), "grams-of-large")  # of the same documents
+    copies = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK)
+    each = once.groupBy("cluster").agg(F.sum(copies("k")).alias("each")).join(over, "cluster")
+    each = stash(each.where(F.col("each") < copies("size")).select("cluster"), "by-gram")
+    grams = own.drop("k").join(once.join(each, "cluster", "left_semi").select("gram", "k"), "gram")
+    whole = whole.join(each, "cluster", "left_anti").drop("cluster")
+    return _dealt(whole, "size").union(_dealt(grams.select(F.col("gram").alias("key"), F.col("c").alias("role"), "id", "k"), "k"))
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:

@@ -107,3 +107,53 @@ def test_chains_are_one_component(spark, monkeypatch, each):
     monkeypatch.setattr(jaccard_join, "LINKS", each)
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 900), (900, 1000), (7, 7)], "u long, v long")
     assert {r.u: r.v for r in components(links).collect()} == {**{i: 0 for i in range(1, 301)}, 1000: 900}
+
+
+@pytest.mark.parametrize("cuts", [(64, 256), (2, 5)])
+def test_array_tries_join_what_comparing_joins(monkeypatch, cuts):
+    monkeypatch.setattr(jaccard_join, "CUTS", cuts)
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 300, size).astype(np.uint64)) for size in (6, 40, 150)]
+    sets = []
+    for k in range(90):
+        own = base[k % 3]
+        own = np.unique(np.where(rng.random(len(own)) < rng.random() * 0.3, rng.integers(0, 300, len(own)), own).astype(np.uint64))
+        sets.append(own[rng.random(len(own)) > 0.1 * (k % 4)])
+    sets += [sets[0], np.zeros(0, np.uint64)]
+    roles = [k // 2 * 10**12 for k in range(len(sets))]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a) and len(b) and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))}
+    found = list(links_in_block(sets, roles, 75))
+    assert set(found) <= want and all(roles[i] != roles[j] for i, j in found)
+
+    def joined(links):
+        group = list(roles)
+        for i, j in links:
+            group = [group[i] if g == group[j] else g for g in group]
+        return {frozenset(i for i, h in enumerate(group) if h == g) for g in group}
+
+    assert joined(found) == joined(want)
+    trie = Trie(sets)
+    for i, s in enumerate(sets):
+        skip = rng.random(len(sets)) < 0.5
+        assert set(trie.similar(s, 75, skip)) == {j for j in range(len(sets)) if (i, j) in want and not skip[j]}
+
+
+def test_large_groups_of_near_copies_are_copied_as_a_whole(spark, monkeypatch):
+    """Of 60 documents that share most of 40 n-grams, no n-gram sends its own copies; of a chain, each n-gram's two documents meet alone."""
+    for name, value in (("BLOCK", 4), ("CLUSTER", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    near = [(g, d) for d in range(60) for g in range(40) if (d * 7 + g) % 11]
+    chain = [(1000 + d + o, 1000 + d) for d in range(50) for o in (0, 1)]
+    ks = {}
+    for g, _ in near + chain:
+        ks[g] = ks.get(g, 0) + 1
+    own = spark.createDataFrame([(g, d, d, ks[g]) for g, d in near + chain if ks[g] > 1], "gram long, id long, c long, k long")
+    rows = jaccard_join._blocks(own).collect()
+    assert sum(r.id < 1000 for r in rows) <= 60 * 15
+    assert sum(r.id >= 1000 for r in rows) <= 2 * 49
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r.key, r.part), set()).add(r.id)
+    met = {pair for b in blocks.values() for pair in itertools.combinations(sorted(b), 2)}
+    assert {(a, b) for a, b in itertools.combinations(range(60), 2)} <= met
+    assert {(a, a + 1) for a in range(1000, 1049)} <= met
