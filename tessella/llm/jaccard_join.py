@@ -18,6 +18,7 @@ pairs, and a passage that many documents share brings none of them together.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -96,12 +97,18 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
         up, down = _Tables.get(len(line) + 1)
         sums = np.zeros(len(line) + 1, np.uint64)
         np.cumsum(_BYTES[line] * up[: len(line)], out=sums[1:])
-        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+        ends = np.append(np.flatnonzero(line == 32), len(line))  # no word holds a space
         starts = np.concatenate(([0], ends[:-1] + 1))
         width = min(n, len(own))
         a, b = starts[: len(own) - width + 1], ends[width - 1 :]
         found.append(_mix((sums[b] - sums[a]) * down[a]))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    if not found:
+        return np.zeros(0, np.uint64)
+    hashes = np.concatenate(found)
+    hashes.sort()
+    first = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+    return hashes[first]
 
 
 @dataclass
@@ -244,12 +251,14 @@ def links_in_block(sets: list[np.ndarray], roles: list[int], percent: int) -> It
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     group = np.unique([roles[k] for k in order], return_inverse=True)[1]
+    sizes = [len(sets[k]) for k in order]
     trie = Trie(sets[k] for k in order)
     for i in range(1, len(order)):
-        skip = group == group[i]
-        skip[i:] = True
-        if skip.all():
+        long_enough = bisect.bisect_left(sizes, -(-percent * sizes[i] // 100), 0, i)
+        if long_enough == i or (group[long_enough:i] == group[i]).all():
             continue
+        skip = group == group[i]
+        skip[:long_enough] = skip[i:] = True
         for j in trie.similar(sets[order[i]], percent, skip):
             if group[i] != group[j]:
                 yield order[i], order[j]
